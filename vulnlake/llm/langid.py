@@ -6,12 +6,13 @@ Counts of all training texts are summed per language and bucket; the matrix of l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnlake.llm.common import slices
@@ -130,3 +131,19 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def prediction(model: Model, spark: SparkSession) -> Callable[[str], Column]:
+    """A function from a text column's name to a struct (lang_pred, score), for tables whose columns stay as they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = [], [np.zeros(0)]
+        for i in range(0, len(texts), 500):
+            some = shared.value.predict(texts[i : i + 500].tolist())
+            langs += some[0]
+            scores.append(some[1])
+        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores)})
+
+    return lambda name: predict(F.col(name).cast("string"))

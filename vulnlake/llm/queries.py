@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import bpe, langid, licenses, lm, media, packing, quality, simhash
+from vulnlake.llm import bpe, langid, licenses, lm, media, packing, quality, simhash, suffixes
 from vulnlake.llm.common import documents
 
 
@@ -62,8 +62,13 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, sf_dir), capacity=1024, vocabulary="byte_bpe_50k.json", end_id=2)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.deduplicated(documents(spark, sf_dir), length=400)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mpeg_ts, op2_bpe_trie, op3_simhash, op4_langid, op5_quality, op6_lm_difference, op7_licenses, op8_token_counts, op9_best_fit]
+    found = [op1_mpeg_ts, op2_bpe_trie, op3_simhash, op4_langid, op5_quality, op6_lm_difference, op7_licenses, op8_token_counts, op9_best_fit, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
