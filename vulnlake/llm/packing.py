@@ -29,8 +29,8 @@ def piece_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int
     for batch in batches:
         for part in slices(batch, "text"):
             columns: list[list[int | None]] = [[], [], [], [], []]
-            for doc, packed in zip(part["doc_id"].to_pylist(), packer.pack(part["text"].to_pylist())):
-                ids = packed + end
+            for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
+                ids = packer.pack(text) + end
                 total, start, piece = len(ids) // 4, 0, 0
                 length = (total - 1) % capacity + 1  # the first piece takes what full ones leave
                 while start < total:
