@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Date forms tried in turn.
-DATE_FORMS = ("yyyy-MM-dd'T'HH:mmX", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd", "MMM d, yyyy, h:mm:ss a", "MMM d, yyyy")
+DATE_FORMS = ("yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mmX", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd", "MMM d, yyyy, h:mm:ss a", "MMM d, yyyy")
 
 
 def plain_name(name: str) -> str:

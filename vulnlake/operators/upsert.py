@@ -8,8 +8,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EPOCH = F.lit(0).cast("long")
-
 
 def newest(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The row with the greatest `order` per key, by one aggregate that combines before the shuffle."""
@@ -26,14 +24,14 @@ def both(old: DataFrame, new: DataFrame, ordinal: str | None = None) -> DataFram
 
 def upsert_latest(master: DataFrame, increment: DataFrame, key: str, changed: str, ordinal: str | None = None) -> DataFrame:
     """Newest row per key by `changed`; a missing time counts as epoch, of equal times the later arrival wins."""
-    time = F.coalesce(F.unix_micros(F.col(changed).cast("timestamp")), EPOCH)
+    time = F.coalesce(F.unix_micros(F.col(changed).cast("timestamp")), F.lit(0).cast("long"))
     return newest(both(master, increment, ordinal), key, [time, F.col("arrival_")]).drop("arrival_")
 
 
 def latest_by_date(df: DataFrame, key: str, date: str, ordinal: str, nulls: str = "win") -> DataFrame:
     """Latest row per key; undated rows win (or, with nulls="lose", lose), of equal dates the later arrival wins."""
     undated = F.col(date).isNull() if nulls == "win" else F.col(date).isNotNull()
-    return newest(df, key, [undated, F.coalesce(F.unix_micros(F.col(date).cast("timestamp")), EPOCH), F.col(ordinal)])
+    return newest(df, key, [undated, F.coalesce(F.unix_micros(F.col(date).cast("timestamp")), F.lit(0).cast("long")), F.col(ordinal)])
 
 
 def keep_last_arrival(old: DataFrame, new: DataFrame, key: str, ordinal: str | None = None) -> DataFrame:
