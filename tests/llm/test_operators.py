@@ -1,0 +1,366 @@
+"""Each corpus operator against a brute-force twin on small tables with the awkward cases in them."""
+
+import hashlib
+import itertools
+import json
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from vulnlake.llm import bpe, graph, langid, licenses, lm, media, packing, quality, simhash, suffixes
+from vulnlake.llm.common import tokenizer_path
+
+DRAW = random.Random(7)
+WORDS = ["".join(DRAW.choice("abcdeéß") for _ in range(DRAW.randint(1, 7))) for _ in range(120)]
+LONG = " ".join(DRAW.choice(WORDS) for _ in range(40_000))
+TEXTS = [
+    None, "", " ", "\n\t", "one", "Hello, world's  café 12\x1c3", "a <|endoftext|> b<|startoftext|>", "   three   blanks  ", "'start's' ΣΑΣ Σίσυφος İx²½",
+    "\x85\xa0x 日本語テキスト 😀😀", "aaaaaaaaaaaaaaaaaaaaaaaaa", "word " * 200, LONG, "# $ * %" * 30, "Released under the MIT License.", "x" * 64, "y" * 63,
+    *[" ".join(DRAW.choice(WORDS) for _ in range(n)) for n in (5, 49, 50, 60, 400, 900)],
+]
+TEXTS += TEXTS[-3:]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "de", None][i % 3], f"s{i % 2}", "clash", True) for i, t in enumerate(TEXTS)]
+    rows += [rows[-1], (None, "no id", None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens string, kept boolean").repartition(3)
+
+
+def expected(docs):
+    return [(r.doc_id, r.text or "") for r in docs.collect()]
+
+
+def order(rows):
+    return sorted(rows, key=str)
+
+
+def empty(docs):
+    return docs.filter("false")
+
+
+def test_transport_streams(docs):
+    parsed = media.digests(media.parse_streams(media.texts_to_streams(docs), ("doc_id", "n_bytes")))
+    got = [(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in parsed.collect()]
+    want = []
+    for i, t in expected(docs):
+        b = t.encode()
+        p = b + bytes(-len(b) % 64 if b else 64)
+        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+    assert order(got) == order(want)
+    assert media.parse_streams(media.texts_to_streams(empty(docs)), ("doc_id",)).count() == 0
+
+
+def test_transport_stream_faults():
+    payload = bytes(range(256)) * 100
+    stream = media.mux(payload)
+    whole = media.demux(stream)
+    assert b"".join(u["data"] for u in whole["units"]) == payload and not whole["gaps"] and whole["programs"] == {1: 0x1000} and whole["streams"] == {0x100: 6}
+    assert [u["pts"] for u in whole["units"]] == [3600 * i for i in range(7)] and [u["random"] for u in whole["units"]] == [i % 4 == 0 for i in range(7)]
+    lost = media.demux(stream[: 188 * 6] + stream[188 * 7 :])
+    assert lost["gaps"] == 1 and not lost["units"][0]["whole"]
+    assert media.demux(b"xyz" + stream)["skipped"] == 3
+    assert media.demux(stream[: 188 * 5] + stream[188 * 4 :])["gaps"] == 0  # a packet may come twice
+    broken = bytearray(stream)
+    broken[12] ^= 1
+    assert media.demux(bytes(broken))["broken"] == 1
+    assert media.demux(b"")["packets"] == 0
+
+
+def test_word_bpe(docs):
+    own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for i, t in expected(docs):
+        ids = own.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), " ".join(map(str, ids)), own.decode(ids, skip_special_tokens=False)))
+    assert order(tuple(r) for r in bpe.encode_words(docs).collect()) == order(want)
+    assert bpe.encode_words(empty(docs)).count() == 0
+
+
+def test_byte_bpe(docs):
+    own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = [(i, len(t.encode()), len(own.encode(t, add_special_tokens=False).ids)) for i, t in expected(docs)]
+    assert order(tuple(r) for r in bpe.count_tokens(docs).collect()) == order(want)
+    assert bpe.count_tokens(empty(docs)).count() == 0
+
+
+def test_byte_bpe_random_strings():
+    own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    packer = bpe.IdPacker("byte_bpe_50k.json")
+    for _ in range(400):
+        t = "".join(DRAW.choice("ab 's \n\tÉx1²<|>Σ \x1c.,!") for _ in range(DRAW.randint(0, 60)))
+        assert packer.pack(t) == np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_merges_of_equal_symbols():
+    vocab = {c: i for i, c in enumerate(bpe.byte_letters())} | {"aa": 256, "aaa": 257, "ab": 258}
+    merger = bpe.RankMerger({"model": {"vocab": vocab, "merges": [["a", "a"], ["aa", "a"], ["a", "b"]]}})
+    assert merger.count([b"a" * n for n in range(1, 8)] + [b"aab", b"b"]).tolist() == [1, 1, 1, 2, 2, 3, 3, 2, 1]
+
+
+def brute_components(bits):
+    parent = list(range(len(bits)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(bits)), 2):
+        if (bits[a] ^ bits[b]).bit_count() <= 2:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(bits))]
+
+
+def brute_fingerprint(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs):
+    rows = expected(docs)
+    bits = [brute_fingerprint(t) for _, t in rows]
+    roots = brute_components(bits)
+    want = [(i, f"{b:016x}", min((rows[k][0] for k in range(len(rows)) if roots[k] == r and rows[k][0] is not None), default=None)) for (i, _), b, r in zip(rows, bits, roots)]
+    assert order(tuple(r) for r in simhash.near_duplicates(docs).collect()) == order(want)
+    assert simhash.near_duplicates(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("longest", [2, 32])
+def test_links_of_crowded_lists(spark, monkeypatch, longest):
+    monkeypatch.setattr(simhash, "LONGEST", longest)
+    seeds = [DRAW.getrandbits(64) for _ in range(6)]
+    bits = list({s ^ (1 << DRAW.randrange(64)) ^ (1 << DRAW.randrange(64)) for s in seeds for _ in range(25)} | set(seeds))
+    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    df = spark.createDataFrame([(b,) for b in signed], "bits long")
+    found = {r.node: r.root for r in graph.components(simhash.links(df)).collect()}
+    groups = lambda labels: sorted(sorted(signed[i] for i in range(len(bits)) if labels[i] == x) for x in set(labels))
+    assert groups(brute_components(bits)) == groups([found.get(b, b) for b in signed])
+
+
+def test_components_of_chains(spark):
+    chain = [(i, i + 1) for i in range(0, 200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
+    roots = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert all(roots[i] == 0 for i in range(201)) and all(roots[k] == 1000 for k in range(1000, 1100)) and 5000 not in roots
+
+
+def test_language(spark, docs):
+    langs = {"aa": "abcd", "bb": "cdef"}
+    draw = random.Random(1)
+    rows = [(i, " ".join("".join(draw.choice(langs[x]) for _ in range(5)) for _ in range(30)), x) for i, x in enumerate(["aa", "bb"] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.filter(~langid.held_out()))
+    got = {r.doc_id: r for r in langid.predicted(df, model).collect()}
+    tested = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert tested and all(got[i].held_out == (i in set(tested)) for i, _, _ in rows)
+    assert all(got[i].lang_pred == rows[i][2] and 0 <= got[i].score <= 1 for i in tested)
+    odd = {r.doc_id: r for r in langid.predicted(docs, model).collect()}
+    assert odd[0].lang_pred == odd[1].lang_pred == "und" and odd[0].score == 0 and odd[13].lang_pred == "und" and len(odd) == docs.select("doc_id").distinct().count()
+    nothing = langid.fit(empty(df))
+    assert {r.lang_pred for r in langid.predicted(df, nothing).collect()} == {"und"} and langid.predicted(empty(df), model).count() == 0
+
+
+def test_language_scores_match_a_plain_sum():
+    texts = ["Ab c", None, "9", "é é"]
+    found, length = langid.grams(texts)
+    assert length.tolist() == [5, 0, 0, 4]
+    symbols = "ab c "
+    for k, n in enumerate(langid.ORDERS):
+        inside = [i + n <= 5 for i in range(5)]
+        assert [x != langid.BUCKETS for x in found[:5, k].tolist()] == inside, (n, symbols)
+
+
+def brute_base(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    marked = {k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(marked)
+
+
+def test_quality(docs):
+    rows = quality.judged(docs).collect()
+    got = order((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows)
+    want = [(i, *b, b[0] < 50 or 100 * b[4] > 50 * b[0]) for i, t in expected(docs) for b in [brute_base(t)]]
+    assert got == order(want) and not any(r.kept and r.base_failed for r in rows)
+    assert quality.judged(empty(docs)).count() == 0
+
+
+def test_quality_repeats_at_random():
+    for _ in range(300):
+        t = "".join(DRAW.choice(["a", "b", " ", " ", "\n", "c d e "]) for _ in range(DRAW.randint(0, 60)))
+        assert quality.base_measures(t)[:5] == brute_base(t)
+
+
+def test_quality_limits_follow_the_group(spark):
+    plain = [(i, " ".join(f"w{100 + i}x{k}" for k in range(80)), "en", "s") for i in range(100)]
+    marked = [(1000 + i, " ".join(f"w{100 + i}x{k}###" for k in range(80)), "en", "s") for i in range(3)]
+    of_marks = [(2000 + i, " ".join(f"v{100 + i}x{k}###" for k in range(80)), "en", "marks") for i in range(100)]
+    df = spark.createDataFrame(plain + marked + of_marks, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judged(df).collect()}
+    assert all(kept[i] for i in range(100)) and not any(kept[1000 + i] for i in range(3)) and all(kept[2000 + i] for i in range(100))
+
+
+def test_sketch_quartiles_are_close(spark):
+    values = [DRAW.randrange(1, 5000) for _ in range(1000)]
+    df = spark.createDataFrame([("en", v) for v in values], "lang string, m long")
+    q = quality.quartiles(quality.sketches(df, ["lang"], ["m"]), ["lang"]).first()
+    assert q.total == 1000 and all(abs(a - b) <= b / 16 for a, b in ((q.lower, sorted(values)[249]), (q.upper, sorted(values)[749])))
+
+
+def test_language_model_difference(spark, docs):
+    rows = [(i, " ".join(DRAW.choice(WORDS[:20] if i % 2 else WORDS[60:80]) for _ in range(50)), i % 2 == 1 and i < 30) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(df).collect()}
+    assert min(got[i].score for i in range(1, 60, 2)) > max(got[i].score for i in range(0, 60, 2))
+    text = rows[3][1].lower().encode().split()
+    counts = [Counter(), Counter()]
+    for i, t, target in rows:
+        words = t.lower().encode().split()
+        for k in (0, 1):
+            if k or target:
+                counts[k].update(words)
+                counts[k].update(zip(words, words[1:]))
+    def loss(c):
+        total = sum(n for w, n in c.items() if isinstance(w, bytes))
+        one = lambda w: (c[w] + 1) / (total + 2**lm.WORD_BITS)
+        p = [one(text[0])] + [(c[a, b] + lm.BACKING * one(b)) / (c[a] + lm.BACKING) for a, b in zip(text, text[1:])]
+        return -np.log(p).mean()
+    assert got[3].target_loss == pytest.approx(loss(counts[0]), rel=1e-4) and got[3].background_loss == pytest.approx(loss(counts[1]), rel=1e-4)
+    odd = lm.cross_entropy_difference(docs.withColumn("target", F.lit(None).cast("boolean")))
+    assert odd.filter("doc_id < 4 and (n_tokens <> 0 or score <> 0)").count() == 0 and odd.count() == docs.count()
+    assert lm.cross_entropy_difference(empty(df)).count() == 0
+
+
+def test_licenses(spark, docs):
+    cases = {
+        "The MIT\nlicense, mit-license; Apache (License)": (3, 1, 5, {"mit", "apache"}),
+        "GNU General Public License": (1, 1, 1, {"gpl"}),
+        "commit license amit license mit licenses": (0, None, None, set()),
+        "mit license mit license": (2, 0, 2, {"mit"}),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.license_hits(df).collect():
+        base = [h for h in r.hits if h.kind == "base"]
+        n, first, last, labels = list(cases.values())[r.doc_id]
+        starts = [h.first_word for h in base]
+        assert (len(base), min(starts, default=None), max(starts, default=None), {h.label for h in base}) == (n, first, last, labels)
+    assert licenses.license_hits(docs).count() == docs.count() and licenses.license_hits(empty(docs)).count() == 0
+    tagged = licenses.scan("// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0 */\nx")
+    assert {h["label"] for h in tagged["hits"]} == {"mit", "gpl", "apache"} and tagged["hits"][0]["permissive"]
+
+
+@pytest.mark.parametrize("text,order_,free", [
+    ("MIT or GPL-3.0 and BSD-2-Clause", "mit gpl-3.0 bsd-2-clause and or", True), ("(MIT or GPL-3.0) and GPL-2.0", "mit gpl-3.0 or gpl-2.0 and", False),
+    ("GPL-2.0 with X and MIT", "gpl-2.0 x with mit and", False), ("MIT or", None, None), ("(MIT", None, None), ("MIT GPL", None, None), ("", None, None),
+])
+def test_expressions(text, order_, free):
+    got = licenses.postfix(text.encode())
+    assert got == (order_.split() if order_ else None) and (got is None or licenses.evaluate(got)[1] == free)
+
+
+def test_packing(spark, docs):
+    own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rows = packing.best_fit_pack(docs, per_task=3).collect()
+    ids = {i: own.encode(t, add_special_tokens=False).ids + [2] for i, t in expected(docs)}
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length <= 1024 and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32 and (r.piece == 0 or r.length == 1024)
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in expected(docs) for _ in range(-(-len(ids[i]) // 1024)))
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 1024 and packing.best_fit_pack(empty(docs)).count() == 0
+
+
+def test_plan_equals_best_fit_on_pieces():
+    for _ in range(200):
+        capacity = DRAW.choice([10, 37, 64])
+        pieces = [DRAW.randint(1, capacity) for _ in range(DRAW.randint(0, 120))]
+        plan = packing.plan_slots(Counter(pieces), capacity)
+        free = []
+        for p in sorted(pieces, reverse=True):
+            fits = [f for f in free if f >= p]
+            if fits:
+                free.remove(min(fits))
+                free.append(min(fits) - p)
+            else:
+                free.append(capacity - p)
+        used = {}
+        for length, first, last, sequence, each, offset in plan:
+            for r in range(first, last + 1):
+                used.setdefault(sequence + (r - first) // each, []).append((offset + (r - first) % each * length, length))
+        assert len(used) == len(free) and sorted(x for s in used.values() for _, x in s) == sorted(pieces)
+        for spans in used.values():
+            at = 0
+            for start, size in sorted(spans):
+                assert start == at
+                at += size
+            assert at <= capacity
+
+
+def test_suffix_array():
+    for _ in range(1500):
+        text = [DRAW.randint(1, DRAW.choice([1, 2, 3, 9])) for _ in range(DRAW.randint(0, 40))] + [0]
+        got = suffixes.grouped_suffix_array(text)
+        assert got == sorted(range(len(text)), key=lambda i: text[i:])
+        reach = suffixes.longest_elsewhere(text, got)
+        for i in range(len(text)):
+            longest = max((next(h for h in range(len(text)) if text[i + h : i + h + 1] != text[j + h : j + h + 1]) for j in range(len(text)) if j != i), default=0)
+            assert reach[i] == longest
+
+
+def brute_dedup(texts, length):
+    raws = [t.encode() for t in texts]
+    seen = Counter(r[p : p + length] for r in raws for p in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for p in range(len(r) - length + 1):
+            if seen[r[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        runs = sum(1 for i in range(len(r)) if gone[i] and not (i and gone[i - 1]))
+        out.append((len(r), sum(gone), runs, bytes(b for b, g in zip(r, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [3, 4000])
+def test_suffix_dedup(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "PER_BUCKET", 25)
+    monkeypatch.setattr(suffixes, "BLOCK", 700)
+    base = [" ".join(DRAW.choice(WORDS) for _ in range(DRAW.randint(20, 120))) for _ in range(8)]
+    texts = [None, "", "short", "a" * 900, "a" * 99, "ab" * 200, "é" * 150]
+    for _ in range(70):
+        words = DRAW.choice(base).split()
+        for _ in range(DRAW.randint(0, 3)):
+            words[DRAW.randrange(len(words))] = DRAW.choice(WORDS)
+        texts.append(" ".join(words) + (" " + DRAW.choice(base) if DRAW.random() < 0.3 else ""))
+    rows = [(i if i % 30 else None, t, "clash") for i, t in enumerate(texts)] + [(3, "a" * 900, "twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed string").coalesce(2)
+    got = suffixes.deduplicated(df, 100, keep=("n_removed",))
+    assert got.columns[:2] == ["doc_id", "n_removed"] or "n_removed" in got.columns
+    plain = suffixes.deduplicated(df.drop("n_removed"), 100).collect()
+    want = [(r[0], *x) for r, x in zip(rows, brute_dedup([r[1] or "" for r in rows], 100))]
+    assert order((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in plain) == order(want)
+    assert suffixes.deduplicated(df.filter("false"), 100).count() == 0
+
+
+def test_vocabulary_is_a_parameter(tmp_path):
+    with open(tokenizer_path("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    place = tmp_path / "own.json"
+    place.write_text(json.dumps(spec))
+    assert bpe.IdPacker(str(place)).pack("a b") == bpe.IdPacker("byte_bpe_50k.json").pack("a b")
