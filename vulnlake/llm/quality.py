@@ -99,7 +99,8 @@ def thresholds(measures: DataFrame) -> DataFrame:
     """
     fine = checkpointed(sketches(measures.filter(~F.col("base_failed")), ["lang", "source"], list(SLACK)))
     levels = [(["lang", "source"], fine), (["lang"], fine.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n"))), ([], fine.groupBy("measure", "bin").agg(F.sum("n").alias("n")))]
-    limits = measures.select("lang", "source").distinct().crossJoin(F.broadcast(measures.sparkSession.createDataFrame(list(SLACK.items()), "measure string, slack long")))
+    slack = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(s).cast("long").alias("slack")) for m, s in SLACK.items()])
+    limits = measures.select("lang", "source").distinct().select("lang", "source", F.inline(slack))
     for k, (keys, sketch) in enumerate(levels):
         found = quartiles(sketch, keys).select(*keys, "measure", F.struct("total", "lower", "upper").alias(f"q{k}"))
         limits = limits.join(found, [*keys, "measure"], "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import bpe, langid, licenses, lm, media, packing, quality, simhash, suffixes
+from vulnlake.llm import bpe, langid, licenses, lm, media, oracles, packing, quality, simhash, suffixes
 from vulnlake.llm.common import documents
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality": oracles.QUALITY}
