@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from vulnlake.functions import coerce, features as fx, ids
 from vulnlake.operators import concordance, density, learners, merge, ordering, pu, ranking, reports, splits, survival, text, upsert
 from vulnlake.plans import views
+from vulnlake.sources import feeds, tables
+from vulnlake.streaming import jobs
 from vulnlake.plans.views import AS_OF, FEATURES, SQL, described, feature_rows, master, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,9 +82,73 @@ def coerce_types(spark, sf):
     return coerce.coerce_types(o.select("o_orderkey", price.alias("price"), when.alias("at")), ["price"], ["at"]).withColumn("at", day("at"))
 
 
-# ---------------------------------------------------------------- dedupe, sets, increments
+# ---------------------------------------------------------------- feeds, tables, streams
+
+
+@query("""SELECT 'CVE-' || (2000 + p_partkey % 26) || '-' || (10000 + p_partkey) AS id, p_name || ' ' || p_type AS description_en,
+  array_to_string(list_sort(list_distinct(['CWE-' || p_partkey % 50, 'CWE-79'])), ' | ') AS cwes,
+  'https://a/' || p_partkey || ' | https://b/' || p_partkey AS "references", regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS vendors, 'tool' || p_partkey % 9 AS products,
+  CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) / 5 ELSE CAST(p_size AS DOUBLE) / 10 END AS cvss_basescore, CASE WHEN p_partkey % 3 = 0 THEN '3.1' ELSE '2.0' END AS cvss_version,
+  p_partkey % 4 = 0 AS is_known_exploited FROM part""", False)
+def tidy_nvd(spark, sf):
+    return feeds.tidy_nvd(views.nvd_records(spark, sf)).select("id", "description_en", "cwes", "references", "vendors", "products", "cvss_basescore", "cvss_version", "is_known_exploited")
+
+
+@query("SELECT 'CVE-2020-' || (10000 + p_partkey) AS cve_id, p_brand AS \"vendorProject\", '2021-05-' || lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0') || ' 00:00:00' AS dateadded, true AS kev_listed FROM part", False)
+def read_kev_feed(spark, sf):
+    place, k = tables.scratch(spark, "kev"), F.col("p_partkey")
+    day_text = F.concat(F.lit("2021-05-"), F.lpad((1 + k % 28).cast("string"), 2, "0"))
+    rows = table(spark, sf, "part").select(F.concat(F.lit("CVE-2020-"), 10000 + k).alias("cveID"), F.col("p_brand").alias("vendorProject"), F.col("p_name").alias("product"), F.lit("n").alias("vulnerabilityName"), day_text.alias("dateAdded"), F.lit("d").alias("shortDescription"), F.lit("a").alias("requiredAction"), F.lit("2021-07-01").alias("dueDate"), F.lit("Known").alias("knownRansomwareCampaignUse"))
+    rows.write.option("header", True).csv(place)
+    return feeds.read_kev_feed(spark, place).select("cve_id", "vendorProject", day("dateadded").alias("dateadded"), "kev_listed")
+
+
+@query("SELECT cve_id, sources, source_count, base_score FROM master")
+def write_master(spark, sf):
+    place = tables.scratch(spark, "master")
+    tables.write_master(master(spark, sf), place)
+    return tables.read_master(spark, place).select("cve_id", "sources", "source_count", "base_score")
+
 
 _NEWEST = "SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {0}) AS rn FROM events) WHERE rn = 1"
+
+
+@query(_NEWEST.format("ts DESC, event_id % 2 DESC, event_id DESC"), False)
+def publish_table(spark, sf):
+    place = tables.scratch(spark, "published")
+    old, new = halves(spark, sf)
+    tables.publish_table(upsert.upsert_latest(old.filter("false"), old, "user_id", "ts", "event_id"), place, "replace")
+    tables.publish_table(upsert.upsert_latest(new.filter("false"), new, "user_id", "ts", "event_id"), place, "upsert", "user_id", "ts")
+    return tables.read_master(spark, place).select(*_EVENT)
+
+
+def landed(spark, sf, place):
+    """Events as files by time, two of them in a batch."""
+    events = table(spark, sf, "events")
+    events.repartitionByRange(4, "ts").write.parquet(place)
+    return jobs.feed_stream(spark, place, events.schema, files_per_batch=2)
+
+
+@query(_NEWEST.format("ts DESC, event_id DESC"), False)
+def stream_upsert(spark, sf):
+    place = tables.scratch(spark, "stream")
+    feed = landed(spark, sf, f"{place}/in")
+    jobs.stream_upsert(feed, f"{place}/master", "user_id", "ts", f"{place}/mark", "event_id").awaitTermination()
+    return tables.read_master(spark, f"{place}/master").select(*_EVENT)
+
+
+@query("SELECT event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS high_water FROM events GROUP BY event_type", False)
+def stream_high_water(spark, sf):
+    place = tables.scratch(spark, "water")
+    water = jobs.stream_high_water(landed(spark, sf, f"{place}/in"), "event_type", ["ts"])
+    keep = lambda batch, _: batch.write.mode("append").parquet(f"{place}/out")
+    water.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/mark").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{place}/out").groupBy("event_type").agg(F.max("high_water").alias("h"))
+    return found.select("event_type", day("h").alias("high_water"))
+
+
+# ---------------------------------------------------------------- dedupe, sets, increments
+
 _EVENT = ("event_id", "user_id", "event_type", "value")
 
 
@@ -120,9 +186,6 @@ def distinct_rows(spark, sf):
     return upsert.distinct_rows(old.select("user_id", "event_type"), new.select("user_id", "event_type"))
 
 
-_MIDDLE = "SELECT min(ts) + (max(ts) - min(ts)) / 4 AS a, min(ts) + (max(ts) - min(ts)) / 2 AS b FROM events"
-
-
 @query("SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'", False)
 def incremental_slice(spark, sf):
     return upsert.incremental_slice(table(spark, sf, "events"), "2024-01-05", "2024-01-20", "ts").select("event_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vulnlake.functions import features as fx
 from vulnlake.functions.coerce import at
 from vulnlake.operators import merge
+from vulnlake.sources.feeds import NVD
 
 AS_OF = "2000-01-01"
 
@@ -51,6 +52,24 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("cve_id", F.col("p_brand").alias("vendor"), weakness.alias("cwe"), vector().alias("cvss_vector"), F.col("p_name").alias("nvd_text"), F.col("p_type").alias("jvn_text"), "p_partkey", "p_retailprice")
 
 
+def nvd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records of parts, through the JSON text and schema of the feed."""
+    k, say = F.col("p_partkey"), lambda lang, value: F.struct(F.lit(lang).alias("lang"), value.alias("value"))
+    score = lambda n, *more: F.struct(F.struct((F.col("p_size").cast("double") / n).alias("baseScore"), *more).alias("cvssData"))
+    cpe = F.concat(F.lit("cpe:2.3:a:"), F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), F.lit(":tool"), k % 9, F.lit(":1"))
+    record = F.struct(
+        F.col("cve_id").alias("id"), F.array(say("en", F.col("p_name")), say("es", F.lit("x")), say("en", F.col("p_type"))).alias("descriptions"),
+        F.struct(F.when(k % 3 == 0, F.array(score(5, F.lit("HIGH").alias("baseSeverity")))).otherwise(F.array()).alias("cvssMetricV31"), F.array(score(10)).alias("cvssMetricV2")).alias("metrics"),
+        F.array(F.struct(F.array(say("en", F.concat(F.lit("CWE-"), k % 50)), say("en", F.lit("CWE-79"))).alias("description"))).alias("weaknesses"),
+        F.array(F.struct(F.array(F.struct(F.array(F.struct(cpe.alias("criteria"))).alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
+        F.array(F.struct(F.concat(F.lit("https://b/"), k).alias("url")), F.struct(F.concat(F.lit("https://a/"), k).alias("url"))).alias("references"),
+        F.when(k % 4 == 0, "2021-05-01").alias("cisaExploitAdd"),
+    )
+    keyed = table(spark, sf_dir, "part").withColumn("cve_id", F.concat(F.lit("CVE-"), 2000 + F.col("p_partkey") % 26, F.lit("-"), 10000 + F.col("p_partkey")))
+    page = F.to_json(F.struct(F.array(F.struct(record.alias("cve"))).alias("vulnerabilities")))
+    return keyed.select(F.explode(F.from_json(page, NVD).getField("vulnerabilities")).alias("v")).select("v.cve")
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_sources(feeds(spark, sf_dir))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -29,6 +31,12 @@ def remove(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the cluster shares (`spark.checkpoint.dir`), or a temporary one where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def read_master(spark: SparkSession, place: str, moments: Sequence[str] = ("published", "lastmodified")) -> DataFrame:
     """The Parquet form, else the CSV form with its dates parsed."""
     try:
