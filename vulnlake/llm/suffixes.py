@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ GRAM = 64
 #: Content-defined phrases: a cut where the hash of the 16 bytes before it has its five lowest bits clear.
 CUT_BYTES, CUT_MASK = 16, 31
 #: Windows of a text that are looked at together, and runs in one task and group at most.
-BLOCK, CROWD, PER_BUCKET = 1 << 20, 1500, 1500
+BLOCK, CROWD, PER_BUCKET = 1 << 20, 4000, 1500
 BASE = 0x9E3779B97F4A7C15
 PLACE = np.uint64((1 << 22) - 1)
 
@@ -330,54 +331,80 @@ def split_rows(batches: Iterator[pa.RecordBatch], shift: int, length: int) -> It
 
 def with_bytes(runs: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Fetches the bytes of runs from the texts, which are joined by document."""
-    asked = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "run", "start", "windows", "anchor", "n")).alias("asked"))
+    asked = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "run", "start", "windows", "anchor", "n", "kinds")).alias("asked"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "packed"):
                 out: dict[str, list] = defaultdict(list)
-                for doc, text_hash, text, asked in zip(*[part[c].to_pylist() for c in ("doc_id", "text_hash", "text", "asked")]):
-                    raw = text.encode()
+                for doc, text_hash, packed, asked in zip(*[part[c].to_pylist() for c in ("doc_id", "text_hash", "packed", "asked")]):
+                    raw = unpacked(packed)
                     for a in asked:
-                        for k in ("key", "run", "start", "windows", "anchor", "n"):
+                        for k in ("key", "run", "start", "windows", "anchor", "n", "kinds"):
                             out[k].append(a[k])
                         out["doc_id"].append(doc)
                         out["text_hash"].append(text_hash)
                         out["bytes"].append(raw[a["start"] : a["start"] + a["windows"] + length - 1])
                 kinds = {"windows": pa.int32(), "anchor": pa.int32(), "bytes": pa.binary()}
-                names = ["key", "run", "doc_id", "text_hash", "start", "windows", "anchor", "n", "bytes"]
+                names = ["key", "run", "doc_id", "text_hash", "start", "windows", "anchor", "n", "bytes", "kinds"]
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], kinds.get(k, pa.int64())) for k in names], names=names)
 
-    return joined(docs, asked).mapInArrow(rows, BYTES)
+    return joined(packed_texts(docs), asked).mapInArrow(rows, f"{BYTES}, kinds long")
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """With `text` as compressed bytes (`packed`), which halves what a join by document moves."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                packed = [press.compress((t or "").encode()) for t in part["text"].to_pylist()]
+                rest = [n for n in part.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays([*[part[n] for n in rest], pa.array(packed, pa.binary())], names=[*rest, "packed"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    return docs.mapInArrow(rows, ", ".join([*kinds, "packed binary"]))
+
+
+def unpacked(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 def joined(docs: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    """Texts with what belongs to them; null ids meet null ids."""
+    """Texts with what belongs to them, in the same way at every size; null ids meet null ids."""
     right = other.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"), *[c for c in other.columns if c not in ("doc_id", "text_hash")])
-    return docs.join(right, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash")), how).drop("other_id", "other_hash")
+    return docs.join(right.hint("merge"), F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash")), how).drop("other_id", "other_hash")
+
+
+def settled(runs: DataFrame, docs: DataFrame, length: int, shift: int, places: list[str]) -> DataFrame:
+    """Repeated spans of runs that occur once (n = 1), level by level; `runs` may still lack their bytes.
+
+    Sums by key are written before they are joined: both sides of a join are then dealt anew, and adaptive execution can
+    split what a hot key brings. `places` gets the tables' places.
+    """
 
+    def kept(df: DataFrame) -> DataFrame:
+        table, place = written(df)
+        places.append(place)
+        return table
 
-def settled(runs: DataFrame, docs: DataFrame, length: int, shift: int) -> DataFrame:
-    """Repeated spans of runs that occur once (n = 1), level by level; `runs` may still lack their bytes."""
-    kinds = runs.groupBy("key", "run").agg(F.sum("n").alias("total"))
-    whole = runs.filter("n = 1").join(kinds.filter("total > 1").select("key", "run"), ["key", "run"])
+    rest = [c for c in runs.columns if c not in ("key", "run", "n")]
+    kinds = kept(runs.groupBy("key", "run").agg(F.sum("n").alias("total"), *[F.first(c).alias(c) for c in rest]))
+    whole = runs.filter("n = 1").drop("bytes").join(kinds.filter("total > 1").select("key", "run").hint("merge"), ["key", "run"])
     spans = whole.select("doc_id", "text_hash", "start", (F.col("start") + F.col("windows") + length - 1).alias("stop"))
-    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    one_each = runs.dropDuplicates(["key", "run"]).join(kinds, ["key", "run"]).join(several, "key").drop("n").withColumnRenamed("total", "n")
-    if "bytes" not in runs.columns:
-        one_each = checkpointed(one_each)
-    few, many = one_each.filter(F.col("kinds") <= CROWD), one_each.filter(F.col("kinds") > CROWD)
-    if "bytes" in runs.columns:
-        read = lambda df: df.drop("kinds")
-    else:
-        read = lambda df: with_bytes(df.drop("kinds"), docs, length)
-    buckets = -(-few.count() // PER_BUCKET)
-    if buckets:
-        bucketed = read(few).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    several = kept(kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    one_each = kept(kinds.join(several.hint("merge"), "key").withColumnRenamed("total", "n"))
+    sizes = one_each.agg(F.count_if(F.col("kinds") <= CROWD).alias("few"), F.count_if(F.col("kinds") > CROWD).alias("many")).first()
+    fetched = one_each if "bytes" in runs.columns else with_bytes(one_each, docs, length)
+    if sizes["many"]:
+        fetched = kept(fetched)  # it is read twice
+        cut = kept(fetched.filter(F.col("kinds") > CROWD).mapInArrow(lambda batches: split_rows(batches, shift, length), BYTES))
+        spans = spans.union(settled(cut, docs, length, max(0, shift - 3), places))
+        fetched = fetched.filter(F.col("kinds") <= CROWD)
+    if sizes["few"]:
+        bucketed = fetched.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(-(-sizes["few"] // PER_BUCKET))))
         spans = spans.union(bucketed.groupBy("bucket").applyInArrow(lambda t: settle_bucket(t, length), SPANS))
-    if not many.isEmpty():
-        cut = read(many).mapInArrow(lambda batches: split_rows(batches, shift, length), BYTES)
-        spans = spans.union(settled(checkpointed(cut), docs, length, max(0, shift - 3)))
     return spans
 
 
@@ -385,19 +412,23 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """Rows (doc_id, text_hash, start, stop), which may overlap: all windows that also start anywhere else."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
-    runs, place = written(docs.mapInArrow(lambda batches: run_rows(batches, length), RUNS))
-    often = runs.groupBy("key").count().filter("count > 1").select("key")
-    candidates = checkpointed(runs.join(often, "key").withColumn("n", F.lit(1).cast("long")))
-    removed(docs.sparkSession, place)
-    return checkpointed(settled(candidates, docs, length, 5))
+    runs, runs_place = written(docs.mapInArrow(lambda batches: run_rows(batches, length), RUNS))
+    often, often_place = written(runs.groupBy("key").count().filter("count > 1").select("key"))
+    candidates, place = written(runs.join(often.hint("merge"), "key").withColumn("n", F.lit(1).cast("long")))
+    removed(docs.sparkSession, runs_place)
+    places = [often_place, place]
+    spans = checkpointed(settled(candidates, docs, length, 5, places))
+    for place in places:
+        removed(docs.sparkSession, place)
+    return spans
 
 
 def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "packed"):
             sizes, lost, counts, kept = [], [], [], []
-            for text, spans in zip(part["text"].to_pylist(), part["spans"].to_pylist()):
-                raw = (text or "").encode()
+            for packed, spans in zip(part["packed"].to_pylist(), part["spans"].to_pylist()):
+                raw = unpacked(packed)
                 out, upto, runs, gone = [], 0, 0, 0
                 for s in sorted(spans or [], key=lambda s: (s["start"], s["stop"])):
                     if s["start"] > upto or not runs:
@@ -411,7 +442,7 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(runs)
                 kept.append(b"".join(out))
             arrays = [pa.array(sizes, pa.int64()), pa.array(lost, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())]
-            rest = [n for n in part.schema.names if n not in ("text", "spans")]
+            rest = [n for n in part.schema.names if n not in ("packed", "spans")]
             yield pa.RecordBatch.from_arrays([*[part[n] for n in rest], *arrays], names=[*rest, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -424,8 +455,8 @@ def deduplicated(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ())
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), *[F.col(c).alias(f"own_{c}") for c in keep])
     texts = wanted.select("doc_id", "text_hash", "text")
     spans = repeated_spans(texts.filter(F.length("text") > 0), length)
-    per_text = spans.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    owned = joined(wanted, per_text, "left").drop("text_hash")
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in owned.schema if f.name not in ("text", "spans")]
+    per_text = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    owned = joined(packed_texts(wanted), per_text, "left").drop("text_hash")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in owned.schema if f.name not in ("packed", "spans")]
     done = owned.mapInArrow(cut_rows, ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept binary"]))
     return done.withColumnsRenamed({f"own_{c}": c for c in keep})
