@@ -15,13 +15,19 @@ from vulnlake.llm.common import documents, removed, written
 LEAST_SCORE = 0.5
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Rows are matched on id, text, language and source, nulls included."""
-    keys = {"own_id": F.col("doc_id").cast("long"), "own_text": F.xxhash64(F.col("text").cast("string")), "own_lang": F.coalesce(F.col("lang"), F.lit("")), "own_source": F.coalesce(F.col("source"), F.lit(""))}
-    kept = quality.judged(docs).filter("kept").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_text"), F.col("lang").alias("own_lang"), F.col("source").alias("own_source"))
-    left = docs.withColumns(keys)
-    same = [left[k].eqNullSafe(kept[k]) for k in keys]
-    return left.join(kept, same[0] & same[1] & same[2] & same[3], "left_semi").select(docs.columns)
+    kept = quality.judged(docs).filter("kept")
+    group = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept["text_hash"])
+    return docs.join(kept, same & (group("lang") == kept["lang"]) & (group("source") == kept["source"]), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,28 +35,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out()))
     if not model.langs:
         return docs
-    found = docs.withColumn("own_prediction", langid.prediction(model, spark)("text"))
-    sure = (F.col("own_prediction.lang_pred") != "und") & (F.col("own_prediction.score") >= LEAST_SCORE)
-    return found.filter(sure).withColumn("lang", F.coalesce("lang", "own_prediction.lang_pred")).select(docs.columns)
+    p = fresh(docs, "prediction")
+    found = docs.withColumn(p, langid.prediction(model, spark)("text"))
+    sure = (F.col(f"{p}.lang_pred") != "und") & (F.col(f"{p}.score") >= LEAST_SCORE)
+    return found.filter(sure).withColumn("lang", F.coalesce("lang", f"{p}.lang_pred")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; of rows with that id, one."""
     found = simhash.near_duplicates(docs)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("own_id"))
-    left = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["own_id"]), "left_semi")
-    if not chosen.groupBy("own_id").count().filter("count > 1").isEmpty():
-        place = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        left = left.withColumn("own_place", F.row_number().over(place)).filter("own_place = 1")
-    return left.select(docs.columns)
+    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    left = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]), "left_semi")
+    if chosen.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    place = fresh(docs, "place")
+    ordered = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return left.withColumn(place, F.row_number().over(ordered)).filter(F.col(place) == 1).select(docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the byte strings of 400 or more that occur elsewhere; a torn character is replaced."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    done = suffixes.deduplicated(docs, length=400, keep=others)
-    text = done.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
-    return (text.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else text).select(docs.columns)
+    others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    coded = docs.select("doc_id", "text", *[F.col(c).alias(o) for c, o in others.items()])
+    done = suffixes.deduplicated(coded, length=400, keep=tuple(others.values()))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    new = {"doc_id": F.col("doc_id"), "text": text, **{c: F.col(o) for c, o in others.items()}}
+    if "n_chars" in others:
+        new["n_chars"] = F.length(text).cast("long")
+    return done.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

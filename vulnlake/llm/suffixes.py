@@ -451,7 +451,10 @@ def deduplicated(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ())
 
     A byte goes if a window of `length` bytes over it also starts anywhere else, in its own text or another, overlapping
     or not; repeats are judged on the texts as given. Null texts are empty. Rows that occur twice are each other's copies.
+    Columns to keep must not be named like the results; all others are left out.
     """
+    if clash := {"doc_id", "n_bytes", "n_removed", "n_spans", "kept"} & set(keep):
+        raise ValueError(f"columns named like results: {sorted(clash)}")
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), *[F.col(c).alias(f"own_{c}") for c in keep])
     texts = wanted.select("doc_id", "text_hash", "text")
     spans = repeated_spans(texts.filter(F.length("text") > 0), length)
