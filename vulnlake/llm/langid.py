@@ -146,4 +146,5 @@ def prediction(model: Model, spark: SparkSession) -> Callable[[str], Column]:
             scores.append(some[1])
         return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores)})
 
-    return lambda name: predict(F.col(name).cast("string"))
+    once = predict.asNondeterministic()  # else a filter on its result has it worked out again
+    return lambda name: once(F.col(name).cast("string"))
