@@ -94,6 +94,71 @@ def tidy_nvd(spark, sf):
     return feeds.tidy_nvd(views.nvd_records(spark, sf)).select("id", "description_en", "cwes", "references", "vendors", "products", "cvss_basescore", "cvss_version", "is_known_exploited")
 
 
+_ID = "'CVE-' || (2000 + p_partkey % 26) || '-' || (10000 + p_partkey) AS id"
+
+
+def of_records(spark, sf, column):
+    return views.nvd_records(spark, sf).select(F.col("cve.id").alias("id"), column)
+
+
+@query(f"SELECT {_ID}, p_name || ' ' || p_type AS description_en FROM part", False)
+def pick_english_description(spark, sf):
+    return of_records(spark, sf, feeds.pick_english_description(F.col("cve.descriptions")).alias("description_en"))
+
+
+@query(f"""SELECT {_ID}, CAST(p_size AS DOUBLE) / CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 10 END AS cvss_basescore, CASE WHEN p_partkey % 3 = 0 THEN 'HIGH' END AS cvss_baseseverity,
+  CASE WHEN p_partkey % 3 = 0 THEN '3.1' ELSE '2.0' END AS cvss_version FROM part""", False)
+def pick_cvss_metric(spark, sf):
+    return of_records(spark, sf, feeds.pick_cvss_metric(F.col("cve.metrics")).alias("m")).select("id", "m.cvss_basescore", "m.cvss_baseseverity", "m.cvss_version")
+
+
+@query(f"SELECT {_ID}, len(list_distinct(['CWE-' || p_partkey % 50, 'CWE-79'])) AS n, list_sort(list_distinct(['CWE-' || p_partkey % 50, 'CWE-79']))[1] AS first_cwe FROM part", False)
+def extract_cwe_ids(spark, sf):
+    return of_records(spark, sf, feeds.extract_cwe_ids(F.col("cve.weaknesses")).alias("l")).select("id", F.size("l").cast("long").alias("n"), F.col("l")[0].alias("first_cwe"))
+
+
+@query(f"SELECT {_ID}, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS vendors, 'tool' || p_partkey % 9 AS products FROM part", False)
+def extract_cpe_vendor_product(spark, sf):
+    return of_records(spark, sf, feeds.extract_cpe_vendor_product(F.col("cve.configurations")).alias("c")).select("id", "c.vendors", "c.products")
+
+
+@query(f"""SELECT {_ID}, 'https://a/' || p_partkey || ' | https://b/' || p_partkey AS "references" FROM part""", False)
+def join_references(spark, sf):
+    return of_records(spark, sf, feeds.join_references(F.col("cve.references")).alias("references"))
+
+
+def pages(spark, sf, name, item, page):
+    """One file for 500 parts, with the items of its page."""
+    place = tables.scratch(spark, name)
+    listed = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 500).alias("page"), item.alias("i")).groupBy("page").agg(F.sort_array(F.collect_list("i")).alias("i"))
+    listed.select("page", page(F.col("i")).alias("value")).write.partitionBy("page").text(place)
+    return place
+
+
+@query("SELECT 'CVE-2020-' || (10000 + p_partkey) AS id, p_name AS description_en FROM part", False)
+def read_nvd_feed(spark, sf):
+    text_of = F.struct(F.lit("en").alias("lang"), F.col("p_name").alias("value"))
+    record = F.struct(F.struct(F.concat(F.lit("CVE-2020-"), 10000 + F.col("p_partkey")).alias("id"), F.array(text_of).alias("descriptions")).alias("cve"))
+    place = pages(spark, sf, "nvd", record, lambda i: F.to_json(F.struct(i.alias("vulnerabilities"))))
+    return feeds.tidy_nvd(feeds.read_nvd_feed(spark, place)).select("id", "description_en")
+
+
+@query("SELECT 'JVNDB-' || p_partkey AS jvndb_id, 'CVE-2020-' || (10000 + p_partkey) || ', CVE-2021-' || (10000 + p_partkey) AS cve_ids, 'v' || p_partkey % 9 || ':p' AS affected_products, p_size / 5.0 AS cvss_score, 2021 AS year FROM part", False)
+def read_jvn_feed(spark, sf):
+    k = F.col("p_partkey")
+    refs = F.concat(*[F.concat(F.lit(f'<sec:references source="CVE" id="CVE-{y}-'), 10000 + k, F.lit('"/>')) for y in (2020, 2021)])
+    item = F.concat(F.lit("<item><title>t</title><dc:date>2021-03-01T00:00+00:00</dc:date><sec:identifier>JVNDB-"), k, F.lit("</sec:identifier>"), refs, F.lit('<sec:references source="X" id="Y"/><sec:cvss severity="High" score="'), F.col("p_size") / 5.0, F.lit('"/><sec:cpe vendor="v'), k % 9, F.lit('" product="p"/></item>'))
+    place = pages(spark, sf, "jvn", item, lambda i: F.concat(F.lit('<rdf xmlns:dc="d" xmlns:sec="s">'), F.array_join(i, ""), F.lit("</rdf>")))
+    return feeds.read_jvn_feed(spark, place).select("jvndb_id", "cve_ids", "affected_products", "cvss_score", "year")
+
+
+@query("SELECT 'E' || p_partkey AS id, p_retailprice AS \"baseScore\", 'CVE-2020-' || (10000 + p_partkey) AS aliases, '2025-12-12 13:02:03' AS \"datePublished\" FROM part", False)
+def read_euvd_feed(spark, sf):
+    item = F.struct(F.concat(F.lit("E"), F.col("p_partkey")).alias("id"), F.col("p_retailprice").alias("baseScore"), F.concat(F.lit("CVE-2020-"), 10000 + F.col("p_partkey")).alias("aliases"), F.lit("Dec 12, 2025, 1:02:03 PM").alias("datePublished"))
+    place = pages(spark, sf, "euvd", item, lambda i: F.when(F.col("page") % 2 == 0, F.to_json(F.struct(i.alias("items")))).otherwise(F.to_json(F.struct(i.alias("content")))))
+    return feeds.read_euvd_feed(spark, place).select("id", "baseScore", "aliases", day("datePublished").alias("datePublished"))
+
+
 @query("SELECT 'CVE-2020-' || (10000 + p_partkey) AS cve_id, p_brand AS \"vendorProject\", '2021-05-' || lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0') || ' 00:00:00' AS dateadded, true AS kev_listed FROM part", False)
 def read_kev_feed(spark, sf):
     place, k = tables.scratch(spark, "kev"), F.col("p_partkey")
