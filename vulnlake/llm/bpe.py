@@ -1,7 +1,7 @@
 """Byte-pair encoding over Spark: a prefix-sharing trie encoder, a rank-synchronous counter and an id encoder.
 
 All three read texts in Arrow batches inside `mapInArrow`, need no shuffle, and keep per task a dictionary of
-the chunks between blanks that it has met, emptied when it holds `CACHE_CHUNKS` of them.
+the chunks between blanks that it has met, about `CACHE_CHUNKS` at most.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 
 from vulnlake.llm.common import id_and_text, slices, tokenizer_path
 
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 200_000
+#: Bytes of text whose new words go into one trie.
+TRIE_BYTES = 6 << 20
 
 #: The split pattern of byte-level BPE, and that of the lower-casing word BPE.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,16 +62,16 @@ class TrieBpe:
     def __init__(self, spec: dict):
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.inner: dict[str, int] = {}
-        self.shown: dict[int, str] = {}
-        for token, i in model["vocab"].items():
-            self.inner[self.folded(token)] = i
-            self.shown[i] = token
+        self.shown = {self.folded(token): token for token in model["vocab"]}
+        self.inner = {self.folded(token): str(i) for token, i in model["vocab"].items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(self.folded(a), self.folded(b)): r for r, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.inner))
+        self.made = {a + b: (r, a, b) for (a, b), r in self.ranks.items()}
+        self.starts = {token[:n] for token in self.inner for n in range(len(token) + 1)}
+        self.steps: dict[str, dict] = {}  # start of a token that a prefix ends in -> symbol -> the same one further
         self.letters = byte_letters()
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict[str, bool]] = {}  # last token -> next token -> whether merges leave them apart
+        self.pairs = 0
 
     def folded(self, token: str) -> str:
         """With the end-of-word mark folded into the last letter, as one symbol."""
@@ -79,11 +81,11 @@ class TrieBpe:
         return token
 
     def symbols(self, word: str) -> str:
-        s = "".join([self.letters[b] for b in word.encode()])
+        s = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
         return s[:-1] + chr(ord(s[-1]) + 0x10000) if self.suffix else s
 
     def merged(self, s: str) -> list[str]:
-        """The plain merge loop; used on one or two tokens to learn whether they stay as they are."""
+        """The plain merge loop; used on a token to learn whether merges lead to it."""
         parts = list(s)
         while len(parts) > 1:
             rank, at = min((self.ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))
@@ -92,51 +94,89 @@ class TrieBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def meet(self, left: str, right: str) -> bool:
+        """Whether merges cross the border of two tokens.
+
+        Merges are undone from the last one made, on the left token's right edge or the right token's left edge. The
+        tokens that then face each other would have merged if their rank came before the merge undone; of equal ranks
+        the one further left comes first.
+        """
+        before = 1 << 30
+        while True:
+            if self.ranks.get((left, right), before) < before:
+                return True
+            made_left, made_right = self.made.get(left), self.made.get(right)
+            if made_right and (not made_left or made_right[0] >= made_left[0]):
+                before, right = made_right[0] + 1, made_right[1]
+            elif made_left:
+                before, left = made_left[0], made_left[2]
+            else:
+                return False
+
     def stays(self, left: str, right: str) -> bool:
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) >= self.PAIRS:
-                self.apart.clear()
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            self.apart[left, right] = known
-        return known
-
-    def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of each distinct word."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for symbol in self.symbols(word):
-                node = node.setdefault(symbol, {})
-            node[""] = word
-        found: dict[str, list[int]] = {}
-        last: list[str] = [""]  # of the prefix of each length on the path
-        path = ""
-        stack = [(root, "", 0)]
-        while stack:
-            node, symbol, depth = stack.pop()
-            if depth:
-                path = path[: depth - 1] + symbol
-                del last[depth:]
-                last.append(self.last_token(path, last))
-            for key, child in node.items():
-                if key:
-                    stack.append((child, key, depth + 1))
-            if "" in node:
-                ids, d = [], depth
-                while d:
-                    ids.append(self.inner[last[d]])
-                    d -= len(last[d])
-                found[node[""]] = ids[::-1]
+        self.pairs += 1
+        return not self.meet(left, right) if left else self.merged(right) == [right]
+
+    def step(self, ends_in: str, symbol: str) -> tuple[dict, str, list[tuple[str, int]]]:
+        """From the longest token start that a prefix ends in, by a symbol: steps from there, it, and the tokens it ends in."""
+        longer = ends_in + symbol
+        while longer not in self.starts:
+            longer = longer[1:]
+        tokens = [(longer[k:], len(longer) - k) for k in range(len(longer)) if longer[k:] in self.inner]
+        found = self.steps.setdefault(ends_in, {})[symbol] = (self.steps.setdefault(longer, {}), longer, tokens)
         return found
 
-    def last_token(self, path: str, last: list[str]) -> str:
-        depth = len(path)
-        for n in range(min(depth, self.longest), 0, -1):
-            token = path[depth - n :]
-            if token in self.inner and self.stays(last[depth - n], token):
-                return token
-        raise ValueError(f"no token ends {path!r}")
+    def encode(self, words: Iterable[str]) -> dict[str, tuple[str, str]]:
+        """Ids and tokens, each joined by blanks, of the distinct words.
+
+        Sorted words are their trie in depth-first order: what a word shares with the one before it is the path to their
+        common node, whose states stay; only the nodes below are worked out.
+        """
+        if self.pairs > self.PAIRS:
+            self.after, self.pairs = {}, 0
+        inner, after = self.inner, self.after
+        found: dict[str, tuple[str, str]] = {}
+        # of the prefix of each length on the path: its last token, what is known of tokens behind that, and the token
+        # starts it ends in
+        last: list[str] = [""]
+        known: list[dict[str, bool]] = [after.setdefault("", {})]
+        state: list[tuple[dict, str]] = [(self.steps.setdefault("", {}), "")]
+        before = ""
+        for path, word in sorted((self.symbols(w), w) for w in words):
+            size = len(path)
+            shared, beyond = 0, min(size, len(before)) + 1
+            while beyond - shared > 1:
+                middle = (shared + beyond) // 2
+                if path[:middle] == before[:middle]:
+                    shared = middle
+                else:
+                    beyond = middle
+            del last[shared + 1 :], known[shared + 1 :], state[shared + 1 :]
+            steps, ends_in = state[-1]
+            for depth, symbol in enumerate(path[shared:], shared + 1):
+                steps, ends_in, tokens = steps.get(symbol) or self.step(ends_in, symbol)
+                for token, n in tokens:
+                    stays = known[depth - n].get(token)
+                    if stays is None:
+                        stays = known[depth - n][token] = self.stays(last[depth - n], token)
+                    if stays:
+                        break
+                else:
+                    raise ValueError(f"no token ends {path[:depth]!r}")
+                last.append(token)
+                beside = after.get(token)
+                if beside is None:
+                    beside = after[token] = {}
+                known.append(beside)
+                state.append((steps, ends_in))
+            before, depth, ids, shown = path, size, [], []
+            while depth:
+                token = last[depth]
+                ids.append(inner[token])
+                shown.append(self.shown[token])
+                depth -= len(token)
+            found[word] = (" ".join(ids[::-1]), " ".join(shown[::-1]))
+        return found
 
 
 def lowered(text: str) -> str:
@@ -150,24 +190,25 @@ def trie_rows(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa
     bpe, specials = TrieBpe(spec), special_tokens(spec)
     around, words = splitter(specials), regex.compile(WORD_PATTERN)
     odd = re.compile("[\x1c-\x1f]")  # blanks to str.split(), but not to the pattern
-    known: dict[str, tuple[str, str, int]] = {}
+    ids_of, shown_of = {s: str(i) for s, i in specials.items()}, {s: s for s in specials}
 
     def chunks(text: str) -> list[str]:
         return words.findall(text) if odd.search(text) else text.split()
 
     def learn(new: set[str]) -> None:
-        parts = {c: words.findall(c) for c in new}
-        ids = bpe.encode({w for ws in parts.values() for w in ws})
+        parts = {c: [c] if c.isalpha() else words.findall(c) for c in new}
+        wanted = {w for ws in parts.values() for w in ws}
+        own = {w: (ids_of[w], shown_of[w]) for w in wanted if w in ids_of}
+        own |= bpe.encode(wanted.difference(own))
         for c, ws in parts.items():
-            own = [i for w in ws for i in ids[w]]
-            known[c] = (" ".join(map(str, own)), " ".join([bpe.shown[i] for i in own]), len(own))
+            if len(ws) == 1:
+                ids_of[c], shown_of[c] = own[ws[0]]
+            else:
+                several = [own[w] for w in ws]
+                ids_of[c], shown_of[c] = " ".join([g[0] for g in several]), " ".join([g[1] for g in several])
 
-    for s, i in specials.items():
-        known[s] = (str(i), s, 1)
     for batch in batches:
-        for part in slices(batch, "text"):
-            if len(known) > CACHE_CHUNKS:
-                known = {s: (str(i), s, 1) for s, i in specials.items()}
+        for part in slices(batch, "text", TRIE_BYTES):
             texts = []
             for t in part["text"].to_pylist():
                 segments = around.split(t or "")
@@ -175,13 +216,13 @@ def trie_rows(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa
                     texts.append(chunks(lowered(segments[0])))
                 else:
                     texts.append([c for k, s in enumerate(segments) for c in ([s] if k % 2 else chunks(lowered(s)))])
-            learn({c for cs in texts for c in cs if c not in known})
-            counts, ids, shown = [], [], []
-            for cs in texts:
-                got = [known[c] for c in cs]
-                counts.append(sum([g[2] for g in got]))
-                ids.append(" ".join([g[0] for g in got if g[2]]))
-                shown.append(" ".join([g[1] for g in got if g[2]]))
+            new = set().union(*texts).difference(ids_of)
+            learn(new)
+            ids = [" ".join(map(ids_of.__getitem__, cs)) for cs in texts]
+            shown = [" ".join(map(shown_of.__getitem__, cs)) for cs in texts]
+            counts = [i.count(" ") + 1 if i else 0 for i in ids]
+            forget(ids_of, new)
+            forget(shown_of, new)
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
@@ -267,12 +308,9 @@ def count_rows(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[p
     with open(tokenizer_path(vocabulary)) as f:
         spec = json.load(f)
     merger, specials, whole = RankMerger(spec), special_tokens(spec), regex.compile(BYTE_PATTERN)
-    around, known = splitter(specials), {}
+    around, known = splitter(specials), dict.fromkeys(specials, 1)
     for batch in batches:
         for part in slices(batch, "text"):
-            if len(known) > CACHE_CHUNKS:
-                known = {}
-            known.update(dict.fromkeys(specials, 1))
             texts = []
             for t in part["text"].to_pylist():
                 segments = around.split(t or "")
@@ -283,6 +321,7 @@ def count_rows(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[p
             size = dict(zip(tokens, merger.count([w.encode() for w in tokens]).tolist())) if tokens else {}
             known.update((c, sum([size[w] for w in ws])) for c, ws in zip(new, cut))
             counts = [sum([known[c] for c in cs]) for cs in texts]
+            forget(known, new)
             sizes = pa.compute.fill_null(pa.compute.cast(pa.compute.binary_length(part["text"]), pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([part["doc_id"], sizes, pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
