@@ -243,6 +243,30 @@ def test_language_model_difference(spark, docs):
     assert lm.cross_entropy_difference(empty(df)).count() == 0
 
 
+def test_language_model_counts_more_words_than_any_fixed_table(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400_000, raising=False)
+    draw, n = random.Random(5), 400
+    rows = [(i, " ".join(f"w{draw.randrange(2_000_000)}" for _ in range(1000)), i % 4 == 0) for i in range(n)]
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(4)).collect()}
+    counts = [Counter(), Counter()]
+    for _, t, target in rows:
+        words = t.split()
+        for k in (0, 1)[not target :]:
+            counts[k].update(words)
+            counts[k].update(zip(words, words[1:]))
+    size = sum(isinstance(w, str) for w in counts[1])
+    assert size > 2**lm.WORD_BITS and len(got) == n
+    for i in (0, 1):
+        text = rows[i][1].split()
+        want = []
+        for c in counts:
+            one = {w: (c[w] + 1) / (sum(k for x, k in c.items() if isinstance(x, str)) + size) for w in text[:1]}
+            scale = one[text[0]] / (c[text[0]] + 1)
+            p = [one[text[0]]] + [(c[a, b] + lm.BACKING * (c[b] + 1) * scale) / (c[a] + lm.BACKING) for a, b in zip(text, text[1:])]
+            want.append(-np.log(p).mean())
+        assert got[i].target_loss == pytest.approx(want[0], rel=1e-9) and got[i].background_loss == pytest.approx(want[1], rel=1e-9)
+
+
 def test_licenses(spark, docs):
     cases = {
         "The MIT\nlicense, mit-license; Apache (License)": (3, 1, 5, {"mit", "apache"}),

@@ -1,121 +1,176 @@
-"""Cross-entropy difference of two matched bigram models over one hashed vocabulary.
+"""Cross-entropy difference of two bigram models over one vocabulary, counted exactly at every size.
 
 Every word and every pair of neighbours of every text is counted, for the target (chosen documents) and for the
-background (all documents). Words share 2^`WORD_BITS` slots and pairs 2^`PAIR_BITS`, the same for both models, so
-what is broadcast has a fixed size; the counts that are shuffled grow with the corpus.
+background (all documents). Each has a 64-bit key of its own (63 bits of hash, and one that tells pairs from words),
+so nothing is shared but by a collision of hashes. Documents are dealt into blocks of about `BLOCK_BYTES` of text and
+keys into as many buckets, both as many as the corpus asks for. A block sends each bucket the keys it holds with its own
+counts, once a key, so that a common word is one entry per block; the bucket adds them up and answers each block with
+the sums of just those keys, in their order. No model is broadcast and nothing but a size comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from zlib import crc32
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.llm.common import slices
 
-WORD_BITS, PAIR_BITS = 18, 20
+#: One is added to each word of a vocabulary of at least 2^`WORD_BITS`; it is larger where the corpus has more words.
+WORD_BITS = 18
 #: Weight of the word model behind a pair's counts, as a number of occurrences.
 BACKING = 4.0
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 
 
-class Slots(dict):
-    """Slot of a word, worked out once per task and word."""
+class Keys(dict):
+    """Key of a word, an even number; worked out once per worker and word."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        slot = self[word] = crc32(word) & ((1 << WORD_BITS) - 1)
-        return slot
+        key = self[word] = xxhash.xxh64_intdigest(word) & ~1
+        return key
 
 
-def word_slots(text: str | None, slots: Slots) -> np.ndarray:
+KEYS = Keys()
+
+
+def word_keys(text: str | None) -> np.ndarray:
     words = (text or "").lower().encode().split()
-    return np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(KEYS.__getitem__, words), np.uint64, len(words))
+
+
+def pair_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of neighbours, odd numbers."""
+    mixed = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (mixed ^ (mixed >> np.uint64(31))) | np.uint64(1)
+
+
+def block_keys(texts: Sequence[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; distinct keys in order; place among them of all words, then of all pairs; the buckets' borders."""
+    words = [word_keys(t) for t in texts]
+    keys, place = np.unique(np.concatenate([*words, *[pair_keys(w) for w in words if len(w)]]), return_inverse=True)
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.array([len(w) for w in words], np.int64), keys, place, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def pair_slots(words: np.ndarray) -> np.ndarray:
-    mixed = (words[:-1].astype(np.uint64) << np.uint64(WORD_BITS) | words[1:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte by byte: the high ones are alike."""
+    planes = np.ascontiguousarray(numbers.ravel().astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, target, all) of a task; pairs stand behind the words."""
-    totals = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.int64)
-    slots = Slots()
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+
+
+def pair_of_counts(data: bytes, n: int) -> np.ndarray:
+    """Two rows of n counts, target and all."""
+    return unpacked(data, 2 * n).astype(np.int64).reshape(2, n)
+
+
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, which is less to shuffle."""
     for batch in batches:
         for part in slices(batch, "text"):
-            chosen = part["target"].to_pylist()
-            for target in (True, False):
-                own = [word_slots(t, slots) for t, c in zip(part["text"].to_pylist(), chosen) if c == target]
-                found = [*own, *[pair_slots(w) + (1 << WORD_BITS) for w in own if len(w) > 1]]
-                if found:
-                    counts = np.bincount(np.concatenate(found), minlength=totals.shape[1])
-                    totals[1] += counts
-                    if target:
-                        totals[0] += counts
-    at = np.flatnonzero(totals[1])
-    for i in range(0, len(at), 100_000):
-        some = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[0, some]), pa.array(totals[1, some])], names=["slot", "n_target", "n_all"])
-
-
-class BigramModel:
-    """Dirichlet-smoothed pair model over a word model with one added to each slot."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.words, self.pairs, self.total = words.astype(np.float32), pairs.astype(np.float32), float(words.sum())
-
-    def losses(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Negative log probability of each word, of the first without a word before it."""
-        alone = (self.words[words].astype(np.float64) + 1) / (self.total + (1 << WORD_BITS))
-        before = self.words[words[:-1]].astype(np.float64)
-        # a pair's slot may hold other pairs too; no more than the first word's own count is believed
-        together = np.minimum(self.pairs[pairs], before)
-        follows = (together + BACKING * alone[1:]) / (before + BACKING)
-        return -np.log(np.concatenate([alone[:1], follows]))
-
-
-def fit(docs: DataFrame) -> tuple[BigramModel, BigramModel]:
-    """Target and background models of `docs(text, target)`; at most 2^18 + 2^20 sums reach the driver."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("target"), F.lit(False)).alias("target"))
-    table = rows.mapInArrow(count_rows, "slot int, n_target long, n_all long").groupBy("slot").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all")).toArrow()
-    models, slot = [], table["slot"].to_numpy()
-    for name in ("n_target", "n_all"):
-        counts = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), np.int64)
-        counts[slot] = table[name].to_numpy()
-        models.append(BigramModel(counts[: 1 << WORD_BITS], counts[1 << WORD_BITS :]))
-    return models[0], models[1]
-
-
-def cross_entropy_difference(docs: DataFrame) -> DataFrame:
+            texts = [(t or "").encode() for t in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), part["target"]], names=["doc_id", "text", "n_bytes", "target"])
+
+
+def texts(part: pa.Table) -> list[str]:
+    return [pa.decompress(t, n, "zstd", asbytes=True).decode() if n else "" for t, n in zip(part["text"].to_pylist(), part["n_bytes"].to_pylist())]
+
+
+def sums(place: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(place, c, n) for c in counts]).astype(np.int64)
+
+
+ASKED = "block long, bucket long, n_keys long, keys binary, counts binary"
+ANSWERED = "block long, bucket long, counts binary, vocabulary long, n_target long, n_all long"
+SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+
+
+def asked(part: pa.Table, buckets: int) -> pa.Table:
+    """A row for each bucket, those of no key as well: a block's distinct keys and its counts of them."""
+    n, keys, place, cuts = block_keys(texts(part), buckets)
+    chosen = np.array(part["target"].to_pylist(), bool)
+    weights = np.concatenate([np.repeat(chosen, n), np.repeat(chosen, np.maximum(n - 1, 0))])
+    counts = np.stack([np.bincount(place[weights], minlength=len(keys)), np.bincount(place, minlength=len(keys))])
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    return pa.table({
+        "block": pa.array([part["block"][0].as_py()] * buckets, pa.int64()), "bucket": pa.array(range(buckets), pa.int64()), "n_keys": pa.array(np.diff(cuts), pa.int64()),
+        "keys": pa.array([packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in spans], pa.binary()), "counts": pa.array([packed(counts[:, i:j]) for i, j in spans], pa.binary()),
+    })
+
+
+def answered(part: pa.Table) -> pa.Table:
+    """The sums of a bucket's keys for each block that has them, with the bucket's number of words, distinct and in all."""
+    parts = [np.cumsum(unpacked(k, n), dtype=np.uint64) for k, n in zip(part["keys"].to_pylist(), part["n_keys"].to_pylist())]
+    keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+    counts = sums(place, np.concatenate([pair_of_counts(c, len(k)) for c, k in zip(part["counts"].to_pylist(), parts)], axis=1), len(keys))
+    words = (keys & np.uint64(1)) == 0
+    ends = np.cumsum([len(k) for k in parts])
+    same = lambda x: pa.array([int(x)] * len(parts), pa.int64())
+    return pa.table({
+        "block": part["block"], "bucket": part["bucket"], "counts": pa.array([packed(counts[:, place[e - len(k) : e]]) for e, k in zip(ends, parts)], pa.binary()),
+        "vocabulary": same(words.sum()), "n_target": same(counts[0, words].sum()), "n_all": same(counts[1, words].sum()),
+    })
+
+
+def losses(n: np.ndarray, place: np.ndarray, counts: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    """Negative log probability of each word, of the first of a text without a word before it.
+
+    A Dirichlet-smoothed pair model over a word model with one added to each word.
+    """
+    words, pairs = counts[place[: n.sum()]].astype(np.float64), counts[place[n.sum() :]]
+    p = (words + 1) / (total + vocabulary)
+    later = np.ones(len(p), bool)
+    later[(np.cumsum(n) - n)[n > 0]] = False
+    at = np.flatnonzero(later)
+    p[at] = (pairs + BACKING * p[at]) / (words[at - 1] + BACKING)
+    return -np.log(p)
+
+
+def scored(part: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    if not part.num_rows:
+        return SCORED.empty_table()
+    n, _, place, cuts = block_keys(texts(part), buckets)
+    answers = answers.sort_by("bucket")
+    counts = np.concatenate([pair_of_counts(c, k) for c, k in zip(answers["counts"].to_pylist(), np.diff(cuts))], axis=1)
+    vocabulary = max(1 << WORD_BITS, sum(answers["vocabulary"].to_pylist()))
+    means = np.zeros((2, len(n)))
+    if n.any():
+        for k, name in enumerate(("n_target", "n_all")):
+            loss = losses(n, place, counts[k], sum(answers[name].to_pylist()), vocabulary)
+            means[k, n > 0] = np.add.reduceat(loss, (np.cumsum(n) - n)[n > 0]) / n[n > 0]
+    return pa.table([part["doc_id"], pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[1] - means[0])], schema=SCORED)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+
+
+def cross_entropy_difference(docs: DataFrame, n_bytes: int | None = None) -> DataFrame:
     """`doc_id, n_tokens, target_loss, background_loss, score` for `docs(doc_id, text, target)`.
 
     Losses are means per word in nats; the score is the mean of their differences, background less target, so that
     higher is closer to the target. Null and empty texts have no words, losses and score 0. A null target is no target.
-    Repeated rows count, and are scored, as often as they occur.
+    Repeated rows count, and are scored, as often as they occur. `n_bytes` of text, if known, save a pass.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = shared.value
-        slots = Slots()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                out: list[tuple[int, float, float, float]] = []
-                for text in part["text"].to_pylist():
-                    words = word_slots(text, slots)
-                    if not len(words):
-                        out.append((0, 0.0, 0.0, 0.0))
-                        continue
-                    pairs = pair_slots(words)
-                    t, b = target.losses(words, pairs), background.losses(words, pairs)
-                    out.append((len(words), float(t.mean()), float(b.mean()), float((b - t).mean())))
-                n, t, b, score = zip(*out)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(score)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(rows, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    buckets = -(-(text_bytes(docs) if n_bytes is None else n_bytes) // BLOCK_BYTES) or 1
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("target"), F.lit(False)).alias("target"))
+    # both uses have the same plan, so that the texts are shuffled once
+    small = chosen.mapInArrow(squeezed, "doc_id long, text binary, n_bytes long, target boolean")
+    dealt = small.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets))).groupBy("block")
+    asks = dealt.applyInArrow(lambda part: asked(part, buckets), ASKED)
+    answers = asks.groupBy("bucket").applyInArrow(answered, ANSWERED)
+    return dealt.cogroup(answers.groupBy("block")).applyInArrow(lambda part, got: scored(part, got, buckets), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

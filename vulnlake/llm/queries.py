@@ -38,7 +38,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good and not toxic. Background: all documents. Labels are joined alike at every size."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg((F.max("quality") - F.max("toxic") == 1).alias("target"))
-    return lm.cross_entropy_difference(documents(spark, sf_dir).select("doc_id", "text").join(labels.hint("merge"), "doc_id", "left"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lm.cross_entropy_difference(docs.join(labels.hint("merge"), "doc_id", "left"), lm.text_bytes(docs))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
