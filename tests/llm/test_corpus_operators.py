@@ -294,6 +294,18 @@ def test_expressions(text, order_, free):
     assert got == (order_.split() if order_ else None) and (got is None or licenses.evaluate(got)[1] == free)
 
 
+def test_long_expressions():
+    parts = ["MIT"] * 100 + ["GPL-2.0"]
+    for line in (" AND ".join(parts), "(" + " AND ".join(parts) + ") */", "(" * 300 + "MIT AND GPL-2.0" + ")" * 300):
+        hits = licenses.scan(f"SPDX-License-Identifier: {line}\nx")["hits"]
+        assert [(h["label"], h["permissive"]) for h in hits if h["kind"] == "tag"] == [("gpl", False), ("mit", False)]
+    draw = random.Random(3)
+    for _ in range(3000):
+        tokens = [draw.choice(["(", ")", "a", "b", "or", "and", "with"]) for _ in range(draw.randint(0, 12))]
+        orders = [o for n in range(len(tokens), 0, -1) if (o := licenses.postfix(" ".join(tokens[:n]).encode()))]
+        assert licenses.expression_at(" ".join(tokens).encode()) == (orders[0] if orders else None)
+
+
 def test_packing(spark, docs):
     own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     rows = packing.best_fit_pack(docs, per_task=3).collect()

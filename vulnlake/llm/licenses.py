@@ -55,39 +55,49 @@ def tags() -> ahocorasick.Automaton:
     return built
 
 
-def postfix(expression: bytes) -> list[str] | None:
-    """Shunting-yard: operands and operators in postfix order, or None where the expression is broken."""
+def longest(line: bytes) -> tuple[list[str] | None, bool]:
+    """Shunting-yard: operands and operators in postfix order of the longest beginning that is an expression, and whether that is all."""
     out: list[str] = []
     held: list[str] = []
-    operand = True  # whether one is due next
-    for token in (t.decode("latin-1").lower() for t in TOKEN.findall(expression)):
+    operand, whole = True, False  # whether an operand is due next; whether all tokens were used
+    opened = 0  # brackets
+    done: tuple[int, list[str]] | None = None  # output and what is held at the last place where an expression may end
+    for token in (m.group().decode("latin-1").lower() for m in TOKEN.finditer(line)):
         if token == "(":
             if not operand:
-                return None
+                break
             held.append(token)
+            opened += 1
         elif token == ")":
-            if operand:
-                return None
-            while held and held[-1] != "(":
+            if operand or not opened:
+                break
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                return None
             held.pop()
+            opened -= 1
         elif token in LEVEL:
             if operand:
-                return None
+                break
             while held and LEVEL.get(held[-1], 0) >= LEVEL[token]:
                 out.append(held.pop())
             held.append(token)
             operand = True
         else:
             if not operand:
-                return None
+                break
             out.append(token)
             operand = False
-    if operand or "(" in held:
-        return None
-    return out + held[::-1]
+        if not operand and not opened:  # no more than one operator of each level is held
+            done = len(out), held[::-1]
+    else:
+        whole = not operand and not opened
+    return (out[: done[0]] + done[1] if done else None), whole
+
+
+def postfix(expression: bytes) -> list[str] | None:
+    """Operands and operators in postfix order, or None where the expression is broken."""
+    order, whole = longest(expression)
+    return order if whole else None
 
 
 def family(identifier: str) -> str:
@@ -108,11 +118,7 @@ def evaluate(order: list[str]) -> tuple[set[str], bool]:
 
 def expression_at(line: bytes) -> list[str] | None:
     """The longest beginning of a line that is an expression (closing comment marks and prose may follow)."""
-    tokens = TOKEN.findall(line)[:64]
-    for n in range(len(tokens), 0, -1):
-        if order := postfix(b" ".join(tokens[:n])):
-            return order
-    return None
+    return longest(line)[0]
 
 
 def scan(text: str) -> dict:
