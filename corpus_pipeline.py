@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vulnlake.llm import langid, packing, quality, simhash, suffixes
-from vulnlake.llm.common import documents, removed, written
+from vulnlake.llm import langid, near, packing, quality, suffixes
+from vulnlake.llm.common import checkpointed, documents, removed, written
 
 #: A language that is less likely than this is not taken.
 LEAST_SCORE = 0.5
@@ -42,14 +42,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; of rows with that id, one."""
-    found = simhash.near_duplicates(docs)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    left = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]), "left_semi")
-    if chosen.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that with the smallest id
+    and then hash of its text, null ids last; of equal rows, one. Rows are matched on id and text, nulls included."""
+    rows, named = near.groups(docs)
+    counted = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
+    chosen = checkpointed(counted.join(named, "text_hash").groupBy("component").agg(F.min(order).alias("c")).select("c.doc_id", "c.text_hash", "c.n"))
+    same = docs["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == chosen["text_hash"])
+    left = docs.join(chosen, same, "left_semi")
+    if chosen.filter("n > 1").isEmpty():
         return left
     place = fresh(docs, "place")
-    ordered = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    ordered = W.partitionBy("doc_id", F.xxhash64(F.col("text").cast("string"))).orderBy(F.lit(0))
     return left.withColumn(place, F.row_number().over(ordered)).filter(F.col(place) == 1).select(docs.columns)
 
 

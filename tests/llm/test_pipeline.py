@@ -96,3 +96,15 @@ def test_empty_table_and_torn_characters(spark, monkeypatch):
 def test_one_row_of_an_id_that_comes_twice(spark, rows):
     docs = spark.createDataFrame([rows[1], rows[1], rows[2]], SCHEMA)
     assert got(stage("SimHash near-dedup")(spark, docs, "")) == sorted((r[0], r[1], r[2]) for r in (rows[1], rows[2]))
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    base = [prose("aa", 150).split() for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    changed = [[*w[:50], "other", *w[51:100], "words", *w[101:]] for w in base]  # ten of 146 runs differ: similarity 0.87
+    rows += [(100 + i, " ".join(w)) for i, w in enumerate(changed)]
+    far = [[("x" + c if k % 15 == 0 else c) for k, c in enumerate(w)] for w in base]  # similarity 0.5
+    rows += [(200 + i, " ".join(w)) for i, w in enumerate(far)]
+    assert sum((fingerprint(a[1]) ^ fingerprint(b[1])).bit_count() > 2 for a, b in zip(rows, rows[20:40])) > 10
+    out = stage("SimHash near-dedup")(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in out.collect()} == {*range(20), *range(200, 220)}
