@@ -108,3 +108,10 @@ def test_near_copies_of_five_word_shingles(spark):
     assert sum((fingerprint(a[1]) ^ fingerprint(b[1])).bit_count() > 2 for a, b in zip(rows, rows[20:40])) > 10
     out = stage("SimHash near-dedup")(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id for r in out.collect()} == {*range(20), *range(200, 220)}
+
+
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    a, b, c, d = (prose("aa", 80) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (1, d), (None, None)]
+    out = stage("SimHash near-dedup")(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(out.collect(), key=str) == sorted([(None, a), (None, b), (5, c), (1, d), (None, None)], key=str)
