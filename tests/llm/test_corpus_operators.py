@@ -352,13 +352,18 @@ def test_suffix_array():
         text = [DRAW.randint(1, DRAW.choice([1, 2, 3, 9])) for _ in range(DRAW.randint(0, 40))] + [0]
         got = suffixes.grouped_suffix_array(text)
         assert got == sorted(range(len(text)), key=lambda i: text[i:])
-        reach = suffixes.longest_elsewhere(text, got)
-        for i in range(len(text)):
-            longest = max((next(h for h in range(len(text)) if text[i + h : i + h + 1] != text[j + h : j + h + 1]) for j in range(len(text)) if j != i), default=0)
-            assert reach[i] == longest
-
-
-def brute_dedup(texts, length):
+        rank, shared = suffixes.shared_lengths(text, got)
+        assert [got[r] for r in rank] == list(range(len(text)))
+        asks = [(i, d) for i in range(len(text)) for d in range(1, len(text) - i)]
+        if asks:
+            least, more = suffixes.first_alike(rank, shared, *np.array(asks).T)
+            for (i, d), first, others in zip(asks, least, more):
+                alike = [rank[j] for j in range(len(text)) if text[j : j + d] == text[i : i + d]]
+                assert first == min(alike) and others == (len(alike) > 1)
+
+
+def brute_spans(texts, length):
+    """Marks of the bytes under windows that start twice."""
     raws = [t.encode() for t in texts]
     seen = Counter(r[p : p + length] for r in raws for p in range(len(r) - length + 1))
     out = []
@@ -367,16 +372,20 @@ def brute_dedup(texts, length):
         for p in range(len(r) - length + 1):
             if seen[r[p : p + length]] > 1:
                 gone[p : p + length] = b"\1" * length
-        runs = sum(1 for i in range(len(r)) if gone[i] and not (i and gone[i - 1]))
-        out.append((len(r), sum(gone), runs, bytes(b for b, g in zip(r, gone) if not g)))
+        out.append((r, [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]))
     return out
 
 
-@pytest.mark.parametrize("crowd", [3, 4000])
-def test_suffix_dedup(spark, monkeypatch, crowd):
-    monkeypatch.setattr(suffixes, "CROWD", crowd)
-    monkeypatch.setattr(suffixes, "PER_BUCKET", 25)
-    monkeypatch.setattr(suffixes, "BLOCK", 700)
+def brute_dedup(texts, length, least_words=0):
+    out = []
+    for r, spans in brute_spans(texts, length):
+        spans = [(a, z) for a, z in spans if len(r[a:z].split()) >= least_words]
+        inside = {k for a, z in spans for k in range(a, z)}
+        out.append((len(r), len(inside), len(spans), bytes(b for k, b in enumerate(r) if k not in inside)))
+    return out
+
+
+def near_texts():
     base = [" ".join(DRAW.choice(WORDS) for _ in range(DRAW.randint(20, 120))) for _ in range(8)]
     texts = [None, "", "short", "a" * 900, "a" * 99, "ab" * 200, "é" * 150]
     for _ in range(70):
@@ -384,16 +393,50 @@ def test_suffix_dedup(spark, monkeypatch, crowd):
         for _ in range(DRAW.randint(0, 3)):
             words[DRAW.randrange(len(words))] = DRAW.choice(WORDS)
         texts.append(" ".join(words) + (" " + DRAW.choice(base) if DRAW.random() < 0.3 else ""))
-    rows = [(i if i % 30 else None, t, "clash") for i, t in enumerate(texts)] + [(3, "a" * 900, "twice")]
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [3, 4000])
+def test_suffix_dedup(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "PER_BUCKET", 25)
+    monkeypatch.setattr(suffixes, "BLOCK", 700)
+    rows = [(i if i % 30 else None, t, "clash") for i, t in enumerate(near_texts())] + [(3, "a" * 900, "twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_removed string").coalesce(2)
     with pytest.raises(ValueError):
         suffixes.deduplicated(df, 100, keep=("n_removed",))
-    plain = suffixes.deduplicated(df, 100).collect()
-    want = [(r[0], *x) for r, x in zip(rows, brute_dedup([r[1] or "" for r in rows], 100))]
-    assert order((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in plain) == order(want)
+    texts = [r[1] or "" for r in rows]
+    told = [sum(len(r[a:z].split()) >= 12 for a, z in spans) for r, spans in brute_spans(texts, 70)]
+    for length, least_words in ((100, 0), (100, 20)):
+        got = suffixes.deduplicated(df, length, least_words=least_words, passage=(70, 12)).collect()
+        want = [(r[0], *x, n) for r, x, n in zip(rows, brute_dedup(texts, length, least_words), told)]
+        assert order((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_passages) for r in got) == order(want)
     assert suffixes.deduplicated(df.filter("false"), 100).count() == 0
 
 
+def test_suffix_dedup_at_400_bytes(spark):
+    passages = [" ".join("".join(DRAW.choice("abcdefgh") for _ in range(DRAW.randint(2, 9))) for _ in range(n)) for n in range(40, 130, 3)]
+    fill = lambda: " ".join("".join(DRAW.choice("mnopqrs") for _ in range(DRAW.randint(2, 9))) for _ in range(DRAW.randint(5, 200)))
+    texts = [f"{fill()} {p} {fill()}" for p in passages for _ in range(DRAW.randint(1, 4))] + ["z" * 399, "z" * 400, "y" * 401, "w" * 5000]
+    rows = list(enumerate(texts))
+    got = suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 400, passage=suffixes.PASSAGE).collect()
+    told = [sum(len(r[a:z].split()) >= 51 for a, z in spans) for r, spans in brute_spans(texts, 240)]
+    want = [(i, *x, n) for (i, _), x, n in zip(rows, brute_dedup(texts, 400), told)]
+    assert order((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_passages) for r in got) == order(want) and any(told)
+
+
+def test_the_suffix_array_decides(monkeypatch):
+    base = ["".join(DRAW.choice("abcdefgh ") for _ in range(600)) for _ in range(3)]
+    runs = [b[: DRAW.randint(0, 100)] + "".join(DRAW.choice("xyz") for _ in range(DRAW.randint(0, 5))) + b for b in base for _ in range(6)]
+    keys, windows = np.zeros(len(runs), np.int64), np.array([len(r) - 399 for r in runs])
+    flags = lambda: np.concatenate(suffixes.Phrases([r.encode() for r in runs], keys).repeated(np.zeros(len(runs), np.int64), windows, 400))
+    seen = Counter(r[p : p + 400] for r in runs for p in range(len(r) - 399))
+    right = flags()
+    assert right.tolist() == [seen[r[p : p + 400]] > 1 for r in runs for p in range(len(r) - 399)]
+    monkeypatch.setattr(suffixes, "grouped_suffix_array", lambda text: list(range(len(text))))
+    assert (flags() != right).any()
+
+
 def test_vocabulary_is_a_parameter(tmp_path):
     with open(tokenizer_path("byte_bpe_50k.json")) as f:
         spec = json.load(f)

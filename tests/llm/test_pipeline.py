@@ -1,6 +1,7 @@
 """Each pipeline stage, and the whole, against plain Python on a small table with awkward rows."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -26,7 +27,7 @@ def rows():
     return [(i, t, lang, "s", None if t is None else len(t), "clash", 1) for i, (lang, t) in enumerate(texts)]
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, own_id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, `own.id` long"
 
 
 def stage(name):
@@ -62,11 +63,17 @@ def test_stages(spark, rows):
 
     cut = stage("suffix-array dedup")(spark, single, "")
     texts = {r.doc_id: r.text for r in single.collect()}
-    windows = Counter(t[p : p + 400] for t in texts.values() for p in range(len(t) - 399))
+    size, least = suffixes.PASSAGE
+    windows = Counter(t[p : p + size] for t in texts.values() for p in range(len(t) - size + 1))
     want = {}
     for i, t in texts.items():
-        gone = {k for p in range(len(t) - 399) if windows[t[p : p + 400]] > 1 for k in range(p, p + 400)}
-        want[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+        marks = ["."] * len(t)
+        for p in range(len(t) - size + 1):
+            if windows[t[p : p + size]] > 1:
+                marks[p : p + size] = "x" * size
+        spans = [m.span() for m in re.finditer("x+", "".join(marks)) if len(t[m.start() : m.end()].split()) >= least]
+        edges = [0, *[e for s in spans for e in s], len(t)]
+        want[i] = "".join(t[x:y] for x, y in zip(edges[::2], edges[1::2]))
     assert {r.doc_id: r.text for r in cut.collect()} == want and want != texts and all(r.n_chars == len(r.text) for r in cut.collect())
 
     packed = stage("best-fit packing")(spark, cut, "").collect()
@@ -115,3 +122,20 @@ def test_rows_without_an_id_or_with_a_shared_one(spark):
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (1, d), (None, None)]
     out = stage("SimHash near-dedup")(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(out.collect(), key=str) == sorted([(None, a), (None, b), (5, c), (1, d), (None, None)], key=str)
+
+
+def test_passages_of_over_50_words_go_and_shorter_ones_stay(spark):
+    passages = {n: prose("aa", n) for n in (30, 45, 55, 60, 80, 300)}
+    rows = [(100 * n + k, f"{prose('bb', 60)} {p} {prose('bb', 60)}") for n, p in passages.items() for k in range(2)]
+    cut = {r.doc_id: r.text for r in stage("suffix-array dedup")(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(cut) == len(rows)
+    for i, t in rows:
+        n = i // 100
+        assert (passages[n] in cut[i]) == (n < 51) and (n > 50 or cut[i] == t)
+
+
+def test_all_ids_null(spark):
+    docs = spark.createDataFrame([(None, prose("aa", 80), "aa") for _ in range(6)] + [(None, None, None)] * 2, "doc_id long, text string, lang string").repartition(2)
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, "")
+        assert docs.count() == 6

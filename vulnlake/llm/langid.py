@@ -119,7 +119,8 @@ def fit(labelled: DataFrame) -> Model:
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """`doc_id, held_out, lang_pred, score` of every whole text; `und` and 0 for null or letterless texts.
 
-    Without a learned language every text is `und`. Repeated rows stay repeated; ties go to the first name.
+    Without a learned language every text is `und`. Repeated rows stay repeated; ties go to the first name; an empty
+    table gives no rows. Other columns are left out, whatever their names; a very long text is a slice of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -140,8 +141,8 @@ def prediction(model: Model, spark: SparkSession) -> Callable[[str], Column]:
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         langs, scores = [], [np.zeros(0)]
-        for i in range(0, len(texts), 500):
-            some = shared.value.predict(texts[i : i + 500].tolist())
+        for part in slices(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text"):
+            some = shared.value.predict(part["text"].to_pylist())
             langs += some[0]
             scores.append(some[1])
         return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores)})
