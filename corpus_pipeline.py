@@ -22,8 +22,17 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name for use in expressions, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows are matched on id, text, language and source, nulls included."""
+    """Documents that the quality rules keep. Rows are matched on id, text, language and source, nulls included.
+
+    Null and empty texts have no words and go; repeated rows are judged alike; an empty table gives an empty one; a very
+    long text is judged whole. A missing `lang` or `source` column counts as one unnamed group.
+    """
     kept = quality.judged(docs).filter("kept")
     group = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept["text_hash"])
@@ -31,14 +40,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised; a missing `lang` is filled in. Without any known language all stay."""
-    model = langid.fit(docs.filter(~langid.held_out()))
-    if not model.langs:
+    """Documents in a language that is recognised; a missing `lang` is filled in. Without any known language all stay.
+
+    Null texts and those without a letter go. Repeated rows are judged alike; an empty table gives an empty one.
+    """
+    model = langid.fit(docs.filter(~langid.held_out())) if "lang" in docs.columns else None
+    if not model or not model.langs:
         return docs
     p = fresh(docs, "prediction")
     found = docs.withColumn(p, langid.prediction(model, spark)("text"))
     sure = (F.col(f"{p}.lang_pred") != "und") & (F.col(f"{p}.score") >= LEAST_SCORE)
-    return found.filter(sure).withColumn("lang", F.coalesce("lang", f"{p}.lang_pred")).select(docs.columns)
+    return found.filter(sure).withColumn("lang", F.coalesce("lang", f"{p}.lang_pred")).select(*map(quoted, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +66,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return left
     place = fresh(docs, "place")
     ordered = W.partitionBy("doc_id", F.xxhash64(F.col("text").cast("string"))).orderBy(F.lit(0))
-    return left.withColumn(place, F.row_number().over(ordered)).filter(F.col(place) == 1).select(docs.columns)
+    return left.withColumn(place, F.row_number().over(ordered)).filter(F.col(quoted(place)) == 1).select(*map(quoted, docs.columns))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings of 400 or more that occur elsewhere; a torn character is replaced."""
+    """All documents, without the passages of over 50 words that occur elsewhere; a torn character is replaced.
+
+    Null texts become empty ones. Repeated rows are each other's copies, and an empty table gives an empty one.
+    """
     others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    coded = docs.select("doc_id", "text", *[F.col(c).alias(o) for c, o in others.items()])
-    done = suffixes.deduplicated(coded, length=400, keep=tuple(others.values()))
+    coded = docs.select("doc_id", "text", *[F.col(quoted(c)).alias(o) for c, o in others.items()])
+    length, words = suffixes.PASSAGE
+    done = suffixes.deduplicated(coded, length=length, least_words=words, keep=tuple(others.values()))
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     new = {"doc_id": F.col("doc_id"), "text": text, **{c: F.col(o) for c, o in others.items()}}
     if "n_chars" in others:
@@ -70,7 +86,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens."""
+    """Sequences of 1024 tokens. Null and empty texts are their end id alone; repeated rows are packed as often as they occur."""
     return packing.best_fit_pack(docs)
 
 
