@@ -1,29 +1,34 @@
 """SimHash near-duplicates by a positional byte index with count filtering.
 
 Two fingerprints within two bits differ in at most two of their eight bytes, so they share at least six positional
-bytes. Single bytes are too common to index, so the posting lists are keyed by the bytes of two of the four byte
-pairs: at most two of these pairs are touched, hence linked fingerprints meet in at least one of the six lists.
-Pairs met there are tallied (equal bytes at equal positions), those with six or more are verified bit by bit.
-
-Only distinct fingerprints are indexed. A list with over `LONGEST` of them isn't paired up: its members get linked
-through keys that only fingerprints within two bits can share (their own bits, and these with one bit turned).
+bytes. Single bytes are too common to pair up what they list, so the posting lists are keyed by the bytes of two of the
+four byte pairs: at most two of these pairs are touched, hence linked fingerprints meet in at least one of six lists. A
+list with over `LONGEST` fingerprints is split by two further positions; of the four it has left two at least are shared.
+What a pair of fingerprints shares is tallied over the lists in which it meets, the positions of which are equal; bytes
+of other positions are added. Pairs with six or more are verified bit by bit.
+
+Only distinct fingerprints are indexed. A list by six positions that is still too long isn't paired up, as all its pairs
+reach the count: its members get linked through keys that only fingerprints within two bits can share (their own bits,
+and these with one bit turned).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.llm.common import checkpointed, id_and_text, slices
 from vulnlake.llm.graph import components
 
 LONGEST = 32
+#: Shingles whose hashes are held at once.
+HASHED = 65_536
 BITS_APART, BYTES_SHARED = 2, 6
 
 
@@ -31,10 +36,11 @@ def fingerprint(text: str, size: int = 3) -> int:
     words = text.encode().lower().split()  # of bytes: only A-Z change, only ASCII blanks split
     if not words:
         return 0
-    shingles = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
-    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(64, np.int64), max(1, len(words) - size + 1)
+    for at in range(0, n, HASHED):  # so many hashes at a time, however long the text
+        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(at, min(n, at + HASHED))), "<u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -49,36 +55,58 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return id_and_text(docs).mapInArrow(lambda batches: fingerprint_rows(batches, size), "doc_id long, bits long")
 
 
+def byte_at(bits: Column, k: int) -> Column:
+    return F.shiftrightunsigned(bits, 8 * k).bitwiseAND(0xFF)
+
+
+def postings(places: Iterable[tuple[int, ...]], first: Column) -> Column:
+    """An array (mask, key): for each set of positions its mask, and one hash of the mask, `first` and the bytes there."""
+    masks = [(p, sum(1 << k for k in p)) for p in places]
+    return F.array(*[F.struct(F.lit(m).alias("mask"), F.xxhash64(first, F.lit(m), *[byte_at(F.col("bits"), k) for k in p]).alias("key")) for p, m in masks])
+
+
+def lists_of(posted: DataFrame) -> DataFrame:
+    """Posting lists (mask, key, bits) with their `count`, those of one fingerprint left out."""
+    return checkpointed(posted.join(posted.groupBy("key").count().filter("count > 1"), "key"))
+
+
+def paired(lists: DataFrame) -> DataFrame:
+    """Rows (a, b, mask) for fingerprints that meet in a list that is not crowded."""
+    short = lists.filter(F.col("count") <= LONGEST)
+    return short.select("key", F.col("bits").alias("a"), "mask").join(short.select("key", F.col("bits").alias("b")), "key").filter("a < b").select("a", "b", "mask")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs (a, b) that connect all distinct fingerprints (`bits`) within two bits, directly or through others."""
-    pair = lambda k: F.shiftrightunsigned("bits", 16 * k).bitwiseAND(0xFFFF)
-    keys = [F.struct(F.lit(n).alias("places"), (F.shiftleft(pair(i), 16) + pair(j)).alias("bytes")) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    posted = distinct.select("bits", F.explode(F.array(*keys)).alias("key")).select("bits", F.xxhash64("key.places", "key.bytes").alias("key"))
-    sizes = posted.groupBy("key").count().filter("count > 1")
-    lists = checkpointed(posted.join(sizes, "key"))
-
-    short = lists.filter(F.col("count") <= LONGEST).select("key", "bits")
-    met = short.select("key", F.col("bits").alias("a")).join(short.select("key", F.col("bits").alias("b")), "key").filter("a < b")
+    twos = [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4), 2)]
+    four = lists_of(distinct.select("bits", F.inline(postings(twos, F.lit(0)))))
+    at_two = lambda p: postings(combinations([k for k in range(8) if k not in p], 2), F.col("key"))
+    further = F.coalesce(*[F.when(F.col("mask") == sum(1 << k for k in p), at_two(p)) for p in twos])
+    split = four.filter(F.col("count") > LONGEST).select("bits", "mask", F.explode(further).alias("more"))
+    six = lists_of(split.select("bits", F.col("mask").bitwiseOR(F.col("more.mask")).alias("mask"), F.col("more.key").alias("key")))
+
+    met = paired(four).union(paired(six)).groupBy("a", "b").agg(F.bit_or("mask").alias("mask"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    same = lambda k: (F.shiftrightunsigned(differ, 8 * k).bitwiseAND(0xFF) == 0).cast("int")
-    tally = same(0) + same(1) + same(2) + same(3) + same(4) + same(5) + same(6) + same(7)
-    close = met.filter(tally >= BYTES_SHARED).filter(F.bit_count(differ) <= BITS_APART).select("a", "b")
+    listed = F.bit_count("mask")
+    others = sum((((F.shiftright("mask", k).bitwiseAND(1) == 0) & (byte_at(differ, k) == 0)).cast("int") for k in range(8)), F.lit(0))
+    close = met.filter(listed + others >= BYTES_SHARED).filter(F.bit_count(differ) <= BITS_APART).select("a", "b")
 
-    crowded = lists.filter(F.col("count") > LONGEST).select("bits").distinct()
+    crowded = six.filter(F.col("count") > LONGEST).select("bits").distinct()
     turned = [F.col("bits").bitwiseXOR(F.lit(v - (1 << 64) if v >= 1 << 63 else v)) for v in (1 << k for k in range(64))]
     balls = crowded.select("bits", F.explode(F.array(F.col("bits"), *turned)).alias("near"))
     # all that share a ball are within two bits of each other
     stars = balls.groupBy("near").agg(F.min("bits").alias("a"), F.max("bits").alias("z"), F.count("*").alias("n")).filter("n > 1")
-    paired = stars.filter("n = 2").select("a", F.col("z").alias("b"))
+    twin = stars.filter("n = 2").select("a", F.col("z").alias("b"))
     more = balls.join(stars.filter("n > 2").select("near", "a"), "near").filter("bits <> a").select("a", F.col("bits").alias("b"))
-    return close.union(paired).union(more)
+    return close.union(twin).union(more)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """`doc_id, fingerprint, component_id`: 16 hex digits, and the smallest id that links of two bits or fewer reach.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay repeated and share a
-    component; null ids count as larger than all others. An empty table gives no rows.
+    component; null ids count as larger than all others. An empty table gives no rows. Other columns are left out, whatever
+    their names. Of a very long text `HASHED` shingles are hashed at a time.
     """
     marked = checkpointed(fingerprints(docs, size))
     distinct = checkpointed(marked.groupBy("bits").agg(F.min("doc_id").alias("first")))
