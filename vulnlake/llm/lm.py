@@ -1,8 +1,8 @@
 """Cross-entropy difference of two bigram models over one vocabulary, counted exactly at every size.
 
 Every word and every pair of neighbours of every text is counted, for the target (chosen documents) and for the
-background (all documents). Each has a 64-bit key of its own (63 bits of hash, and one that tells pairs from words),
-so nothing is shared but by a collision of hashes. Documents are dealt into blocks of about `BLOCK_BYTES` of text and
+background (all documents). Each has a key of `KEY_BITS` bits of its own (a hash, and one bit that tells pairs from
+words), so nothing is shared but by a collision of hashes; of 10^11 different keys about one in 100,000 has one. Documents are dealt into blocks of about `BLOCK_BYTES` of text and
 keys into as many buckets, both as many as the corpus asks for. A block sends each bucket the keys it holds with its own
 counts, once a key, so that a common word is one entry per block; the bucket adds them up and answers each block with
 the sums of just those keys, in their order. No model is broadcast and nothing but a size comes to the driver.
@@ -24,6 +24,8 @@ from vulnlake.llm.common import slices
 WORD_BITS = 18
 #: Weight of the word model behind a pair's counts, as a number of occurrences.
 BACKING = 4.0
+#: Bits of a key; fewer are less to shuffle.
+KEY_BITS = 52
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 
@@ -34,7 +36,7 @@ class Keys(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        key = self[word] = xxhash.xxh64_intdigest(word) & ~1
+        key = self[word] = xxhash.xxh64_intdigest(word) >> 64 - KEY_BITS & ~1
         return key
 
 
@@ -51,14 +53,14 @@ def pair_keys(words: np.ndarray) -> np.ndarray:
     mixed = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
     mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (mixed ^ (mixed >> np.uint64(31))) | np.uint64(1)
+    return (mixed ^ (mixed >> np.uint64(31))) >> np.uint64(64 - KEY_BITS) | np.uint64(1)
 
 
 def block_keys(texts: Sequence[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; distinct keys in order; place among them of all words, then of all pairs; the buckets' borders."""
     words = [word_keys(t) for t in texts]
     keys, place = np.unique(np.concatenate([*words, *[pair_keys(w) for w in words if len(w)]]), return_inverse=True)
-    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
     return np.array([len(w) for w in words], np.int64), keys, place, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
@@ -126,13 +128,21 @@ def answered(part: pa.Table) -> pa.Table:
     })
 
 
-def losses(n: np.ndarray, place: np.ndarray, counts: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+def own_counts(n: np.ndarray, place: np.ndarray, keys: int) -> np.ndarray:
+    """For each word and pair, how often its text holds it."""
+    text = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n)), np.maximum(n - 1, 0))])
+    _, which, counts = np.unique(text * keys + place, return_inverse=True, return_counts=True)
+    return counts[which]
+
+
+def losses(n: np.ndarray, counts: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
     """Negative log probability of each word, of the first of a text without a word before it.
 
-    A Dirichlet-smoothed pair model over a word model with one added to each word.
+    A Dirichlet-smoothed pair model over a word model with one added to each word. `counts` are those of all words, then
+    of all pairs, `total` that of the model's words for each text.
     """
-    words, pairs = counts[place[: n.sum()]].astype(np.float64), counts[place[n.sum() :]]
-    p = (words + 1) / (total + vocabulary)
+    words, pairs = counts[: n.sum()].astype(np.float64), counts[n.sum() :]
+    p = (words + 1) / (np.repeat(total, n) + vocabulary)
     later = np.ones(len(p), bool)
     later[(np.cumsum(n) - n)[n > 0]] = False
     at = np.flatnonzero(later)
@@ -143,14 +153,17 @@ def losses(n: np.ndarray, place: np.ndarray, counts: np.ndarray, total: int, voc
 def scored(part: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not part.num_rows:
         return SCORED.empty_table()
-    n, _, place, cuts = block_keys(texts(part), buckets)
+    n, keys, place, cuts = block_keys(texts(part), buckets)
     answers = answers.sort_by("bucket")
     counts = np.concatenate([pair_of_counts(c, k) for c, k in zip(answers["counts"].to_pylist(), np.diff(cuts))], axis=1)
     vocabulary = max(1 << WORD_BITS, sum(answers["vocabulary"].to_pylist()))
     means = np.zeros((2, len(n)))
     if n.any():
-        for k, name in enumerate(("n_target", "n_all")):
-            loss = losses(n, place, counts[k], sum(answers[name].to_pylist()), vocabulary)
+        own, chosen = own_counts(n, place, len(keys)), np.array(part["target"].to_pylist(), bool)
+        for k, (name, held) in enumerate((("n_target", chosen), ("n_all", np.ones(len(n), bool)))):
+            # a text is scored by the counts of all others
+            mine = own * np.concatenate([np.repeat(held, n), np.repeat(held, np.maximum(n - 1, 0))])
+            loss = losses(n, counts[k][place] - mine, sum(answers[name].to_pylist()) - n * held, vocabulary)
             means[k, n > 0] = np.add.reduceat(loss, (np.cumsum(n) - n)[n > 0]) / n[n > 0]
     return pa.table([part["doc_id"], pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[1] - means[0])], schema=SCORED)
 
@@ -163,8 +176,10 @@ def cross_entropy_difference(docs: DataFrame, n_bytes: int | None = None) -> Dat
     """`doc_id, n_tokens, target_loss, background_loss, score` for `docs(doc_id, text, target)`.
 
     Losses are means per word in nats; the score is the mean of their differences, background less target, so that
-    higher is closer to the target. Null and empty texts have no words, losses and score 0. A null target is no target.
-    Repeated rows count, and are scored, as often as they occur. `n_bytes` of text, if known, save a pass.
+    higher is closer to the target. A document is scored by the counts of all others, its copies included: what it adds
+    itself is taken off. Null and empty texts have no words, losses and score 0. A null target is no target. Repeated
+    rows count, and are scored, as often as they occur; an empty table gives no rows; other columns are left out. A very
+    long text makes its block larger. `n_bytes` of text, if known, save a pass.
     """
     buckets = -(-(text_bytes(docs) if n_bytes is None else n_bytes) // BLOCK_BYTES) or 1
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("target"), F.lit(False)).alias("target"))
