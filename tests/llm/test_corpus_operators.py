@@ -219,25 +219,37 @@ def test_sketch_quartiles_are_close(spark):
     assert q.total == 1000 and all(abs(a - b) <= b / 16 for a, b in ((q.lower, sorted(values)[249]), (q.upper, sorted(values)[749])))
 
 
+def brute_losses(rows):
+    """Target and background loss of each document by the counts of all others."""
+    split = {i: (t or "").lower().split() for i, t, _ in rows}
+    counts = [Counter(), Counter()]
+    for i, _, target in rows:
+        for k in (0, 1)[not target :]:
+            counts[k].update(split[i])
+            counts[k].update(zip(split[i], split[i][1:]))
+    size = max(1 << lm.WORD_BITS, sum(isinstance(w, str) for w in counts[1]))
+    totals = [sum(n for w, n in c.items() if isinstance(w, str)) for c in counts]
+    out = {}
+    for i, _, target in rows:
+        own = Counter(split[i]) + Counter(zip(split[i], split[i][1:]))
+        both = []
+        for k, c in enumerate(counts):
+            held = k or target
+            left = lambda x: c[x] - (own[x] if held else 0)  # noqa: B023, E731
+            one = lambda w: (left(w) + 1) / (totals[k] - (len(split[i]) if held else 0) + size)  # noqa: B023, E731
+            p = [one(w) for w in split[i][:1]] + [(left((a, b)) + lm.BACKING * one(b)) / (left(a) + lm.BACKING) for a, b in zip(split[i], split[i][1:])]
+            both.append(float(-np.log(p).mean()) if p else 0.0)
+        out[i] = tuple(both)
+    return out
+
+
 def test_language_model_difference(spark, docs):
     rows = [(i, " ".join(DRAW.choice(WORDS[:20] if i % 2 else WORDS[60:80]) for _ in range(50)), i % 2 == 1 and i < 30) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
     got = {r.doc_id: r for r in lm.cross_entropy_difference(df).collect()}
     assert min(got[i].score for i in range(1, 60, 2)) > max(got[i].score for i in range(0, 60, 2))
-    text = rows[3][1].lower().encode().split()
-    counts = [Counter(), Counter()]
-    for i, t, target in rows:
-        words = t.lower().encode().split()
-        for k in (0, 1):
-            if k or target:
-                counts[k].update(words)
-                counts[k].update(zip(words, words[1:]))
-    def loss(c):
-        total = sum(n for w, n in c.items() if isinstance(w, bytes))
-        one = lambda w: (c[w] + 1) / (total + 2**lm.WORD_BITS)
-        p = [one(text[0])] + [(c[a, b] + lm.BACKING * one(b)) / (c[a] + lm.BACKING) for a, b in zip(text, text[1:])]
-        return -np.log(p).mean()
-    assert got[3].target_loss == pytest.approx(loss(counts[0]), rel=1e-4) and got[3].background_loss == pytest.approx(loss(counts[1]), rel=1e-4)
+    want = brute_losses(rows)
+    assert all((got[i].target_loss, got[i].background_loss, got[i].score) == pytest.approx((a, b, b - a), rel=1e-9) for i, (a, b) in want.items())
     odd = lm.cross_entropy_difference(docs.withColumn("target", F.lit(None).cast("boolean")))
     assert odd.filter("doc_id < 4 and (n_tokens <> 0 or score <> 0)").count() == 0 and odd.count() == docs.count()
     assert lm.cross_entropy_difference(empty(df)).count() == 0
@@ -248,23 +260,9 @@ def test_language_model_counts_more_words_than_any_fixed_table(spark, monkeypatc
     draw, n = random.Random(5), 400
     rows = [(i, " ".join(f"w{draw.randrange(2_000_000)}" for _ in range(1000)), i % 4 == 0) for i in range(n)]
     got = {r.doc_id: r for r in lm.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(4)).collect()}
-    counts = [Counter(), Counter()]
-    for _, t, target in rows:
-        words = t.split()
-        for k in (0, 1)[not target :]:
-            counts[k].update(words)
-            counts[k].update(zip(words, words[1:]))
-    size = sum(isinstance(w, str) for w in counts[1])
-    assert size > 2**lm.WORD_BITS and len(got) == n
-    for i in (0, 1):
-        text = rows[i][1].split()
-        want = []
-        for c in counts:
-            one = {w: (c[w] + 1) / (sum(k for x, k in c.items() if isinstance(x, str)) + size) for w in text[:1]}
-            scale = one[text[0]] / (c[text[0]] + 1)
-            p = [one[text[0]]] + [(c[a, b] + lm.BACKING * (c[b] + 1) * scale) / (c[a] + lm.BACKING) for a, b in zip(text, text[1:])]
-            want.append(-np.log(p).mean())
-        assert got[i].target_loss == pytest.approx(want[0], rel=1e-9) and got[i].background_loss == pytest.approx(want[1], rel=1e-9)
+    assert len({w for _, t, _ in rows for w in t.split()}) > 2**lm.WORD_BITS and len(got) == n
+    want = brute_losses(rows)
+    assert all((got[i].target_loss, got[i].background_loss) == pytest.approx(want[i], rel=1e-9) for i in want)
 
 
 def test_licenses(spark, docs):
@@ -443,3 +441,22 @@ def test_vocabulary_is_a_parameter(tmp_path):
     place = tmp_path / "own.json"
     place.write_text(json.dumps(spec))
     assert bpe.IdPacker(str(place)).pack("a b") == bpe.IdPacker("byte_bpe_50k.json").pack("a b")
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_LINKS", 20)
+    draw = random.Random(4)
+    pairs = [(1, k) for k in range(2, 200)] + [(k, k + 300) for k in range(100, 130)] + [(draw.randrange(1000, 1400), draw.randrange(1000, 1400)) for _ in range(150)]
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {i for a, b in pairs if a != b for i in (a, b)}
+    assert got == {i: root(i) for i in linked}

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import checkpointed, slices
+from vulnlake.llm.common import checkpointed, packed_texts, slices, unpacked
 from vulnlake.llm.graph import components
 from vulnlake.llm.simhash import LONGEST, fingerprint, links
 
@@ -45,7 +45,8 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
     """Rows `doc_id, text_hash` of all documents, and `text_hash, component` of the distinct texts.
 
     Texts of a similarity of `similarity` or more share a component, directly or through others. A list of over
-    `LONGEST` texts isn't paired up: its members are compared with one of them, another in each band.
+    `LONGEST` texts isn't paired up: its members are compared with one of them, another in each band. Null texts are empty,
+    all texts without a word are alike, and repeated rows stay repeated. An empty table gives empty ones.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +59,8 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [shingles(t or "", size).view(np.int64) for t in part["text"].to_pylist()]
+            for part in slices(batch, "packed"):
+                found = [shingles(unpacked(t).decode(), size).view(np.int64) for t in part["packed"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["text_hash"], pa.array(found, pa.list_(pa.int64()))], names=["text_hash", "runs"])
 
     text = F.col("text").cast("string")
@@ -81,7 +82,7 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
     pairs = checkpointed(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     asked = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
-    runs = checkpointed(rows.select("text_hash", "text").join(asked, "text_hash", "left_semi").mapInArrow(sets, "text_hash long, runs array<long>").groupBy("text_hash").agg(F.first("runs").alias("runs")))
+    runs = checkpointed(packed_texts(rows.select("text_hash", "text")).join(asked, "text_hash", "left_semi").mapInArrow(sets, "text_hash long, runs array<long>").groupBy("text_hash").agg(F.first("runs").alias("runs")))
     own = lambda c: runs.select(F.col("text_hash").alias(c), F.col("runs").alias(f"{c}_runs"))
     both = F.size(F.array_intersect("a_runs", "b_runs"))
     alike = pairs.join(own("a"), "a").join(own("b"), "b").filter(both >= similarity * (F.size("a_runs") + F.size("b_runs") - both)).select("a", "b")

@@ -20,11 +20,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import checkpointed, removed, slices, written
+from vulnlake.llm.common import checkpointed, packed_texts, removed, slices, unpacked, written
 
 GRAM = 64
 #: Content-defined phrases: a cut where the hash of the 16 bytes before it has its five lowest bits clear.
@@ -447,25 +446,6 @@ def with_bytes(runs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined(packed_texts(docs), asked).mapInArrow(rows, f"{kinds}, bytes binary")
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """With `text` as compressed bytes (`packed`), which halves what a join by document moves."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                packed = [press.compress((t or "").encode()) for t in part["text"].to_pylist()]
-                rest = [n for n in part.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*[part[n] for n in rest], pa.array(packed, pa.binary())], names=[*rest, "packed"])
-
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(rows, ", ".join([*kinds, "packed binary"]))
-
-
-def unpacked(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
-
-
 def joined(docs: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
     """Texts with what belongs to them, in the same way at every size; null ids meet null ids."""
     right = other.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"), *[c for c in other.columns if c not in ("doc_id", "text_hash")])
