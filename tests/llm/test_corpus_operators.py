@@ -283,6 +283,37 @@ def test_licenses(spark, docs):
     assert {h["label"] for h in tagged["hits"]} == {"mit", "gpl", "apache"} and tagged["hits"][0]["permissive"]
 
 
+def brute_licences(text):
+    """n_words, first words of base phrases, and (kind, label, first word) of all hits."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    words, hits = [m.group() for m in found], []
+    for kind, table in (("base", licenses.BASE), ("notice", licenses.NOTICES)):
+        for phrase, label in table.items():
+            p = phrase.split()
+            hits += [(kind, label, i) for i in range(len(words)) if words[i : i + len(p)] == p]
+    for m in re.finditer(r"spdx-license-identifier: *([^\n]*)", low):
+        ids = re.match(r"[a-z0-9.+-]+(?: or [a-z0-9.+-]+)*", m[1])
+        first = sum(w.start() < m.start() for w in found)
+        hits += [("tag", x, first) for x in sorted({licenses.family(t) for t in ids[0].split(" or ")} if ids else set())]
+    return len(words), sorted(i for k, _, i in hits if k == "base"), sorted(hits)
+
+
+def test_licences_in_random_texts(spark):
+    draw = random.Random(9)
+    bits = [*licenses.BASE, *licenses.NOTICES, "MIT License", "Apache-License", "general\npublic\tLICENSE", "é", "mit", "license", "apache", "general", "public", "x1", "--", "\x1c", "İ", "\x85"]
+    tags = ["\nSPDX-License-Identifier: MIT\n", "\n// spdx-license-identifier: GPL-2.0-only or BSD-3-Clause\n", "\nSPDX-License-Identifier:\n", "\nSPDX-License-Identifier: Zlib"]
+    texts = ["".join(draw.choice(bits if draw.random() < 0.9 else tags) + draw.choice([" ", "  ", "\n", ", ", "_"]) for _ in range(draw.randint(0, 40))) for _ in range(400)]
+    for t in texts:
+        got = licenses.scan(t)
+        n, starts, hits = brute_licences(t)
+        assert (got["n_words"], sorted(h["first_word"] for h in got["hits"] if h["kind"] == "base")) == (n, starts)
+        assert sorted((h["kind"], h["label"], h["first_word"]) for h in got["hits"]) == hits
+    long = "the MIT license and more " * 40_000 + "\nSPDX-License-Identifier: ISC"
+    got = licenses.scan(long)
+    assert got["n_words"] == 200_004 and len(got["hits"]) == 40_001 and got["hits"][-2]["first_word"] == 199_996
+
+
 @pytest.mark.parametrize("text,order_,free", [
     ("MIT or GPL-3.0 and BSD-2-Clause", "mit gpl-3.0 bsd-2-clause and or", True), ("(MIT or GPL-3.0) and GPL-2.0", "mit gpl-3.0 or gpl-2.0 and", False),
     ("GPL-2.0 with X and MIT", "gpl-2.0 x with mit and", False), ("MIT or", None, None), ("(MIT", None, None), ("MIT GPL", None, None), ("", None, None),

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -16,20 +17,34 @@ from vulnlake.llm.common import id_and_text, slices
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Further notice phrases (words after lower-casing) and their labels.
 NOTICES = {
-    "lesser general public license": "lgpl", "library general public license": "lgpl",
-    "affero general public license": "agpl", "gnu general public license": "gpl",
-    "mozilla public license": "mpl", "eclipse public license": "epl", "boost software license": "bsl",
-    "bsd license": "bsd", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "isc license": "isc",
+    "lesser general public license": "lgpl", "library general public license": "lgpl", "gnu lgpl": "lgpl",
+    "affero general public license": "agpl", "gnu agpl": "agpl", "gnu general public license": "gpl", "gnu gpl": "gpl",
+    "free documentation license": "gfdl", "mozilla public license": "mpl", "eclipse public license": "epl",
+    "eclipse distribution license": "bsd", "european union public licence": "eupl", "common development and distribution license": "cddl",
+    "common public license": "cpl", "boost software license": "bsl", "academic free license": "afl", "open software license": "osl",
+    "artistic license": "artistic", "python software foundation license": "psf", "server side public license": "sspl",
+    "business source license": "busl", "elastic license": "elastic", "universal permissive license": "upl",
+    "bsd license": "bsd", "bsd licence": "bsd", "bsd style license": "bsd", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "2 clause bsd": "bsd", "3 clause bsd": "bsd",
+    "simplified bsd": "bsd", "isc license": "isc", "isc licence": "isc", "zlib license": "zlib", "the unlicense": "unlicense",
     "redistribution and use in source and binary forms": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under the apache license version 2 0": "apache", "released under the mit license": "mit",
-    "creative commons attribution": "cc", "licensed under cc by": "cc", "cc by nc": "cc", "cc by sa": "cc",
-    "cc0 1 0": "cc0", "public domain": "public-domain", "all rights reserved": "proprietary",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "licensed under the apache license version 2 0": "apache", "released under the mit license": "mit", "mit licence": "mit", "mit licensed": "mit", "apache licence": "apache",
+    "sil open font license": "ofl", "open database license": "odbl", "creative commons attribution": "cc", "creative commons license": "cc",
+    "licensed under cc by": "cc", "cc by nc": "cc", "cc by sa": "cc", "cc by nd": "cc", "cc by 4 0": "cc", "cc by 3 0": "cc", "cc0 1 0": "cc0", "creative commons zero": "cc0",
+    "released into the public domain": "public-domain", "in the public domain": "public-domain", "public domain": "public-domain",
+    "all rights reserved": "proprietary", "proprietary and confidential": "proprietary", "confidential and proprietary": "proprietary",
 }
 TAG = "spdx-license-identifier:"
-#: Family of an identifier by its beginning.
-FAMILIES = ["mit", "apache", "lgpl", "agpl", "gpl", "mpl", "epl", "bsl", "bsd", "isc", "cc0", "cc"]
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "cc0", "public-domain"}
+#: Family of an identifier by its beginning (of several the longest).
+FAMILIES = {
+    "mit": "mit", "x11": "mit", "apache": "apache", "lgpl": "lgpl", "agpl": "agpl", "gpl": "gpl", "gfdl": "gfdl", "mpl": "mpl", "epl": "epl", "eupl": "eupl",
+    "cddl": "cddl", "cpl": "cpl", "bsl": "bsl", "busl": "busl", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "cc0": "cc0", "cc-": "cc", "zlib": "zlib", "unlicense": "unlicense",
+    "wtfpl": "wtfpl", "artistic": "artistic", "afl": "afl", "osl": "osl", "psf": "psf", "python": "psf", "ofl": "ofl", "odbl": "odbl", "upl": "upl",
+    "sspl": "sspl", "elastic": "elastic", "ncsa": "ncsa", "postgresql": "postgresql", "openssl": "openssl", "ms-pl": "ms-pl", "ms-rl": "ms-rl",
+}
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "cc0", "public-domain", "zlib", "unlicense", "wtfpl", "psf", "afl", "upl", "ncsa", "postgresql", "artistic", "ms-pl", "openssl"}
 
 LEVEL = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(rb"[()]|[^\s()]+")
@@ -101,7 +116,7 @@ def postfix(expression: bytes) -> list[str] | None:
 
 
 def family(identifier: str) -> str:
-    return next((f for f in FAMILIES if identifier.startswith(f)), "other")
+    return next((FAMILIES[identifier[:n]] for n in range(len(identifier), 1, -1) if identifier[:n] in FAMILIES), "other")
 
 
 def evaluate(order: list[str]) -> tuple[set[str], bool]:
@@ -122,19 +137,25 @@ def expression_at(line: bytes) -> list[str] | None:
 
 
 def scan(text: str) -> dict:
+    """Number of words, and the hits in order of kind and place; a base phrase inside a notice is a hit of its own."""
     low = text.encode().lower()
     words = low.translate(GAPS).split()
     joined = b" " + b" ".join(words) + b" "
     hits = []
+    begins = np.cumsum([1, *map(len, words)]) + np.arange(len(words) + 1)  # of each word in `joined`
     for end, phrase in automaton().iter(joined.decode("latin-1")):
-        start = end - len(phrase) - 1  # of the blank before it
-        first = joined.count(b" ", 0, start)
-        base = phrase in BASE
-        hits.append({"kind": "base" if base else "notice", "label": BASE[phrase] if base else NOTICES[phrase], "first_word": first, "last_word": first + phrase.count(" "), "expression": None, "permissive": None})
+        first = int(np.searchsorted(begins, end - len(phrase)))  # the phrase's first letter
+        for kind, label in ((k, table[phrase]) for k, table in (("base", BASE), ("notice", NOTICES)) if phrase in table):
+            hits.append({"kind": kind, "label": label, "first_word": first, "last_word": first + phrase.count(" "), "expression": None, "permissive": None})
+    starts = None
     for end, tag in tags().iter(low.decode("latin-1")):
-        order = expression_at(low[end + 1 :].split(b"\n", 1)[0])
+        if starts is None:
+            inside = np.frombuffer(low.translate(GAPS), np.uint8) != 32
+            starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        stop = low.find(b"\n", end + 1)
+        order = expression_at(low[end + 1 : stop if stop >= 0 else len(low)])
         labels, free = evaluate(order) if order else (set(), False)
-        first = len(low[: end + 1 - len(tag)].translate(GAPS).split())
+        first = int(np.searchsorted(starts, end + 1 - len(tag)))
         hits += [{"kind": "tag", "label": x, "first_word": first, "last_word": first + 2, "expression": " ".join(order or []), "permissive": free} for x in sorted(labels)]
     return {"n_words": len(words), "hits": hits}
 
@@ -154,6 +175,8 @@ def license_hits(docs: DataFrame) -> DataFrame:
 
     A tag with an expression has a hit for each label in it, the expression in postfix order, and whether permissive
     licences can meet it; one without a readable expression has none. Null and empty texts have no words and no hits.
+    Repeated rows stay repeated, an empty table gives no rows, other columns are left out whatever their names, and a very
+    long text is scanned whole, in time that grows with it.
     """
     schema = "doc_id long, n_words long, hits array<struct<kind:string,label:string,first_word:long,last_word:long,expression:string,permissive:boolean>>"
     return id_and_text(docs).mapInArrow(scan_rows, schema)
