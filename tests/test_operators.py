@@ -66,7 +66,7 @@ def test_ranks_with_ties(spark):
 def test_running_sums_do_not_depend_on_cells(spark):
     df = spark.createDataFrame([(float(v), DRAW.randint(1, 5)) for v in DRAW.sample(range(1000), 200)], "v double, n int")
     for cells in (1, 3, 64):
-        got = sorted((r.v, r.n, r.run_n) for r in ordering.running_sums(df, "v", ["n"], cells=cells).collect())
+        got = sorted((r.v, r.n, r.run_n) for r in ordering.running_sums(df, "v", ["n"], rows=cells).collect())
         assert [g[2] for g in got] == np.cumsum([g[1] for g in got]).tolist()
 
 
@@ -183,7 +183,7 @@ def test_cox(spark):
 
 def test_concordance(spark):
     rows = [(float(DRAW.randint(1, 15)), float(DRAW.randint(1, 6)), DRAW.randint(0, 1)) for _ in range(120)]
-    got = concordance.concordance_index(spark.createDataFrame(rows, "t double, s double, e int"), "t", "s", "e", cells=5).first()
+    got = concordance.concordance_index(spark.createDataFrame(rows, "t double, s double, e int"), "t", "s", "e", rows=40).first()
     pairs = [(a, b) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and a[2] and (a[0] < b[0] or (a[0] == b[0] and not b[2]))]
     assert got.pairs == len(pairs) and got.concordance == pytest.approx(np.mean([(a[1] > b[1]) + (a[1] == b[1]) / 2 for a, b in pairs]))
 

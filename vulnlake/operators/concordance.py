@@ -2,72 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS = 32
+from vulnlake.operators.ordering import cells_of
+
+#: Cells of times, and of scores, at most; so much of their grid, at most its square in rows, comes to the driver.
+MOST_CELLS = 1000
+
+
+def summed_after(cell: np.ndarray, value: np.ndarray, weight: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """For each query (a place in `value`), the weight of the entries of its cell whose value is below its own."""
+    order = np.lexsort((value, cell))
+    key, total = np.stack([cell[order], value[order]]), np.concatenate([[0.0], np.cumsum(weight[order])])
+    width = int(value.max()) + 2 if len(value) else 1
+    flat = key[0] * width + key[1]
+    low, high = np.searchsorted(flat, queries[0] * width), np.searchsorted(flat, queries[0] * width + queries[1])
+    return total[high] - total[low]
+
+
+def below_and_later(t: np.ndarray, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each entry the weight of those with a greater t and a smaller s; entries (t, s) are distinct.
+
+    In order of t, and of s for one t, blocks of one, two, four and more entries meet their right neighbours.
+    """
+    order = np.lexsort((s, t))
+    value, w = s[order], weight[order]
+    place, out, width = np.arange(len(s)), np.zeros(len(s)), 1
+    while width < len(s):
+        block = place // width
+        right = block % 2 == 1
+        out[~right] += summed_after(block[right] // 2, value[right], w[right], np.stack([block[~right] // 2, value[~right]]))
+        width *= 2
+    found = np.empty(len(s))
+    found[order] = out
+    return found
+
+
+def later(t: np.ndarray, group: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each entry the weight of those of its group with a greater t."""
+    top = int(t.max()) if len(t) else 0
+    return summed_after(group, top - t, weight, np.stack([group, top - t]))
+
+
+def judged(frame: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    """Sums over the events of a frame (t, s, events, weight): better scored, tied, and with `whole` all later rows."""
+    t, s = (np.unique(frame[c].to_numpy(), return_inverse=True)[1].astype(np.int64) for c in ("t", "s"))
+    d, w = frame["events"].to_numpy(float), frame["weight"].to_numpy(float)
+    good, ties = d @ below_and_later(t, s, w), d @ later(t, s, w)
+    return pd.DataFrame({"good": [good], "ties": [ties], "pairs": [d @ later(t, np.zeros_like(t), w) if whole else 0.0]})
 
 
-def concordance_index(df: DataFrame, time: str, score: str, event: str, cells: int = CELLS) -> DataFrame:
+def concordance_index(df: DataFrame, time: str, score: str, event: str, rows: int | None = None) -> DataFrame:
     """One row: share of comparable pairs in which the earlier event has the higher score; score ties count half.
 
-    A pair is comparable when the earlier of two different times is an event, or when times tie and one is an event.
-    Rows are reduced to counts per (time, score). Time cells hold the events of a range of times; each event cell meets
-    the later cells' counts per score once, so the pairs of rows are never listed.
+    A pair is comparable when the earlier of two different times is an event, or when times tie and one is an event. Rows
+    are reduced to counts and dealt into cells by time and by score, as many as the table asks for. Pairs of one time cell
+    are counted there, pairs of one score cell with times of different cells there, and all others from the counts of
+    the cells alone.
     """
-    rows = df.select(F.col(time).cast("double").alias("t"), F.col(score).cast("double").alias("s"), F.col(event).cast("int").alias("e")).dropna()
-    edges = rows.agg(F.percentile_approx("t", F.array(*[F.lit(i / cells) for i in range(1, cells)]), 1000)).first()[0] or []
-    marks = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
-    counted = rows.groupBy("t", "s").agg(F.sum("e").alias("events"), F.sum(1 - F.col("e")).alias("others")).withColumn("cell", F.size(F.filter(marks, lambda x: x < F.col("t"))))
-    events = counted.filter("events > 0")
-    # a cell's rows go to its own cell, and, summed per score, to each earlier cell
-    own = counted.select("cell", "t", "s", "events", "others")
-    per_score = counted.groupBy("cell", "s").agg(F.sum("events").alias("events"), F.sum("others").alias("others"))
-    earlier = per_score.filter("cell > 0").select(F.explode(F.sequence(F.lit(0), F.col("cell") - 1)).alias("cell"), F.lit(None).cast("double").alias("t"), "s", "events", "others")
-    later = earlier.groupBy("cell", "t", "s").agg(F.sum("events").alias("events"), F.sum("others").alias("others"))
-
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        inside = frame[frame["t"].notna()].sort_values("t")
-        after = frame[frame["t"].isna()]
-        s_all = np.unique(frame["s"].to_numpy())
-        tree = np.zeros(len(s_all) + 1)
-        total = 0.0
-
-        def add(i: int, v: float) -> None:
-            i += 1
-            while i <= len(s_all):
-                tree[i] += v
-                i += i & -i
-
-        def below(i: int) -> float:
-            out = 0.0
-            while i > 0:
-                out += tree[i]
-                i -= i & -i
-            return out
-
-        for s, n in zip(after["s"], after["events"] + after["others"]):
-            add(int(np.searchsorted(s_all, s)), float(n))
-            total += n
-        good = ties = pairs = 0.0
-        for _, block in sorted(inside.groupby("t"), key=lambda x: -x[0]):
-            for s, n in zip(block["s"], block["others"]):  # censored at the time of an event are compared with it
-                add(int(np.searchsorted(s_all, s)), float(n))
-                total += n
-            for s, d in zip(block["s"], block["events"]):
-                if d:
-                    i = int(np.searchsorted(s_all, s))
-                    lower, upto = below(i), below(i + 1)
-                    good, ties, pairs = good + d * lower, ties + d * (upto - lower), pairs + d * total
-            for s, n in zip(block["s"], block["events"]):
-                add(int(np.searchsorted(s_all, s)), float(n))
-                total += n
-        return pd.DataFrame({"good": [good], "ties": [ties], "pairs": [pairs]})
-
-    together = own.unionByName(later).join(F.broadcast(events.select("cell").distinct()), "cell", "left_semi")
-    parts = together.groupBy("cell").applyInPandas(judge, "good double, ties double, pairs double")
-    return parts.agg(F.when(F.sum("pairs") > 0, (F.sum("good") + F.sum("ties") / 2) / F.sum("pairs")).alias("concordance"), F.sum("pairs").alias("pairs"))
+    # an event comes before a censored row of its time, so that only what is later by (time, kind) is compared with it
+    base = df.select(F.col(time).cast("double").alias("t"), F.col(score).cast("double").alias("s"), F.col(event).cast("int").alias("e")).dropna()
+    cells = cells_of(cells_of(base.groupBy("t", "s", "e").agg(F.count("*").alias("n")), "t", "tc", rows, MOST_CELLS), "s", "sc", rows, MOST_CELLS)
+    counted = cells.select("tc", "sc", F.struct("t", (1 - F.col("e")).alias("late")).alias("t"), "s", (F.col("n") * F.col("e")).cast("double").alias("events"), F.col("n").cast("double").alias("weight"))
+    sums = "good double, ties double, pairs double"
+    # the order of (t, late) as a number: twice the rank of the time, and one for censored rows
+    ranked = lambda f: pd.DataFrame({"t": np.unique(f["time"], return_inverse=True)[1] * 2 + f["late"].to_numpy(), "s": f["s"], "events": f["events"], "weight": f["weight"]})
+    own_time = counted.select("tc", F.col("t.t").alias("time"), F.col("t.late").alias("late"), "s", "events", "weight").groupBy("tc").applyInPandas(lambda f: judged(ranked(f), True), sums)
+    own_score = counted.groupBy("sc", F.col("tc").alias("t"), "s").agg(F.sum("events").alias("events"), F.sum("weight").alias("weight")).groupBy("sc").applyInPandas(lambda f: judged(f, False), sums)
+    inside = own_time.union(own_score).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("good", "ties", "pairs")])
+    grid = counted.groupBy("tc", "sc").agg(F.sum("events").alias("events"), F.sum("weight").alias("weight")).toPandas()  # at most MOST_CELLS^2 rows
+    d, w = (np.zeros((int(grid["tc"].max()) + 2, int(grid["sc"].max()) + 2)) if len(grid) else np.zeros((2, 2)) for _ in range(2))
+    d[grid["tc"], grid["sc"]], w[grid["tc"], grid["sc"]] = grid["events"], grid["weight"]
+    after = np.cumsum(w[::-1], axis=0)[::-1][1:]  # of later time cells, by score cell
+    less = np.cumsum(after, axis=1) - after
+    good, pairs = float((d[:-1] * less).sum()), float((d[:-1] * after.sum(axis=1, keepdims=True)).sum())
+    all_good, all_pairs = F.col("good") + good + F.col("ties") / 2, F.col("pairs") + pairs
+    return inside.select(F.when(all_pairs > 0, all_good / all_pairs).alias("concordance"), F.when(all_pairs > 0, all_pairs).alias("pairs"))

@@ -12,13 +12,13 @@ from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.operators.ordering import auroc_auprc
+from vulnlake.operators.ordering import auroc_auprc, quantiles
 from vulnlake.operators.splits import impute_and_scale
 
 
 def baseline_score(train: DataFrame, test: DataFrame, column: str, key: str) -> DataFrame:
     """The base score as the ranking; gaps get the train median."""
-    median = train.agg(F.percentile(column, F.lit(0.5)).alias("median_"))
+    median = quantiles(train, column, [0.5]).agg(F.first("q")[0].alias("median_"))
     return test.crossJoin(F.broadcast(median)).select(key, F.coalesce(F.col(column), F.col("median_")).alias("risk_score"))  # one row
 
 

@@ -20,7 +20,7 @@ def merge_sources(feeds: dict[str, DataFrame], min_year: int = 2002) -> DataFram
     are dropped before the shuffle, ids of years before `min_year` too. Of a feed's rows for an id the latest dated
     counts, of equal dates that with the higher score.
     """
-    tagged = None
+    tagged: DataFrame | None = None
     for tag, feed in feeds.items():
         if tag not in SOURCES:
             raise ValueError(f"unknown source {tag!r}")
@@ -30,6 +30,11 @@ def merge_sources(feeds: dict[str, DataFrame], min_year: int = 2002) -> DataFram
         tagged = part if tagged is None else tagged.unionByName(part)
     if tagged is None:
         raise ValueError("no feeds")
+    return merge_tagged(tagged)
+
+
+def merge_tagged(tagged: DataFrame) -> DataFrame:
+    """One row per id of rows (cve_id, tag, r), where `r` holds published and base_score; see `merge_sources`."""
     one = tagged.groupBy("cve_id").agg(*[F.max(F.when(F.col("tag") == t, F.col("r"))).alias(t) for t in SOURCES])
     flags = {t: F.col(t).isNotNull() for t in SOURCES}
     return one.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions.coerce import number
 from vulnlake.functions.features import day_lag
+from vulnlake.operators.ordering import quantiles
 
 FLAGS = ("nvd_present", "jvn_present", "eu_present", "kev_present")
 #: Names of attack vectors.
@@ -83,8 +84,8 @@ def score_pairs(df: DataFrame, x: str, y: str, severity: Column) -> DataFrame:
 def lead_time_quartiles(df: DataFrame, lead: Column, severity: Column, min_score: float = 7.0) -> DataFrame:
     """Distribution of days to listing of exploited CVEs with a score of `min_score` or more, by severity."""
     rows = df.filter(F.col("kev_present") & (F.col("base_score") >= min_score)).select(severity.alias("severity"), lead.alias("lead")).filter("lead is not null")
-    q = F.percentile("lead", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy("severity").agg(F.count("*").alias("n"), F.min("lead").alias("least"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max("lead").alias("most"))
+    q = quantiles(rows, "lead", (0.0, 0.25, 0.5, 0.75, 1.0), "severity")
+    return q.select("severity", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("least", "q1", "median", "q3", "most"))])
 
 
 def attack_vector(letter: Column) -> Column:
@@ -106,11 +107,10 @@ def kev_rate_by(df: DataFrame, key: str, label: str, min_support: int = 1, top:
     return rates.orderBy(F.desc("rate"), F.desc("total"), key).limit(top) if top else rates
 
 
-def hazard_quantile_bands(df: DataFrame, risk: str, probs: Sequence[float] = (0.5, 0.75, 0.9), accuracy: int | None = None) -> DataFrame:
+def hazard_quantile_bands(df: DataFrame, risk: str, probs: Sequence[float] = (0.5, 0.75, 0.9)) -> DataFrame:
     """Rows with the band of their risk: how many of the quantiles it exceeds; thresholds are one broadcast row."""
-    wanted = F.array(*[F.lit(p) for p in probs])
-    q = F.percentile(risk, wanted) if accuracy is None else F.percentile_approx(risk, wanted, accuracy)
-    edges = df.agg(F.min(risk).alias("low"), F.max(risk).alias("high"), q.alias("edges"))
+    q = quantiles(df, risk, (0.0, *probs, 1.0)).agg(F.first("q").alias("q"))
+    edges = q.select(F.col("q")[0].alias("low"), F.col("q")[len(probs) + 1].alias("high"), F.slice("q", 2, len(probs)).alias("edges"))
     band = F.size(F.filter("edges", lambda e: F.col(risk) > e))
     return df.crossJoin(F.broadcast(edges)).withColumn("band", band).withColumn("high_risk", F.col("band") == len(probs)).drop("edges")
 

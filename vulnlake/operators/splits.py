@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.operators.ordering import quantiles
+
 
 def fixed_bins(column: Column, edges: Sequence[float], labels: Sequence[object]) -> Column:
     """Right-closed bins with the lowest edge in the first one; null outside."""
@@ -16,11 +18,10 @@ def fixed_bins(column: Column, edges: Sequence[float], labels: Sequence[object])
     return value
 
 
-def quantile_bins(df: DataFrame, column: str, labels: Sequence[str], name: str, accuracy: int | None = None) -> DataFrame:
+def quantile_bins(df: DataFrame, column: str, labels: Sequence[str], name: str) -> DataFrame:
     """Bins by linear-interpolated quantiles, right-closed, lowest included; equal edges are one, and labels go in order."""
-    probs = F.array(*[F.lit(i / len(labels)) for i in range(len(labels) + 1)])
-    q = F.percentile(column, probs) if accuracy is None else F.percentile_approx(column, probs, accuracy)
-    edges = df.agg(F.array_distinct(q).alias("edges_"))
+    found = quantiles(df, column, [i / len(labels) for i in range(len(labels) + 1)])
+    edges = found.agg(F.array_distinct(F.coalesce(F.first("q"), F.array().cast("array<double>"))).alias("edges_"))
     place = F.greatest(F.lit(1), F.size(F.filter("edges_", lambda e: e < F.col(column))))
     label = F.element_at(F.array(*[F.lit(x) for x in labels]), place)
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), label)).drop("edges_")  # one row
@@ -43,9 +44,10 @@ def impute_and_scale(train: DataFrame, test: DataFrame, columns: Sequence[str])
 
     Adds `z_<name>`; a constant column becomes 0.
     """
-    stats = train.agg(*[x for c in columns for x in (F.count(c).alias(f"n_{c}"), F.percentile(c, F.lit(0.5)).alias(f"m_{c}"))]).first()
-    used = [c for c in columns if stats[f"n_{c}"]]
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(stats[f"m_{c}"])) for c in used}
+    each = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])))
+    median = {r["name"]: r["q"][0] for r in quantiles(each, "value", [0.5], "name").collect()}  # a row for each column
+    used = [c for c in columns if c in median]
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(median[c])) for c in used}
     moments = train.agg(*[x for c in used for x in (F.avg(filled[c]).alias(f"a_{c}"), F.stddev_pop(filled[c]).alias(f"d_{c}"))]).first() if used else None
     z = {f"z_{c}": (filled[c] - moments[f"a_{c}"]) / (moments[f"d_{c}"] or 1.0) for c in used}
     return train.withColumns(z), test.withColumns(z), used

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.features import day_lag
-from vulnlake.operators.ordering import running_sums
+from vulnlake.operators.ordering import quantiles, running, running_sums
 
 
 def survival_frame(df: DataFrame, as_of: str, covariates: Sequence[str], event: str = "kev_present", published: str = "published", listed: str = "kev_published", variance: str | None = None) -> DataFrame:
@@ -98,18 +98,21 @@ def predicted_day(df: DataFrame, model: CoxModel, strata: str, key: str, q: floa
     """`predicted_day`: first event time of the stratum at which a row's survival is at or below the pooled q-quantile.
 
     Survival is exp(-H0(t) * risk), so the matrix of rows and times is not built: a row crosses the threshold where H0
-    reaches -ln(threshold) / risk. The threshold is a weighted approximate quantile over rounded (stratum, risk) groups and
-    times. Rows that never cross have null, and `predicted_display` Never.
+    reaches -ln(threshold) / risk, which one running minimum per stratum tells. The threshold is a weighted quantile over
+    rounded (stratum, risk) groups and times. Rows that never cross have null, and `predicted_display` Never.
     """
     steps = baseline_steps(df, model, strata, time, event).filter(F.col("t") <= horizon)
     scored = cox_partial_hazard(df, model, event).withColumn("g", F.col(strata).cast("string"))
     groups = scored.groupBy("g", F.round("risk_score", 4).alias("risk")).agg(F.count("*").alias("n"))
-    threshold = groups.join(steps, "g").select(F.exp(-F.col("hazard") * F.col("risk")).alias("s"), "n").agg(F.percentile("s", F.lit(q), F.col("n")).alias("threshold"))
+    pairs = groups.join(steps, "g").groupBy(F.exp(-F.col("hazard") * F.col("risk")).alias("s")).agg(F.sum("n").alias("n"))
+    threshold = quantiles(pairs, "s", [q], weight="n").agg(F.first("q")[0].alias("threshold"))
     crossing = scored.crossJoin(F.broadcast(threshold)).withColumn("needed", -F.log("threshold") / F.col("risk_score"))  # one row
-    curves = steps.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("hazard", "t"))).alias("curve"))
-    at = F.array_min(F.transform(F.filter("curve", lambda p: p["hazard"] >= F.col("needed")), lambda p: p["t"]))
-    found = crossing.join(curves, "g", "left").withColumn("predicted_day", at)
-    return found.select(key, "g", "risk_score", "predicted_day", F.coalesce(F.col("predicted_day").cast("string"), F.lit("Never")).alias("predicted_display"))
+    # steps and rows in one order by hazard: the least time of the steps from a row's need on
+    rows = crossing.select(F.col(key).alias("key_"), "g", "risk_score", F.col("needed").alias("level"), F.lit(None).cast("double").alias("t"), F.lit(True).alias("row_"))
+    marks = steps.select("g", F.col("hazard").alias("level"), F.col("t").cast("double").alias("t"), F.lit(False).alias("row_"))
+    found = running(rows.unionByName(marks, allowMissingColumns=True), "level", ["t"], within="g", descending=True, how="min").filter("row_")
+    day = F.col("run_t").alias("predicted_day")
+    return found.select(F.col("key_").alias(key), "g", "risk_score", day, F.coalesce(F.col("run_t").cast("string"), F.lit("Never")).alias("predicted_display"))
 
 
 def hazard_scope(df: DataFrame, count_bin: str, risk_bin: str, scope: str = "focus", focus: Sequence[str] = ("2/critical", "3/critical", "2/high", "3/high")) -> DataFrame:

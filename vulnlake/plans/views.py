@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions import features as fx
 from vulnlake.functions.coerce import at
+from vulnlake.functions.ids import cve_year, found_id
 from vulnlake.operators import merge
 from vulnlake.sources.feeds import NVD
 
@@ -71,7 +72,14 @@ def nvd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_sources(feeds(spark, sf_dir))
+    """The feeds' rows merged: one pass over the line items, whose parts tell what each source published."""
+    p = parts(spark, sf_dir)
+    score = {"nvd": F.col("p_size").cast("double") / 5, "jvn": F.col("jvn_s").cast("double"), "eu": F.col("eu_s").cast("double")}
+    row = lambda tag, when, value: F.struct(F.lit(tag).alias("tag"), F.struct(at(when).cast("timestamp").alias("published"), value.alias("base_score")).alias("r"))
+    found = [F.when(F.col(f"{s}_d").isNotNull(), row(s, f"{s}_d", v)) for s, v in score.items()]
+    listed = F.when(F.col("p_size") >= 45, row("kev", "last_d", F.lit(None).cast("double")))
+    tagged = p.select(found_id(F.col("cve_id")).alias("cve_id"), F.inline(F.array_compact(F.array(*found, listed))))
+    return merge.merge_tagged(tagged.filter(cve_year(F.col("cve_id")) >= 2002))
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
