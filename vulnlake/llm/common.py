@@ -30,11 +30,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    It is the session's `spark.checkpoint.dir`; a temporary one is set only where that is unset (tests).
+    It is the session's `spark.checkpoint.dir`; a temporary one is set only where that is unset and all runs on one
+    machine (tests, benches).
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
