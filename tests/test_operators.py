@@ -135,12 +135,30 @@ def test_bags_and_density(spark):
     assert np.allclose(density.log_density(x, c, 0.5), direct)
 
 
-def test_logistic_fit_is_at_its_optimum():
-    g = np.random.default_rng(0)
-    x, y = g.normal(size=(100, 2)), (g.random(100) < 0.4).astype(float)
-    w = pu.logistic_fit(x, y)
-    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
-    assert np.allclose(x.T @ (y - p), w[1:], atol=1e-6) and abs((y - p).sum()) < 1e-5
+def test_logistic_fits_are_at_their_optima(spark):
+    draw = np.random.default_rng(3)
+    rows = [(b, float(y), float(draw.normal(y * (b + 1))), float(draw.normal())) for b in range(3) for y in draw.integers(0, 2, 150)]
+    fitted = pu.logistic_fits(spark.createDataFrame(rows, "bag int, y double, a double, b double"), ["a", "b"], 3)
+    for bag, w in enumerate(fitted):
+        x = np.array([(1.0, a, b) for k, _, a, b in rows if k == bag])
+        y = np.array([y for k, y, *_ in rows if k == bag])
+        gradient = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - np.array([1e-9, 1, 1]) * w
+        assert np.abs(gradient).max() < 1e-6 and w[1] > 0.3
+
+
+def test_quantiles(spark):
+    rows = [(g, float(DRAW.randint(0, 40)) if DRAW.random() < 0.9 else None, DRAW.randint(1, 4)) for g in "abc" for _ in range(DRAW.randint(1, 90))]
+    df = spark.createDataFrame(rows, "g string, v double, w int")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    for cell in (3, 25, None):
+        got = ordering.quantiles(df, "v", probs, rows=cell).first()
+        assert list(got.q) == pytest.approx(np.quantile([v for _, v, _ in rows if v is not None], probs))
+        for r in ordering.quantiles(df, "v", probs, "g", rows=cell).collect():
+            own = [v for g, v, _ in rows if g == r.g and v is not None]
+            assert r.n == len(own) and list(r.q) == pytest.approx(np.quantile(own, probs))
+    weighed = [v for _, v, w in rows if v is not None for _ in range(w)]
+    assert list(ordering.quantiles(df, "v", probs, weight="w").first().q) == pytest.approx(np.quantile(weighed, probs))
+    assert ordering.quantiles(df.filter("false"), "v", probs).count() == 0
 
 
 def cox_loss(beta, z, t, e, g, penalizer):

@@ -103,3 +103,65 @@ def test_stream_equals_batch(spark, tmp_path):
     q = water.writeStream.format("memory").queryName("water").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{mark}2").start()
     q.awaitTermination(120)
     assert spark.table("water").agg(F.max("high_water")).first()[0] == high_water(df, ["ts"], "2030-01-01").first()[0]
+
+
+def test_a_master_outlives_a_stop_between_its_moves(spark, tmp_path, monkeypatch):
+    place = str(tmp_path / "m")
+    tables.write_master(spark.createDataFrame([("a", 1)], "k string, v int"), place)
+    moves = []
+
+    def stop(session, old, new):
+        moves.append(old)
+        if len(moves) == 2:
+            raise OSError("stopped")
+        return plain(session, old, new)
+
+    plain = tables.move
+    monkeypatch.setattr(tables, "move", stop)
+    with pytest.raises(OSError):
+        tables.write_master(spark.createDataFrame([("b", 2)], "k string, v int"), place)
+    assert not tables.exists(spark, place)
+    monkeypatch.setattr(tables, "move", plain)
+    assert [tuple(r) for r in tables.read_master(spark, place).collect()] == [("a", 1)]
+    tables.publish_table(spark.createDataFrame([("b", 2)], "k string, v int"), place, "upsert", "k", "v")
+    assert sorted(tuple(r) for r in tables.read_master(spark, place).collect()) == [("a", 1), ("b", 2)]
+
+
+def test_a_streamed_master_outlives_a_stop_while_it_is_put_in_place(spark, tmp_path, monkeypatch):
+    schema = "k string, ts timestamp, v int"
+    batch = lambda i: spark.createDataFrame([(f"k{j}", datetime(2021, 1, 1 + i), 10 * i + j) for j in range(i, i + 4)], schema)
+    src, master, mark = (str(tmp_path / n) for n in ("in", "master", "mark"))
+    run = lambda: jobs.stream_upsert(jobs.feed_stream(spark, src, batch(0).schema), master, "k", "ts", mark, parts=5).awaitTermination(120)
+    batch(0).write.mode("append").parquet(src)
+    run()
+    before = {p.name for p in (tmp_path / "master" / "parquet").iterdir()}
+    batch(1).write.mode("append").parquet(src)
+    plain, calls = jobs.put, []
+
+    def stop(session, place):
+        calls.append(place)
+        if len(calls) == 2:  # staged, not yet in place
+            raise OSError("stopped")
+        plain(session, place)
+
+    monkeypatch.setattr(jobs, "put", stop)
+    with pytest.raises(Exception, match="stopped"):
+        run()
+    assert tables.exists(spark, f"{master}.staged/_SUCCESS")
+    monkeypatch.setattr(jobs, "put", plain)
+    run()
+    got = sorted((r.k, r.v) for r in spark.read.parquet(f"{master}/parquet").collect())
+    assert got == [("k0", 0), ("k1", 11), ("k2", 12), ("k3", 13), ("k4", 14)] and before and not tables.exists(spark, f"{master}.staged")
+
+
+def test_publish_over_jdbc(spark):
+    url, more = "jdbc:derby:memory:published;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = lambda *r: spark.createDataFrame(r, "k string, v int")
+    read = lambda: sorted(tuple(r) for r in spark.read.format("jdbc").options(url=url, dbtable="t", **more).load().collect())
+    tables.publish_table(rows(("a", 1)), "t", "append", url=url, **more)
+    tables.publish_table(rows(("b", 2)), "t", "append", url=url, **more)
+    assert read() == [("a", 1), ("b", 2)]
+    tables.publish_table(rows(("c", 3)), "t", "replace", url=url, **more)
+    assert read() == [("c", 3)]
+    with pytest.raises(ValueError):
+        tables.publish_table(rows(("c", 3)), "t", "upsert", key="k", url=url, **more)

@@ -33,12 +33,17 @@ def remove(spark: SparkSession, place: str) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place in the folder that the cluster shares (`spark.checkpoint.dir`), or a temporary one where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-scratch-")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        shared = tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
 def read_master(spark: SparkSession, place: str, moments: Sequence[str] = ("published", "lastmodified")) -> DataFrame:
     """The Parquet form, else the CSV form with its dates parsed."""
+    recover(spark, place)
     try:
         return spark.read.parquet(f"{place}/parquet")
     except AnalysisException as e:
@@ -53,9 +58,16 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema])
 
 
+def recover(spark: SparkSession, place: str) -> None:
+    """After a stop between the two moves of a replacement the old table is beside its place; it goes back there."""
+    if not exists(spark, place) and exists(spark, f"{place}.old"):
+        move(spark, f"{place}.old", place)
+
+
 def write_master(df: DataFrame, place: str) -> None:
     """Parquet and CSV, written beside the old table and then put in its place."""
     spark = df.sparkSession
+    recover(spark, place)
     staged, old = f"{place}.staged", f"{place}.old"
     remove(spark, staged)
     df.write.parquet(f"{staged}/parquet")
@@ -78,9 +90,12 @@ def publish_table(df: DataFrame, target: str, mode: str = "append", key: str | N
             raise ValueError("upserts go to tables at a path")
         writer = flat(df).write.format("jdbc").options(url=url, dbtable=target, **options)
         (writer.mode("append") if mode == "append" else writer.mode("overwrite").option("truncate", "true")).save()
-    elif mode == "append":
+        return
+    if mode == "append":
         df.write.mode("append").parquet(f"{target}/parquet")
-    elif mode == "replace" or not exists(df.sparkSession, target):
+        return
+    recover(df.sparkSession, target)
+    if mode == "replace" or not exists(df.sparkSession, target):
         write_master(df, target)
     else:
         order = changed or key
