@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vulnlake.operators import concordance, density, learners, merge, ordering, pu, ranking, reports, splits, survival, upsert
+from vulnlake.operators import concordance, density, learners, merge, ordering, pu, ranking, reports, splits, survival, text, upsert
 
 D = [datetime(2021, 1, k + 1) for k in range(9)]
 DRAW = random.Random(3)
@@ -217,3 +217,44 @@ def test_survival_frame_edges(spark):
     df = spark.createDataFrame(rows, "cve_id string, kev_present boolean, published timestamp, kev_published timestamp, v double")
     got = survival.survival_frame(df, "2021-02-01", ["v"], variance="v").collect()
     assert [(r.cve_id, r.event, r.time_to_event, r.v_sqrt) for r in got] == [("e", 1, 2.0, 2.0)]
+
+
+def test_suites_and_scores(spark):
+    rows = [(f"c{i:03}", int(i % 5 == 0), float(i % 7), float(i % 5), DRAW.gauss(0, 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, y int, a double, b double, c double")
+    train, test = df.filter("id < 'c120'"), df.filter("id >= 'c120'")
+    fit = lambda tr, rows, columns: learners.nb_llr(rows, columns, "y", "id", fit_on=tr).withColumnRenamed("llr", "risk_score")
+    got = {(r.ablation, r.split): r for r in ranking.ablation_suite(train, test, ["a", "b", "c", "none"], {"full": (), "no_b": ("b",)}, {"nb": fit}, "y", "id", (10, 50)).collect()}
+    assert set(got) == {(n, s) for n in ("full", "no_b") for s in ("train", "test")}
+    for (name, split), r in got.items():
+        part = test if split == "test" else train
+        alone = fit(train, part, ["a", "b", "c"] if name == "full" else ["a", "c"])
+        one = ordering.auroc_auprc(alone, "y", "risk_score").first()
+        top = ranking.rank_metrics(alone, "y", "risk_score", "id", (10, 50)).first()
+        assert (r.auroc, r.auprc, r.p_at_10, r.ndcg_at_50) == pytest.approx((one.auroc, one.auprc, top.p_at_10, top.ndcg_at_50))
+    assert got["full", "test"].auroc == 1.0 > got["no_b", "test"].auroc and got["full", "test"].prevalence == pytest.approx(0.2)
+    scores = ranking.model_scores(train, test, {"nb": (fit, ["a", "b"])}, "id").collect()
+    assert len(scores) == 200 and {r.split for r in scores} == {"train", "test"} and all(r.risk_score_nb is not None for r in scores)
+
+
+def test_tfidf_weights(spark):
+    import math
+    from collections import Counter
+
+    texts = {1: "alpha alpha beta gamma", 2: "beta gamma gamma the and", 3: "alpha delta x", 4: None, 5: "ALPHA beta-gamma"}
+    got = {(r.id, r.term): r.weight for r in text.tfidf_top_terms(spark.createDataFrame(list(texts.items()), "id int, t string"), "id", "t", 3).collect()}
+    words = {i: Counter(w for w in (t or "").lower().replace("-", " ").split() if w in ("alpha", "beta", "gamma")) for i, t in texts.items()}
+    idf = {w: math.log(6 / (1 + sum(w in c for c in words.values()))) + 1 for w in ("alpha", "beta", "gamma")}
+    want = {}
+    for i, c in words.items():
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+        want |= {(i, w): n * idf[w] / norm for w, n in c.items()}
+    assert got == pytest.approx(want)
+
+
+def test_hazard_scopes(spark):
+    df = spark.createDataFrame([("a", 2, "critical", 0.5), ("b", 1, "critical", 0.9), ("c", 3, "high", 0.7), ("d", 1, "low", 0.1)], "id string, n int, bin string, risk_score double")
+    names = lambda **k: [r.id for r in survival.hazard_scope(df, "n", "bin", **k).collect()]
+    assert (names(), names(scope="critical"), names(scope="all")) == (["c", "a"], ["b", "a"], ["b", "c", "a", "d"])
+    with pytest.raises(ValueError):
+        names(scope="none")

@@ -74,12 +74,13 @@ def train_boosted(train: DataFrame, test: DataFrame, columns: Sequence[str], key
     return scores(model, b, key, label), sorted(zip(used, map(float, model.featureImportances.toArray())), key=lambda x: -x[1])
 
 
-def nb_llr(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 3, floor: float = 1e-9) -> DataFrame:
+def nb_llr(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 3, floor: float = 1e-9, fit_on: DataFrame | None = None) -> DataFrame:
     """Gaussian naive Bayes: log-likelihood ratio per row, and the features that add and take most.
 
-    Class means and population variances are one aggregate of two rows; missing features add nothing.
+    Class means and population variances, of `fit_on` or else of the rows themselves, are one aggregate of two rows;
+    missing features add nothing.
     """
-    stats = {r[label]: r for r in df.groupBy(label).agg(*[x for c in columns for x in (F.avg(c).alias(f"a_{c}"), F.var_pop(c).alias(f"v_{c}"))]).collect()}  # two rows
+    stats = {r[label]: r for r in (df if fit_on is None else fit_on).groupBy(label).agg(*[x for c in columns for x in (F.avg(c).alias(f"a_{c}"), F.var_pop(c).alias(f"v_{c}"))]).collect()}  # two rows
 
     def log_density(c: str, y: int) -> Column:
         row = stats.get(y)

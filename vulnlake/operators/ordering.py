@@ -82,13 +82,15 @@ def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     return df.join(ranked, column, "left")
 
 
-def auroc_auprc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row: ROC area with ties counted half, and average precision as a step sum; null where one class is missing."""
+def auroc_auprc(df: DataFrame, label: str, score: str, within: str | None = None) -> DataFrame:
+    """One row (for each `within`): ROC area with ties counted half, and average precision as a step sum; null where one
+    class is missing."""
+    keys = [within] if within else []
     positive = F.when(F.col(label) == 1, 1).otherwise(0)
-    by_score = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(positive).alias("tp"), F.sum(1 - positive).alias("fp"))
-    run = running_sums(by_score, "s", ["tp", "fp"], descending=True)
+    by_score = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.sum(positive).alias("tp"), F.sum(1 - positive).alias("fp"))
+    run = running_sums(by_score, "s", ["tp", "fp"], within, descending=True)
     pairs = F.sum(F.col("fp") * (F.col("run_tp") - F.col("tp") / 2.0))
     steps = F.sum(F.col("tp") * F.col("run_tp") / (F.col("run_tp") + F.col("run_fp")))
     p, n = F.sum("tp"), F.sum("fp")
     both = (p > 0) & (n > 0)
-    return run.agg(F.when(both, pairs / (p * n)).alias("auroc"), F.when(both, steps / p).alias("auprc"), p.alias("positives"), n.alias("negatives"))
+    return run.groupBy(*keys).agg(F.when(both, pairs / (p * n)).alias("auroc"), F.when(both, steps / p).alias("auprc"), p.alias("positives"), n.alias("negatives"))
