@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -101,12 +102,14 @@ def predicted_day(df: DataFrame, model: CoxModel, strata: str, key: str, q: floa
     reaches -ln(threshold) / risk, which one running minimum per stratum tells. The threshold is a weighted quantile over
     rounded (stratum, risk) groups and times. Rows that never cross have null, and `predicted_display` Never.
     """
-    steps = baseline_steps(df, model, strata, time, event).filter(F.col("t") <= horizon)
+    steps = baseline_steps(df, model, strata, time, event).filter(F.col("t") <= horizon).persist()
     scored = cox_partial_hazard(df, model, event).withColumn("g", F.col(strata).cast("string"))
     groups = scored.groupBy("g", F.round("risk_score", 4).alias("risk")).agg(F.count("*").alias("n"))
-    pairs = groups.join(steps, "g").groupBy(F.exp(-F.col("hazard") * F.col("risk")).alias("s")).agg(F.sum("n").alias("n"))
-    threshold = quantiles(pairs, "s", [q], weight="n").agg(F.first("q")[0].alias("threshold"))
-    crossing = scored.crossJoin(F.broadcast(threshold)).withColumn("needed", -F.log("threshold") / F.col("risk_score"))  # one row
+    pairs = groups.join(steps, "g").groupBy(F.exp(-F.col("hazard") * F.col("risk")).alias("s")).agg(F.sum("n").alias("n")).persist()
+    found = quantiles(pairs, "s", [q], weight="n").first()  # one row
+    pairs.unpersist()
+    needed = F.lit(-math.log(found["q"][0]) if found and found["q"][0] else None).cast("double")
+    crossing = scored.withColumn("needed", needed / F.col("risk_score"))
     # steps and rows in one order by hazard: the least time of the steps from a row's need on
     rows = crossing.select(F.col(key).alias("key_"), "g", "risk_score", F.col("needed").alias("level"), F.lit(None).cast("double").alias("t"), F.lit(True).alias("row_"))
     marks = steps.select("g", F.col("hazard").alias("level"), F.col("t").cast("double").alias("t"), F.lit(False).alias("row_"))
