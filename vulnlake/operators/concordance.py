@@ -65,7 +65,8 @@ def concordance_index(df: DataFrame, time: str, score: str, event: str, rows: in
     """
     # an event comes before a censored row of its time, so that only what is later by (time, kind) is compared with it
     base = df.select(F.col(time).cast("double").alias("t"), F.col(score).cast("double").alias("s"), F.col(event).cast("int").alias("e")).dropna()
-    cells = cells_of(cells_of(base.groupBy("t", "s", "e").agg(F.count("*").alias("n")), "t", "tc", rows, MOST_CELLS), "s", "sc", rows, MOST_CELLS)
+    kinds = base.groupBy("t", "s", "e").agg(F.count("*").alias("n")).persist()  # read for both choices of cells, the grid and the cells
+    cells = cells_of(cells_of(kinds, "t", "tc", rows, MOST_CELLS), "s", "sc", rows, MOST_CELLS)
     counted = cells.select("tc", "sc", F.struct("t", (1 - F.col("e")).alias("late")).alias("t"), "s", (F.col("n") * F.col("e")).cast("double").alias("events"), F.col("n").cast("double").alias("weight"))
     sums = "good double, ties double, pairs double"
     # the order of (t, late) as a number: twice the rank of the time, and one for censored rows

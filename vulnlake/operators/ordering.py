@@ -35,10 +35,10 @@ def running(df: DataFrame, order: str, names: Sequence[str], within: str | None
     """Adds `run_<name>`: the sum (or, with how="min", the least) of each column over all rows up to and with this one's
     `order`. For sums `order` should be distinct (within `within`); the least takes all rows of equal order in.
 
-    It runs inside cells and starts at what the cells before make, of which there are few.
+    It runs inside cells (a column `cell_`, if there is one) and starts at what the cells before make, of which there are few.
     """
     f = {"sum": F.sum, "min": F.min}[how]
-    dealt = cells_of(df, order, "cell_", rows)
+    dealt = df if "cell_" in df.columns else cells_of(df, order, "cell_", rows)
     keys = [within] if within else []
     sort = lambda c: F.desc(c) if descending else F.asc(c)
     before = W.partitionBy(*keys).orderBy(sort("cell_")).rowsBetween(W.unboundedPreceding, -1)
@@ -62,7 +62,7 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], within: str |
     Values are counted and the counts added up in order, cell by cell, so no task holds all values of a group.
     """
     keys = [within] if within else []
-    counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("v_")).agg((F.sum(weight) if weight else F.count("*")).alias("n_"))
+    counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("v_")).agg((F.sum(weight) if weight else F.count("*")).alias("n_")).persist()  # the choice of cells reads it too
     summed = running_sums(counted, "v_", ["n_"], within, rows=rows)
     total = counted.groupBy(*keys).agg(F.sum("n_").alias("n"))
     seen = summed.join(total, within) if within else summed.crossJoin(F.broadcast(total))  # one row

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.features import day_lag
-from vulnlake.operators.ordering import quantiles, running, running_sums
+from vulnlake.operators.ordering import cells_of, quantiles, running, running_sums
 
 
 def survival_frame(df: DataFrame, as_of: str, covariates: Sequence[str], event: str = "kev_present", published: str = "published", listed: str = "kev_published", variance: str | None = None) -> DataFrame:
@@ -48,7 +48,8 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], strata: str, penalizer: fl
     s = df.agg(*[x for c in names for x in (F.avg(c).alias(f"a_{c}"), F.stddev_pop(c).alias(f"d_{c}"))]).first()
     mean, deviation = [s[f"a_{c}"] or 0.0 for c in names], [s[f"d_{c}"] or 1.0 for c in names]
     z = [((F.col(c) - m) / d).alias(f"z{i}") for i, (c, m, d) in enumerate(zip(names, mean, deviation))]
-    rows = df.select(F.col(strata).cast("string").alias("g"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *z).cache()
+    rows = df.select(F.col(strata).cast("string").alias("g"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *z)
+    rows = cells_of(rows, "t", "cell_").cache()  # the order of times is the same in all rounds
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     beta, gradient = np.zeros(k), np.zeros(k)
     for _ in range(rounds):
@@ -57,7 +58,7 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], strata: str, penalizer: fl
         sums = [F.sum(v).alias(n) for n, v in terms.items()]
         tied = [F.sum(F.when(F.col("e") == 1, v).otherwise(0.0)).alias(f"e_{n}") for n, v in terms.items()]
         dead = [F.sum(F.when(F.col("e") == 1, F.col(f"z{i}")).otherwise(0.0)).alias(f"x{i}") for i in range(k)]
-        reduced = rows.groupBy("g", "t").agg(F.sum("e").alias("d"), *sums, *tied, *dead)
+        reduced = rows.groupBy("g", "t", "cell_").agg(F.sum("e").alias("d"), *sums, *tied, *dead)
         at_risk = running_sums(reduced, "t", list(terms), within="g", descending=True).filter("d > 0")
         each = at_risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
         less = lambda n: F.col(f"run_{n}") - F.col("l") / F.col("d") * F.col(f"e_{n}")
