@@ -75,6 +75,43 @@ def test_transport_stream_faults():
     assert media.demux(b"")["packets"] == 0
 
 
+def test_tables_over_several_packets():
+    def table(table_id, number, body, version=0, valid=1, part=0, parts=0):
+        head = bytes([table_id]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + number.to_bytes(2, "big") + bytes([0xC0 | version << 1 | valid, part, parts]) + body
+        return head + media.table_crc(head).to_bytes(4, "big")
+
+    counts = {}
+
+    def packets(pid, *sections):
+        data, out = b"".join(sections), []
+        ends = [sum(map(len, sections[:i])) for i in range(len(sections))]  # where sections begin
+        while data:
+            at = sum(map(len, sections)) - len(data)
+            begins = [e for e in ends if at <= e < at + 183]
+            body = (bytes([begins[0] - at]) if begins else b"") + data[: 183 if begins else 184]
+            data = data[len(body) - bool(begins) :]
+            counts[pid] = counts.get(pid, -1) + 1 & 15
+            out.append(bytes([0x47, (0x40 if begins else 0) | pid >> 8, pid & 255, 0x10 | counts[pid]]) + body.ljust(184, b"\xff"))
+        return b"".join(out)
+
+    entry = lambda n: n.to_bytes(2, "big") + (0xE000 | 0x100 + n).to_bytes(2, "big")
+    pat = [table(0, 1, b"".join(map(entry, range(1 + 60 * k, 61 + 60 * k))), part=k, parts=2) for k in range(3)]
+    kinds = {n: n % 7 for n in range(700, 800)}
+    row = lambda n: bytes([kinds[n]]) + (0xE000 | n).to_bytes(2, "big") + b"\xf0\2ab"
+    pmt = table(2, 5, b"\xe1\0\xf0\3xyz" + b"".join(map(row, kinds)))
+    stream = packets(0, *pat) + packets(0x105, pmt)
+    found = media.demux(stream)
+    assert found["programs"] == {n: 0x100 + n for n in range(1, 181)} and found["streams"] == kinds and not found["broken"] and not found["gaps"]
+    gap = media.demux(stream[: -188 * 2] + stream[-188:])
+    assert gap["streams"] == {} and gap["gaps"] == 1 and gap["broken"] == 1  # a map with a hole is none
+    assert media.demux(stream[:-188])["broken"] == 1  # as is one that ends early
+    later = stream + packets(0, table(0, 1, entry(7), version=1, valid=0))
+    assert media.demux(later)["programs"] == found["programs"]  # not yet in force
+    new = media.demux(later + packets(0, table(0, 1, entry(5), version=1)))
+    assert new["programs"] == {5: 0x105} and new["streams"] == kinds
+    assert media.demux(later + packets(0, table(0, 1, entry(7), version=1)))["streams"] == {}
+
+
 def test_word_bpe(docs):
     own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     want = []

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import id_and_text, slices
 
 #: Fixed values of the format, and of the streams that are written here.
-PACKET, SYNC, NULL_PID = 188, 0x47, 0x1FFF
+PACKET, SYNC, NULL_PID, STUFFING = 188, 0x47, 0x1FFF, 0xFF
 PMT_PID, DATA_PID, PRIVATE_DATA, PRIVATE_STREAM = 0x1000, 0x100, 0x06, 0xBD
 UNIT_BYTES, RANDOM_EVERY, CLOCK_STEP = 4096, 4, 3600
 
@@ -75,16 +75,70 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def read_section(body: bytes) -> tuple[int, bytes] | None:
-    """Table id and content of a section that starts in this packet; None if it is broken."""
-    start = 1 + body[0] if body else 0
-    head = body[start : start + 3]
-    if len(head) < 3:
-        return None
-    end = start + 3 + (int.from_bytes(head[1:3], "big") & 0xFFF)
-    if end > len(body) or end - start < 12 or table_crc(body[start : end - 4]) != int.from_bytes(body[end - 4 : end], "big"):
-        return None
-    return head[0], body[start + 8 : end - 4]
+class Tables:
+    """The program tables of a stream, put together from sections, which may go over several packets.
+
+    A section counts once it is whole and its checksum holds; those marked as not yet in force are left out. Sections of
+    one version add up; a new version replaces what the one before said.
+    """
+
+    def __init__(self):
+        self.programs: dict[int, int] = {}  # program -> pid of its map
+        self.maps: dict[int, dict[int, int]] = {}  # program -> its streams: pid -> type
+        self.streams: dict[int, int] = {}
+        self.open: dict[int, bytes] = {}  # pid -> what has come of a section
+        self.versions: dict[tuple[int, int], int] = {}
+        self.broken = 0
+
+    def dropped(self, pid: int) -> None:
+        """The section that was being put together is lost."""
+        self.broken += pid in self.open
+        self.open.pop(pid, None)
+
+    def take(self, pid: int, body: bytes, start: bool) -> None:
+        """A packet's payload; with `start` its first byte tells where the first new section begins."""
+        if not start:
+            if pid in self.open:
+                self.read(pid, self.open[pid] + body)
+            return
+        begin = 1 + body[0] if body else 0
+        if pid in self.open:
+            self.read(pid, self.open[pid] + body[1:begin])
+            self.dropped(pid)
+        if body and begin < len(body):
+            self.read(pid, body[begin:])
+        else:
+            self.broken += 1
+
+    def read(self, pid: int, data: bytes) -> None:
+        self.open.pop(pid, None)
+        while data and data[0] != STUFFING:
+            end = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF) if len(data) >= 3 else len(data) + 1
+            if end > len(data):
+                self.open[pid] = data
+                return
+            whole, data = data[:end], data[end:]
+            if end < 12 or table_crc(whole[:-4]) != int.from_bytes(whole[-4:], "big"):
+                self.broken += 1
+            elif whole[5] & 1:
+                self.told(pid, whole[0], int.from_bytes(whole[3:5], "big"), whole[5] >> 1 & 31, whole[8:-4])
+
+    def told(self, pid: int, table: int, number: int, version: int, body: bytes) -> None:
+        if not (table == 0 and pid == 0 or table == 2 and self.programs.get(number) == pid and len(body) >= 4):
+            return
+        new = self.versions.get((table, number)) != version
+        self.versions[table, number] = version
+        if table == 0:
+            found = {int.from_bytes(body[i : i + 2], "big"): int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(body) - 3, 4)}
+            found.pop(0, None)  # network information, no program
+            self.programs = found if new else self.programs | found
+        else:
+            found, i = {} if new else self.maps[number], 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
+            while i + 5 <= len(body):
+                found[int.from_bytes(body[i + 1 : i + 3], "big") & 0x1FFF] = body[i]
+                i += 5 + (int.from_bytes(body[i + 3 : i + 5], "big") & 0xFFF)
+            self.maps[number] = found
+        self.streams = {pid: kind for program in self.programs for pid, kind in self.maps.get(program, {}).items()}
 
 
 def demux(stream: bytes) -> dict:
@@ -93,8 +147,7 @@ def demux(stream: bytes) -> dict:
     Bytes outside packets are skipped up to the next sync byte and counted; a repeated packet is dropped once; a gap in
     a counter is an error and ends the unit that was being put together (it stays, marked as not whole).
     """
-    programs: dict[int, int] = {}  # program -> pid of its map
-    streams: dict[int, int] = {}  # pid -> stream type
+    tables = Tables()
     counters: dict[int, int] = {}
     open_units: dict[int, dict] = {}
     units: list[dict] = []
@@ -143,18 +196,11 @@ def demux(stream: bytes) -> dict:
                 if counter != before + 1 & 15:
                     gaps += 1
                     close(pid, whole=False)
-        if pid == 0 or pid in programs.values():
-            found = read_section(body) if start else None
-            broken += bool(start) and found is None
-            if found and found[0] == 0 and pid == 0:
-                entries = [found[1][i : i + 4] for i in range(0, len(found[1]), 4)]
-                programs |= {int.from_bytes(e[:2], "big"): int.from_bytes(e[2:], "big") & 0x1FFF for e in entries if e[:2] != b"\0\0"}
-            elif found and found[0] == 2 and len(found[1]) >= 4:
-                i = 4 + (int.from_bytes(found[1][2:4], "big") & 0xFFF)
-                while i + 5 <= len(found[1]):
-                    streams[int.from_bytes(found[1][i + 1 : i + 3], "big") & 0x1FFF] = found[1][i]
-                    i += 5 + (int.from_bytes(found[1][i + 3 : i + 5], "big") & 0xFFF)
-        elif pid in streams:
+                    tables.dropped(pid)
+        if pid == 0 or pid in tables.programs.values():
+            if control & 1:
+                tables.take(pid, body, bool(start))
+        elif pid in tables.streams:
             if start:
                 close(pid)
                 open_units[pid] = {"pid": pid, "pts": None, "random": bool(marks & 0x40), "parts": [body]}
@@ -162,7 +208,9 @@ def demux(stream: bytes) -> dict:
                 open_units[pid]["parts"].append(body)
     for pid in list(open_units):
         close(pid)
-    return {"programs": programs, "streams": streams, "packets": packets, "gaps": gaps, "broken": broken, "skipped": skipped + len(stream) - at, "clocks": clocks, "units": units}
+    for pid in list(tables.open):
+        tables.dropped(pid)
+    return {"programs": tables.programs, "streams": tables.streams, "packets": packets, "gaps": gaps, "broken": broken + tables.broken, "skipped": skipped + len(stream) - at, "clocks": clocks, "units": units}
 
 
 UNIT = pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("random", pa.bool_()), ("whole", pa.bool_()), ("offset", pa.int64()), ("size", pa.int64())])
