@@ -135,6 +135,53 @@ def test_bags_and_density(spark):
     assert np.allclose(density.log_density(x, c, 0.5), direct)
 
 
+def test_trees(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, 2000 + i % 3, y, float(draw.normal(2.5 * y)), float(draw.normal()) if i % 5 else None) for i, y in enumerate(map(int, draw.integers(0, 2, 240)))]
+    df = spark.createDataFrame(rows, "id int, year int, y int, a double, b double").cache()
+    train, test = df.filter("id < 160"), df.filter("id >= 160")
+    area = lambda got: ordering.auroc_auprc(got, "y", "risk_score").first().auroc
+    got, weights = learners.train_forest(train, test, ["a", "b"], "id", "y", trees=30, depth=4)
+    assert got.count() == 80 and area(got) > 0.9 and weights[0][0] == "a"
+    grid = [{"depth": 1, "step": 0.1, "rounds": 1}, {"depth": 3, "step": 0.1, "rounds": 5}]
+    a, b, _ = learners.prepared(train.filter("year < 2002"), train.filter("year = 2002"), ["a", "b"], "y")
+    judged = [ordering.auroc_auprc(learners.scores(learners.boosted(g, 9, 7).fit(learners.weighed(a)), b, "id", "y"), "y", "risk_score").first().auprc for g in grid]
+    assert learners.tuned(train, ["a", "b"], "id", "y", "year", grid, 9, 7) == grid[max(range(2), key=lambda i: judged[i])]
+    assert learners.tuned(train.filter("y = 1 or year < 2002"), ["a", "b"], "id", "y", "year", grid, 9, 7) == grid[0]  # one class in the last year
+    got, weights = learners.train_boosted(train, test, ["a", "b"], "id", "y", "year", grid)
+    assert got.count() == 80 and area(got) > 0.85 and weights[0][0] == "a"
+    assert len(learners.GRID) == 8 and len({tuple(g.items()) for g in learners.GRID}) == 8
+
+
+def test_weibull_is_at_its_optimum(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 2))
+    t = 100 * np.exp(0.5 + 0.7 * x[:, 0]) * draw.weibull(1.5, 300)
+    e = draw.integers(0, 2, 300)
+    noise = draw.normal(size=(300, 4))
+    names = [f"w{i}" for i in range(4)]
+    df = spark.createDataFrame([(i, *map(float, r), float(t[i]), int(e[i]), 1.0) for i, r in enumerate(np.hstack([x, noise]))], ["id", "a", "b", *names, "t", "e", "same"])
+    got = learners.weibull_aft(df, ["a", "b", "same"], "t", "e", "id").toPandas().sort_values("id")
+    # the parameters lie in log(-log S) = (log t - intercept - x beta) / scale
+    z = np.log(-got.log_survival.to_numpy())
+    lines = np.column_stack([np.log(t / 100), np.ones(300), x])
+    found = np.linalg.lstsq(lines, z, rcond=None)[0]
+    assert np.abs(lines @ found - z).max() < 1e-9 and np.allclose(got.log_density, z + np.log(found[0]) - np.log(t / 100) - np.exp(z))
+
+    def likelihood(p):
+        z = lines @ p
+        return (e * (z + np.log(p[0])) - np.exp(z)).sum()
+
+    steps = [np.eye(4)[i] * h for i in range(4) for h in (1e-2, -1e-2)]
+    assert all(likelihood(found) > likelihood(found + s) for s in steps) and abs(found[0] - 1.5) < 0.3
+    reduced, few = learners.components(df, names, 2)
+    c = noise - noise.mean(axis=0)
+    directions = np.linalg.svd(c)[2][:2]
+    own = reduced.orderBy("id").select(*few).toPandas().to_numpy()
+    assert np.allclose(np.abs(own), np.abs(noise @ directions.T)) and not set(names) & set(reduced.columns)
+    assert learners.weibull_aft(df, ["a"], "t", "e", "id", names, most=3, n=2).filter("log_survival <= 0").count() == 300
+
+
 def test_logistic_fits_are_at_their_optima(spark):
     draw = np.random.default_rng(3)
     rows = [(b, float(y), float(draw.normal(y * (b + 1))), float(draw.normal())) for b in range(3) for y in draw.integers(0, 2, 150)]
@@ -252,6 +299,14 @@ def test_tfidf_weights(spark):
     assert got == pytest.approx(want)
 
 
+def test_tfidf_as_columns(spark):
+    df = spark.createDataFrame([(1, "alpha beta. beta"), (2, "alpha gamma"), (3, None)], "id int, t string")
+    wide, names = text.tfidf_columns(df, "id", "t", 3)
+    long = {(r.id, r.term): r.weight for r in text.tfidf_top_terms(df, "id", "t", 3).collect()}
+    want = {i: [long.get((i, w), 0.0) for w in ("alpha", "beta", "gamma")] for i in (1, 2)}
+    assert names == ["tfidf_0", "tfidf_1", "tfidf_2"] and {r.id: list(r[1:]) for r in wide.collect()} == want
+
+
 def test_hazard_scopes(spark):
     df = spark.createDataFrame([("a", 2, "critical", 0.5), ("b", 1, "critical", 0.9), ("c", 3, "high", 0.7), ("d", 1, "low", 0.1)], "id string, n int, bin string, risk_score double")
     names = lambda **k: [r.id for r in survival.hazard_scope(df, "n", "bin", **k).collect()]

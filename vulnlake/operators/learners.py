@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame
@@ -58,19 +60,47 @@ def train_forest(train: DataFrame, test: DataFrame, columns: Sequence[str], key:
     return scores(model, b, key, label), sorted(zip(used, map(float, model.featureImportances.toArray())), key=lambda x: -x[1])
 
 
+#: Depths and steps of the tuning grid. Rounds are fewer than the usual hundreds, as each is a few Spark jobs.
+GRID = [{"depth": depth, "step": step, "rounds": rounds} for depth in (3, 5) for step in (0.05, 0.1) for rounds in (20, 40)]
+
+
+def boosted(setting: dict, rounds: int, seed: int) -> GBTClassifier:
+    """Boosted trees on a share of 0.8 of the rows (each tree) and columns (each node)."""
+    return GBTClassifier(
+        featuresCol="x_", labelCol="y_", weightCol="weight_", maxIter=setting.get("rounds", rounds), maxDepth=setting.get("depth", 4), stepSize=setting.get("step", 0.05),
+        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
+    )
+
+
+def weighed(rows: DataFrame) -> DataFrame:
+    """Positives count negatives / positives times."""
+    c = rows.agg(F.count("*").alias("n"), F.sum("y_").alias("p")).first()
+    return rows.withColumn("weight_", F.when(F.col("y_") == 1, F.lit((c["n"] - c["p"]) / c["p"] if c["p"] else 1.0)).otherwise(1.0))
+
+
+def tuned(train: DataFrame, columns: Sequence[str], key: str, label: str, year: str, grid: Sequence[dict], rounds: int, seed: int, at_once: int = 4) -> dict:
+    """The grid's setting of greatest average precision on the last train year, fitted on the years before; of equals the
+    first, and that too where a class is missing. Settings are fitted `at_once` at a time, as their jobs are small."""
+    last = train.agg(F.max(year)).first()[0]
+    before, held = train.filter(F.col(year) < last), train.filter(F.col(year) == last)
+    if last is None or any(part.filter(F.col(label) == y).isEmpty() for part in (before, held) for y in (0, 1)):
+        return dict(grid[0])
+    a, b, _ = prepared(before, held, columns, label)
+    a, b = weighed(a).persist(), b.persist()
+    a.count()
+    judge = lambda g: auroc_auprc(scores(boosted(g, rounds, seed).fit(a), b, key, label), label, "risk_score").first()["auprc"]
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(inheritable_thread_target(train.sparkSession)(judge), grid))
+    return dict(grid[max(range(len(grid)), key=lambda i: (found[i], -i))])
+
+
 def train_boosted(train: DataFrame, test: DataFrame, columns: Sequence[str], key: str, label: str, year: str | None = None, grid: Sequence[dict] = (), rounds: int = 40, seed: int = 7) -> tuple[DataFrame, list[tuple[str, float]]]:
     """Boosted trees, positives weighted by negatives / positives; a grid is judged by average precision on the last train year."""
-    a, b, used = prepared(train, test, columns, label)
-    c = a.agg(F.count("*").alias("n"), F.sum("y_").alias("p")).first()
-    weighed = a.withColumn("weight_", F.when(F.col("y_") == 1, F.lit((c["n"] - c["p"]) / c["p"] if c["p"] else 1.0)).otherwise(1.0))
-    make = lambda g: GBTClassifier(featuresCol="x_", labelCol="y_", weightCol="weight_", maxIter=g.get("rounds", rounds), maxDepth=g.get("depth", 4), stepSize=g.get("step", 0.1), seed=seed)
     best = dict(grid[0]) if grid else {}
     if len(grid) > 1 and year:
-        last = a.agg(F.max(year)).first()[0]
-        inner, held = weighed.filter(F.col(year) < last), weighed.filter(F.col(year) == last)
-        judged = [(auroc_auprc(scores(make(g).fit(inner), held, key, label), label, "risk_score").first()["auprc"] or 0.0, -i) for i, g in enumerate(grid)]
-        best = dict(grid[-max(judged)[1]])
-    model = make(best).fit(weighed)
+        best = tuned(train, columns, key, label, year, grid, rounds, seed)
+    a, b, used = prepared(train, test, columns, label)
+    model = boosted(best, rounds, seed).fit(weighed(a))
     return scores(model, b, key, label), sorted(zip(used, map(float, model.featureImportances.toArray())), key=lambda x: -x[1])
 
 
@@ -95,12 +125,31 @@ def nb_llr(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int =
     return df.select(key, label, sum(parts.values(), F.lit(0.0)).alias("llr"), names(F.slice(ordered, 1, k)).alias("top"), names(F.slice(F.reverse(ordered), 1, k)).alias("bottom"))
 
 
-def weibull_aft(df: DataFrame, columns: Sequence[str], time: str, event: str, key: str) -> DataFrame:
-    """Weibull accelerated failure times on days / 100; log density and log survival of each row in closed form."""
-    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
-    used = [c for c in columns if spread[c]]
-    rows = df.filter(F.col(time) > 0).withColumns({"t_": F.col(time) / 100.0, "e_": F.col(event).cast("double")})
-    x = VectorAssembler(inputCols=used, outputCol="x_", handleInvalid="skip").transform(rows)
+def components(df: DataFrame, columns: Sequence[str], n: int, prefix: str = "component_") -> tuple[DataFrame, list[str]]:
+    """`columns` (null: 0) replaced by `n` principal components. Only sums of products of columns reach the driver."""
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+    x = VectorAssembler(inputCols=list(columns), outputCol="all_").transform(filled)
+    reduced = PCA(k=n, inputCol="all_", outputCol="few_").fit(x).transform(x)
+    names = [f"{prefix}{i}" for i in range(n)]
+    parts = vector_to_array("few_")
+    return reduced.withColumns({name: parts[i] for i, name in enumerate(names)}).drop("all_", "few_", *columns), names
+
+
+def weibull_aft(df: DataFrame, columns: Sequence[str], time: str, event: str, key: str, text_columns: Sequence[str] = (), most: int = 30, n: int = 20) -> DataFrame:
+    """Weibull accelerated failure times on days / 100; log density and log survival of each row in closed form.
+
+    More than `most` text columns become `n` components first. Missing covariates are 0, constant ones are left out.
+    Components are centred; the intercept takes that up.
+    """
+    wanted = [*columns, *text_columns]
+    if len(text_columns) > most:
+        df, names = components(df, text_columns, n)
+        wanted = [*columns, *names]
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in wanted})
+    rows = filled.filter(F.col(time) > 0).withColumns({"t_": F.col(time) / 100.0, "e_": F.col(event).cast("double")}).persist()
+    spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in wanted]).first()
+    used = [c for c in wanted if (spread[c] or 0.0) > 1e-9]
+    x = VectorAssembler(inputCols=used, outputCol="x_").transform(rows)
     model = AFTSurvivalRegression(featuresCol="x_", labelCol="t_", censorCol="e_").fit(x)
     linear = sum((F.col(c) * float(b) for c, b in zip(used, model.coefficients)), F.lit(float(model.intercept)))
     z = (F.log("t_") - linear) / model.scale

@@ -23,3 +23,13 @@ def tfidf_top_terms(df: DataFrame, key: str, text: str, n: int = 100) -> DataFra
     weighed = counted.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("key_").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighed.join(norms, "key_").select(F.col("key_").alias(key), "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_columns(df: DataFrame, key: str, text: str, n: int = 100, prefix: str = "tfidf_") -> tuple[DataFrame, list[str]]:
+    """The weights as a column for each of the `n` terms, zero where a text lacks it; texts without any of them have no row."""
+    long = tfidf_top_terms(df, key, text, n).persist()
+    terms = sorted(r["term"] for r in long.select("term").distinct().collect())  # n terms
+    wide = long.groupBy(key).pivot("term", terms).agg(F.first("weight"))
+    quoted = lambda t: F.col("`" + t.replace("`", "``") + "`")
+    names = [f"{prefix}{i}" for i in range(len(terms))]
+    return wide.select(key, *[F.coalesce(quoted(t), F.lit(0.0)).alias(name) for name, t in zip(names, terms)]), names

@@ -598,12 +598,12 @@ def train_logistic(spark, sf):
 
 @query()
 def train_forest(spark, sf):
-    return learners.train_forest(*split_features(spark, sf), FEATURES, "cve_id", "is_kev", trees=60, depth=8)[0]
+    return learners.train_forest(*split_features(spark, sf), FEATURES, "cve_id", "is_kev")[0]
 
 
 @query()
 def train_boosted(spark, sf):
-    return learners.train_boosted(*split_features(spark, sf), FEATURES, "cve_id", "is_kev", rounds=10)[0]
+    return learners.train_boosted(*split_features(spark, sf), FEATURES, "cve_id", "is_kev", "cve_year", learners.GRID)[0]
 
 
 @query()
@@ -641,7 +641,9 @@ COX = ["base_score", "repo_publication_lag_rank", "cross_listing_variance_sqrt"]
 
 @query()
 def weibull_aft(spark, sf):
-    return learners.weibull_aft(survival_rows(spark, sf), ["base_score", "repo_publication_lag_rank"], "time_to_event", "event", "cve_id")
+    rows = survival_rows(spark, sf)
+    weights, names = text.tfidf_columns(rows, "cve_id", "nvd_text")
+    return learners.weibull_aft(rows.join(weights, "cve_id", "left"), ["base_score", "repo_publication_lag_rank"], "time_to_event", "event", "cve_id", names)
 
 
 @query()
