@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions.features import day_lag
 from vulnlake.operators.ordering import cells_of, quantiles, running, running_sums
+from vulnlake.sources.tables import checkpointed
 
 
 def survival_frame(df: DataFrame, as_of: str, covariates: Sequence[str], event: str = "kev_present", published: str = "published", listed: str = "kev_published", variance: str | None = None) -> DataFrame:
@@ -49,7 +50,7 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], strata: str, penalizer: fl
     mean, deviation = [s[f"a_{c}"] or 0.0 for c in names], [s[f"d_{c}"] or 1.0 for c in names]
     z = [((F.col(c) - m) / d).alias(f"z{i}") for i, (c, m, d) in enumerate(zip(names, mean, deviation))]
     rows = df.select(F.col(strata).cast("string").alias("g"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *z)
-    rows = cells_of(rows, "t", "cell_").cache()  # the order of times is the same in all rounds
+    rows = checkpointed(cells_of(checkpointed(rows), "t", "cell_"))  # the order of times is the same in all rounds
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     beta, gradient = np.zeros(k), np.zeros(k)
     for _ in range(rounds):
@@ -75,7 +76,6 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], strata: str, penalizer: fl
         beta = beta + step
         if np.abs(step).max() < tolerance:
             break
-    rows.unpersist()
     return CoxModel(names, beta.tolist(), mean, deviation, gradient.tolist())
 
 
@@ -103,12 +103,11 @@ def predicted_day(df: DataFrame, model: CoxModel, strata: str, key: str, q: floa
     reaches -ln(threshold) / risk, which one running minimum per stratum tells. The threshold is a weighted quantile over
     rounded (stratum, risk) groups and times. Rows that never cross have null, and `predicted_display` Never.
     """
-    steps = baseline_steps(df, model, strata, time, event).filter(F.col("t") <= horizon).persist()
+    steps = checkpointed(baseline_steps(df, model, strata, time, event).filter(F.col("t") <= horizon))
     scored = cox_partial_hazard(df, model, event).withColumn("g", F.col(strata).cast("string"))
     groups = scored.groupBy("g", F.round("risk_score", 4).alias("risk")).agg(F.count("*").alias("n"))
-    pairs = groups.join(steps, "g").groupBy(F.exp(-F.col("hazard") * F.col("risk")).alias("s")).agg(F.sum("n").alias("n")).persist()
+    pairs = checkpointed(groups.join(steps, "g").groupBy(F.exp(-F.col("hazard") * F.col("risk")).alias("s")).agg(F.sum("n").alias("n")))
     found = quantiles(pairs, "s", [q], weight="n").first()  # one row
-    pairs.unpersist()
     needed = F.lit(-math.log(found["q"][0]) if found and found["q"][0] else None).cast("double")
     crossing = scored.withColumn("needed", needed / F.col("risk_score"))
     # steps and rows in one order by hazard: the least time of the steps from a row's need on

@@ -575,6 +575,7 @@ def survival_frame(spark, sf):
 
 def split_features(spark, sf):
     s = splits.temporal_split(feature_rows(spark, sf).select("cve_id", "cve_year", "is_kev", *FEATURES), "cve_year", "cve_id", 2002, 2018)
+    s = tables.checkpointed(s)
     return s.filter("split = 'train'"), s.filter("split = 'test'")
 
 
@@ -633,7 +634,7 @@ def survival_rows(spark, sf):
     ranked = ordering.average_rank(ready, "repo_publication_lag", "repo_publication_lag_rank")
     binned = splits.quantile_bins(ranked, "price", ["low", "medium", "high", "critical"], "cwe_risk_category")
     count = splits.fixed_bins(F.col("cross_listing_count").cast("double"), [0.0, 1.0, 2.0, float("inf")], [1, 2, 3])
-    return binned.withColumn("cross_listing_count_cat", count).withColumn("stratum", F.concat_ws("/", count.cast("string"), "cwe_risk_category"))
+    return tables.checkpointed(binned.withColumn("cross_listing_count_cat", count).withColumn("stratum", F.concat_ws("/", count.cast("string"), "cwe_risk_category")))
 
 
 COX = ["base_score", "repo_publication_lag_rank", "cross_listing_variance_sqrt"]
@@ -654,19 +655,19 @@ def cox_fit(spark, sf):
 
 @query()
 def cox_partial_hazard(spark, sf):
-    rows = survival_rows(spark, sf).cache()
+    rows = survival_rows(spark, sf)
     return survival.cox_partial_hazard(rows, survival.cox_fit(rows, COX, "stratum")).select("cve_id", "risk_score")
 
 
 @query()
 def predicted_day(spark, sf):
-    rows = survival_rows(spark, sf).cache()
+    rows = survival_rows(spark, sf)
     return survival.predicted_day(rows, survival.cox_fit(rows, COX, "stratum"), "stratum", "cve_id")
 
 
 @query()
 def hazard_scope(spark, sf):
-    rows = survival_rows(spark, sf).cache()
+    rows = survival_rows(spark, sf)
     scored_rows = survival.cox_partial_hazard(rows, survival.cox_fit(rows, COX, "stratum")).drop("stratum")
     return survival.hazard_scope(scored_rows, "cross_listing_count_cat", "cwe_risk_category").select("cve_id", "stratum", "risk_score")
 
@@ -725,14 +726,14 @@ RANKED = ("base_score", *ORDS, "cross_listing_count", "vendor_frequency", "desc_
 
 
 def ranker_rows(spark, sf):
-    """Train and test rows with all features that the rankers may use, cached."""
+    """Train and test rows with all features that the rankers may use."""
     k = F.col("p_partkey")
     refs = F.concat(F.repeat(F.lit("https://github.com/a/b | "), (k % 3).cast("int")), F.repeat(F.lit("https://www.exploit-db.com/1 "), (k % 2).cast("int")))
     start = F.lit("2020-01-01").cast("timestamp")
     made = fx.epss_features(F.when(k % 4 != 0, F.col("p_retailprice") / 10000), F.when(k % 5 != 0, (k % 50) / 50.0)) | fx.poc_features(refs, start, F.timestamp_add("DAY", (k % 60).cast("int"), start))
     made |= {"cvss_v3_present": fx.parse_cvss_vector(F.col("cvss_vector"))["cvss_v3_present"], "desc_len": F.length("nvd_text")}
-    rows = feature_rows(spark, sf).withColumns(made).select("cve_id", "cve_year", "is_kev", *[F.col(c).cast("double").alias(c) for c in RANKED]).persist()
-    s = splits.temporal_split(rows, "cve_year", "cve_id", 2002, 2018)
+    rows = feature_rows(spark, sf).withColumns(made).select("cve_id", "cve_year", "is_kev", *[F.col(c).cast("double").alias(c) for c in RANKED])
+    s = tables.checkpointed(splits.temporal_split(tables.checkpointed(rows), "cve_year", "cve_id", 2002, 2018))
     return s.filter("split = 'train'"), s.filter("split = 'test'")
 
 

@@ -41,6 +41,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as they are now, kept in the shared folder: later plans, of many rounds, don't carry their lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoint"))
+    return df.checkpoint(eager=True)
+
+
 def read_master(spark: SparkSession, place: str, moments: Sequence[str] = ("published", "lastmodified")) -> DataFrame:
     """The Parquet form, else the CSV form with its dates parsed."""
     recover(spark, place)
