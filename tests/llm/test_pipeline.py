@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from vulnlake.llm import quality, suffixes
+from vulnlake.llm import near, quality, suffixes
 from vulnlake.llm.simhash import fingerprint
 
 DRAW = random.Random(11)
@@ -117,6 +117,38 @@ def test_near_copies_of_five_word_shingles(spark):
     assert {r.doc_id for r in out.collect()} == {*range(20), *range(200, 220)}
 
 
+def test_lists_that_are_cut_to_stars_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "LONGEST", 2)
+    monkeypatch.setattr(near, "PART", 3)
+    texts = []
+    base = [prose("aa", 150).split() for _ in range(6)]
+    for words in base:  # pairs of a family share most of their runs, some of them enough
+        for _ in range(14):
+            changed = list(words)
+            for at in DRAW.sample(range(150), DRAW.randint(2, 5)):
+                changed[at] = prose("bb", 1)
+            texts.append(" ".join(changed))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    asked = []
+    real = near.apart
+    monkeypatch.setattr(near, "apart", lambda *args: asked.append(real(*args)) or asked[-1])
+    rows, named = near.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert asked[0].count() > 0
+    found = {}
+    for r in rows.join(named, "text_hash").collect():
+        found.setdefault(r.component, set()).add(r.doc_id)
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
 def test_rows_without_an_id_or_with_a_shared_one(spark):
     a, b, c, d = (prose("aa", 80) for _ in range(4))
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (1, d), (None, None)]

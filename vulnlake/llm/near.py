@@ -19,6 +19,8 @@ from vulnlake.llm.graph import components
 from vulnlake.llm.simhash import LONGEST, fingerprint, links
 
 BANDS, PER_BAND = 16, 5
+#: Members of a crowded list that one task compares with the others.
+PART = 256
 _DRAW = np.random.default_rng(42)
 TURNS = _DRAW.integers(1, 1 << 63, (BANDS * PER_BAND, 1), np.uint64) | np.uint64(1)
 SHIFTS = _DRAW.integers(1, 1 << 63, (BANDS * PER_BAND, 1), np.uint64)
@@ -41,12 +43,54 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, PER_BAND))]
 
 
+def mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists (`key, text_hash` and more) whose members are in several components (`node, root`), with each member's `root`,
+    the largest one `main`, and `parts`: how many parts of about `PART` the members outside it make."""
+    member = lists.join(roots, F.col("text_hash") == F.col("node"), "left")
+    member = checkpointed(member.select(*lists.columns, F.coalesce("root", "text_hash").alias("root")))
+    sizes = member.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"))
+    several = sizes.filter(F.col("n") > F.col("main.m"))
+    return member.join(several.select("key", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / PART).cast("long").alias("parts")), "key")
+
+
+def prefixes(runs: DataFrame, similarity: float) -> DataFrame:
+    """Lists (`key, text_hash, n_runs, later`) of the rarest runs of each text: texts of the similarity share one of these.
+
+    Of n runs, all but the `similarity` of n and one more, in one order for all texts; `later` runs follow the one listed.
+    """
+    each = runs.select("text_hash", F.explode("runs").alias("key"))
+    ranked = each.join(each.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("order"))
+    n = F.size("order")
+    first = F.slice("order", F.lit(1), n - F.ceil(similarity * n - 1e-9).cast("int") + 1)
+    placed = ranked.select("text_hash", n.cast("long").alias("n_runs"), F.posexplode(first).alias("place", "r")).filter("r.n > 1")
+    return placed.select("r.key", "text_hash", "n_runs", (F.col("n_runs") - F.col("place") - 1).alias("later"))
+
+
+def apart(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of lists (`key, text_hash, n_runs, later`) that may still join two components (`node, root`).
+
+    Two texts of different components are not both in the list's largest one, so the members outside it meet all members
+    of other components. A pair stays if the runs from the shared one on are enough for the similarity, as they are at
+    the first that a similar pair shares. A list that is one component has no pairs. The members outside are dealt into parts, so
+    no list is one task.
+    """
+    of = mixed(lists, roots)
+    few = of.filter("root <> main").select("key", F.pmod(F.xxhash64("text_hash"), "parts").alias("part"), F.col("text_hash").alias("a"), F.col("n_runs").alias("a_runs"), F.col("later").alias("a_later"), F.col("root").alias("a_root"))
+    every = of.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("text_hash").alias("b"), F.col("n_runs").alias("b_runs"), F.col("later").alias("b_later"), F.col("root").alias("b_root"), "main")
+    met = few.join(every, ["key", "part"]).filter((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a") < F.col("b"))))
+    met = met.filter((1 + F.least("a_later", "b_later")) * (1 + similarity) >= similarity * (F.col("a_runs") + F.col("b_runs")) - 1e-9)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Rows `doc_id, text_hash` of all documents, and `text_hash, component` of the distinct texts.
 
     Texts of a similarity of `similarity` or more share a component, directly or through others. A list of over
-    `LONGEST` texts isn't paired up: its members are compared with one of them, another in each band. Null texts are empty,
-    all texts without a word are alike, and repeated rows stay repeated. An empty table gives empty ones.
+    `LONGEST` texts isn't paired up at once: its members are compared with one of them, another in each band, and if
+    this leaves several components, the members meet once more in lists of their rarest runs (`prefixes`, `apart`), so that
+    no pair is lost. Null texts are empty, all
+    texts without a word are alike, and repeated rows stay repeated. An empty table gives empty ones. A very long text's
+    shingles are held at once, as hashes.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +98,9 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part["text"].to_pylist()]
                 bits = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
-                keys = pa.array([bands(shingles(t, size)) for t in texts], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], pa.array(bits), keys], names=["doc_id", "text_hash", "bits", "bands"])
+                found = [shingles(t, size) for t in texts]
+                columns = [pa.array(bits), pa.array([len(f) for f in found], pa.int64()), pa.array([bands(f) for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], *columns], names=["doc_id", "text_hash", "bits", "n_runs", "bands"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,10 +110,10 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    marked = checkpointed(rows.mapInArrow(marks, "doc_id long, text_hash long, bits long, bands array<long>"))
-    distinct = checkpointed(marked.groupBy("text_hash").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands")))
+    marked = checkpointed(rows.mapInArrow(marks, "doc_id long, text_hash long, bits long, n_runs long, bands array<long>"))
+    distinct = checkpointed(marked.groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("bits", "n_runs", "bands")]))
 
-    posted = distinct.select("text_hash", F.explode("bands").alias("key"))
+    posted = distinct.select("text_hash", "n_runs", F.explode("bands").alias("key"))
     sizes = posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("text_hash", "key"), "text_hash"))["text_hash"].alias("centre")).filter("n > 1")
     lists = checkpointed(posted.join(sizes, "key"))
     short = lists.filter(F.col("n") <= LONGEST)
@@ -81,11 +126,22 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
     every = met.union(stars).union(same).union(close).filter("a <> b")
     pairs = checkpointed(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    asked = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
-    runs = checkpointed(packed_texts(rows.select("text_hash", "text")).join(asked, "text_hash", "left_semi").mapInArrow(sets, "text_hash long, runs array<long>").groupBy("text_hash").agg(F.first("runs").alias("runs")))
-    own = lambda c: runs.select(F.col("text_hash").alias(c), F.col("runs").alias(f"{c}_runs"))
-    both = F.size(F.array_intersect("a_runs", "b_runs"))
-    alike = pairs.join(own("a"), "a").join(own("b"), "b").filter(both >= similarity * (F.size("a_runs") + F.size("b_runs") - both)).select("a", "b")
-    roots = components(alike)
+    def runs_of(asked: DataFrame) -> DataFrame:
+        return checkpointed(packed_texts(rows.select("text_hash", "text")).join(asked, "text_hash", "left_semi").mapInArrow(sets, "text_hash long, runs array<long>").groupBy("text_hash").agg(F.first("runs").alias("runs")))
+
+    def alike(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+        own = lambda c: runs.select(F.col("text_hash").alias(c), F.col("runs").alias(f"{c}_runs"))
+        both = F.size(F.array_intersect("a_runs", "b_runs"))
+        return pairs.join(own("a"), "a").join(own("b"), "b").filter(both >= similarity * (F.size("a_runs") + F.size("b_runs") - both)).select("a", "b")
+
+    runs = runs_of(pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct())  # the crowded lists' too, by their stars
+    linked = checkpointed(alike(pairs, runs))
+    roots = components(linked)
+    crowded = checkpointed(mixed(lists.filter(F.col("n") > LONGEST), roots).select("text_hash").distinct())
+    if not crowded.isEmpty():
+        left = apart(prefixes(runs.join(crowded, "text_hash", "left_semi"), similarity), roots, similarity)
+        left = checkpointed(left.join(pairs, ["a", "b"], "left_anti"))
+        if not left.isEmpty():
+            roots = components(linked.union(alike(left, runs)))
     named = distinct.join(roots, distinct["text_hash"] == roots["node"], "left").select("text_hash", F.coalesce("root", "text_hash").alias("component"))
     return marked.select("doc_id", "text_hash"), named
