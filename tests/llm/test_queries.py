@@ -56,6 +56,7 @@ COLUMNS = {
     "op8_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op9_best_fit": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op10_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint",
+    "op11_hypergeometric_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
 

@@ -21,3 +21,21 @@ o AS (SELECT rid, coalesce(bool_or(v > f[2] + 4 * (f[2] - f[1]) + s OR (m = 'wor
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT out AS kept FROM m JOIN o USING (rid)
 """
+
+#: Blocks of 512 words; the tree over shards moves no words between documents, so it isn't needed here.
+MIX = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce('s' || source, 'n') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS o FROM documents),
+n AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM (SELECT key, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY key)),
+c AS (SELECT *, w * (sum(s) OVER () - coalesce(sum(3 * s) OVER b, 0)) >= 3 * s * (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS stopped FROM n
+  WINDOW b AS (ORDER BY 3 * s / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT key, s, CASE WHEN stopped THEN CAST(3 * s AS DOUBLE) ELSE CAST(w * (sum(s) OVER () - coalesce(sum(3 * s) FILTER (WHERE stopped) OVER (), 0)) AS DOUBLE) / sum(w) FILTER (WHERE NOT stopped) OVER () END AS target FROM c),
+p AS (SELECT key, s, target, CAST(floor(target + 0.5) AS BIGINT) // greatest(s, 1) AS rounds, CAST(floor(target + 0.5) AS BIGINT) % greatest(s, 1) AS rest FROM t),
+k AS (SELECT key, s, b, rest, row_number() OVER (PARTITION BY key ORDER BY (b + 1) * 512 > s, substr(md5(key || ':' || rounds || ':' || b), 1, 16), b) - 1 AS place
+  FROM (SELECT *, unnest(range((s + 511) // 512)) AS b FROM p WHERE rest > 0)),
+r AS (SELECT key, b, least(512, s - b * 512, rest - place * 512) AS words FROM k WHERE place * 512 < rest),
+x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+y AS (SELECT rid, key, start, size, unnest(range(CAST(start // 512 AS BIGINT), CAST((start + size - 1) // 512 + 1 AS BIGINT))) AS b FROM x WHERE size > 0),
+e AS (SELECT rid, sum(greatest(0, least(start + size, y.b * 512 + words) - greatest(start, y.b * 512))) AS extra FROM y JOIN r USING (key, b) GROUP BY rid)
+SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target, CAST(rounds * size + coalesce(extra, 0) AS BIGINT) AS taken FROM d JOIN p USING (key) LEFT JOIN e USING (rid)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import bpe, langid, licenses, lm, media, oracles, packing, quality, simhash, suffixes
+from vulnlake.llm import bpe, langid, licenses, lm, media, mixing, oracles, packing, quality, simhash, suffixes
 from vulnlake.llm.common import documents
 
 
@@ -69,10 +69,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
+def op11_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[native] Words that the mix takes of each document, added up over its pieces in the shards."""
+    return mixing.mixed(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_mpeg_ts, op2_bpe_trie, op3_simhash, op4_langid, op5_quality, op6_lm_difference, op7_licenses, op8_token_counts, op9_best_fit, op10_suffix_dedup]
+    found += [op11_hypergeometric_mix]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": oracles.QUALITY}
+    return {"op5_quality": oracles.QUALITY, "op11_hypergeometric_mix": oracles.MIX}
