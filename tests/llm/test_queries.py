@@ -41,6 +41,8 @@ def place(spark, rows, tmp_path_factory):
     labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(0, 45)] + [(2, 1, 0)], "doc_id long, quality int, toxic int")
     for name, part in (("full", frame), ("none", frame.filter("false"))):
         part.write.parquet(f"{where}/{name}/documents.parquet")
+        turns = spark.createDataFrame([(c, t, "user", f"turn {t * (c % 3)}", "clash") for c in range(8) for t in range(c)], "conv_id long, turn long, role string, text string, depth string")
+        turns.filter("true" if name == "full" else "false").write.parquet(f"{where}/{name}/conversations.parquet")
         labels.filter("true" if name == "full" else "false").write.parquet(f"{where}/{name}/labels.parquet")
     return str(where)
 
@@ -57,6 +59,8 @@ COLUMNS = {
     "op9_best_fit": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op10_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint",
     "op11_hypergeometric_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op12_spelling_variants": "word string, n bigint, n_near bigint, form string, form_n bigint, root string",
+    "op13_conversation_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 

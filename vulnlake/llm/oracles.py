@@ -39,3 +39,44 @@ y AS (SELECT rid, key, start, size, unnest(range(CAST(start // 512 AS BIGINT), C
 e AS (SELECT rid, sum(greatest(0, least(start + size, y.b * 512 + words) - greatest(start, y.b * 512))) AS extra FROM y JOIN r USING (key, b) GROUP BY rid)
 SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target, CAST(rounds * size + coalesce(extra, 0) AS BIGINT) AS taken FROM d JOIN p USING (key) LEFT JOIN e USING (rid)
 """
+
+
+_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+#: CRC-32 of `s`, of characters below U+0800, with the table of bytes in column `t`.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] "
+    "ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+)
+
+SPELLING = rf"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT {_TABLE} AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+o AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, {_CRC} AS h FROM o, k),
+w AS MATERIALIZED (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(h.n) >= 3),
+x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS key FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT DISTINCT * FROM (SELECT x.word, w.word AS near, w.n FROM x JOIN w ON x.key = w.word UNION ALL SELECT w.word, x.word, x.n FROM x JOIN w ON x.key = w.word
+  UNION ALL SELECT a.word, b.word, b.n FROM x a JOIN x b ON a.i = b.i AND a.key = b.key AND a.word <> b.word)),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+g AS (SELECT word, word AS root FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, CAST(f.form_n AS BIGINT) AS form_n, g.root FROM f JOIN g USING (word) JOIN f e ON e.word = g.root AND e.form IS NULL
+"""
+
+PREFIXES = rf"""
+WITH k AS MATERIALIZED (SELECT {_TABLE} AS t),
+t AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, n, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM s, k),
+l AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS top FROM c LEFT JOIN (SELECT conv_id, n FROM s) b ON b.conv_id = c.base),
+r AS (SELECT l.conv_id, i + 1 AS depth, e FROM l JOIN t ON t.conv_id = l.base AND i < h UNION ALL SELECT conv_id, top + i - h + 1, e FROM l JOIN t USING (conv_id) WHERE i >= h),
+a AS (SELECT conv_id, coalesce(list(e ORDER BY depth) FILTER (WHERE depth IS NOT NULL), []) AS path FROM l LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+m AS (SELECT conv_id, path[1:d] AS path, d AS depth, len(path) = d AS last FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM a)),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends FROM m GROUP BY depth, path),
+o AS (SELECT n.*, p.conv_id AS parent_conv_id FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]),
+j AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+q AS (SELECT n.depth AS d, n.path, (n_convs - 1) * coalesce(length(n.path[n.depth].text), 0) AS saved, n_children IS NULL AS leaf FROM n LEFT JOIN j USING (depth, path)),
+u AS (SELECT depth, path[1:depth] AS path, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(d + 1)) AS depth FROM q) GROUP BY ALL)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM o LEFT JOIN j USING (depth, path) JOIN u USING (depth, path)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import bpe, langid, licenses, lm, media, mixing, oracles, packing, quality, simhash, suffixes
+from vulnlake.llm import bpe, langid, licenses, lm, media, mixing, oracles, packing, prefixes, quality, simhash, spelling, suffixes
 from vulnlake.llm.common import documents
 
 
@@ -74,11 +74,20 @@ def op11_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefixes.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_mpeg_ts, op2_bpe_trie, op3_simhash, op4_langid, op5_quality, op6_lm_difference, op7_licenses, op8_token_counts, op9_best_fit, op10_suffix_dedup]
-    found += [op11_hypergeometric_mix]
+    found += [op11_hypergeometric_mix, op12_spelling_variants, op13_conversation_trie]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": oracles.QUALITY, "op11_hypergeometric_mix": oracles.MIX}
+    return {"op5_quality": oracles.QUALITY, "op11_hypergeometric_mix": oracles.MIX, "op12_spelling_variants": oracles.SPELLING, "op13_conversation_trie": oracles.PREFIXES}
