@@ -1,13 +1,15 @@
 """Feed readers, sinks and streams on files that the tests write."""
 
 import json
+import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from vulnlake.operators.upsert import high_water, upsert_latest
-from vulnlake.sources import feeds, tables
+from vulnlake.sources import feeds, snapshots, tables
 from vulnlake.streaming import jobs
 
 
@@ -68,7 +70,8 @@ def test_master_round_trip(spark, tmp_path):
     tables.write_master(df, place)
     tables.write_master(df, place)
     assert tables.read_master(spark, place).collect() == df.collect()
-    tables.remove(spark, f"{place}/parquet")
+    for folder, _ in snapshots.listed(spark, f"{place}/data"):
+        tables.remove(spark, f"{place}/data/{folder}/parquet")
     back = tables.read_master(spark, place).first()
     assert (back.published, back.l, back.t) == (datetime(2021, 1, 1), '["x","y"]', 'say "hi", ok')
 
@@ -94,64 +97,140 @@ def test_stream_equals_batch(spark, tmp_path):
         df.filter(F.col("v") % 3 == part).coalesce(1).write.mode("append").parquet(src)
     run = lambda: jobs.stream_upsert(jobs.feed_stream(spark, src, df.schema, files_per_batch=1), master, "k", "ts", mark, "v").awaitTermination(120)
     run()
-    once = sorted(map(tuple, spark.read.parquet(f"{master}/parquet").collect()))
+    once = sorted(map(tuple, tables.read_master(spark, master).collect()))
     want = upsert_latest(df.filter("false"), df, "k", "ts", "v")
     assert [x[:2] for x in once] == sorted(map(tuple, want.select("k", "ts").collect()))
     run()
-    assert sorted(map(tuple, spark.read.parquet(f"{master}/parquet").collect())) == once
+    assert sorted(map(tuple, tables.read_master(spark, master).collect())) == once
     water = jobs.stream_high_water(jobs.feed_stream(spark, src, df.schema).withColumn("feed", F.lit("f")), "feed", ["ts"])
     q = water.writeStream.format("memory").queryName("water").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{mark}2").start()
     q.awaitTermination(120)
     assert spark.table("water").agg(F.max("high_water")).first()[0] == high_water(df, ["ts"], "2030-01-01").first()[0]
 
 
-def test_a_master_outlives_a_stop_between_its_moves(spark, tmp_path, monkeypatch):
+def test_masters_are_whole_between_any_two_steps_of_a_write(spark, tmp_path, monkeypatch):
+    """Every call a write makes to the store is stopped at once; what readers see before is the old table, afterwards the new one."""
+    frame = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    seen = lambda place: sorted(tuple(r) for r in tables.read_master(spark, place).collect())
+    for name in ("write_part", "commit", "hadoop", "listed", "entry"):
+        place = str(tmp_path / name)
+        tables.write_master(frame(("a", 1)), place)
+        real, step = getattr(snapshots, name), 0
+        while True:
+            calls = []
+
+            def stop(*args, **more):
+                calls.append(name)
+                if len(calls) > step:
+                    raise OSError("stopped")
+                return real(*args, **more)
+
+            monkeypatch.setattr(snapshots, name, stop)
+            try:
+                tables.write_master(frame(("b", 2), ("c", step)), place)
+                done = True
+            except OSError:
+                done = False
+            monkeypatch.setattr(snapshots, name, real)
+            if done:
+                assert seen(place) == [("b", 2), ("c", step)]
+                break
+            assert seen(place) in ([("a", 1)], [("b", 2), ("c", step)])
+            tables.write_master(frame(("a", 1)), place)
+            step += 1
+        assert step > 0
+
+
+def test_a_reader_beside_a_writer_and_readers_of_old_versions(spark, tmp_path, monkeypatch):
     place = str(tmp_path / "m")
-    tables.write_master(spark.createDataFrame([("a", 1)], "k string, v int"), place)
-    moves = []
+    first = tables.write_master(spark.createDataFrame([("a", 1)], "k string, v int"), place)
+    pinned = tables.read_master(spark, place)
+    real, seen = snapshots.commit, []
+
+    def watched(session, where, new):
+        seen.append([tuple(r) for r in tables.read_master(spark, place).collect()])
+        return real(session, where, new)
+
+    monkeypatch.setattr(snapshots, "commit", watched)
+    second = tables.write_master(spark.createDataFrame([("b", 2), ("c", 3)], "k string, v int"), place)
+    assert seen == [[("a", 1)]] and second == first + 1
+    assert sorted(tuple(r) for r in tables.read_master(spark, place).collect()) == [("b", 2), ("c", 3)]
+    assert [tuple(r) for r in pinned.collect()] == [("a", 1)] == [tuple(r) for r in tables.read_master(spark, place, version=first).collect()]
+    assert snapshots.drop_old(spark, place, 3600) == []
+    assert len(snapshots.drop_old(spark, place, 0)) == 1 and tables.read_master(spark, place).count() == 2
+    assert not list((tmp_path / "m" / "log").glob("*.draft"))
 
-    def stop(session, old, new):
-        moves.append(old)
-        if len(moves) == 2:
-            raise OSError("stopped")
-        return plain(session, old, new)
 
-    plain = tables.move
-    monkeypatch.setattr(tables, "move", stop)
-    with pytest.raises(OSError):
-        tables.write_master(spark.createDataFrame([("b", 2)], "k string, v int"), place)
-    assert not tables.exists(spark, place)
-    monkeypatch.setattr(tables, "move", plain)
-    assert [tuple(r) for r in tables.read_master(spark, place).collect()] == [("a", 1)]
-    tables.publish_table(spark.createDataFrame([("b", 2)], "k string, v int"), place, "upsert", "k", "v")
-    assert sorted(tuple(r) for r in tables.read_master(spark, place).collect()) == [("a", 1), ("b", 2)]
+def test_two_writers_at_once(spark, tmp_path):
+    place = str(tmp_path / "m")
+    rows = lambda w, i: spark.createDataFrame([(f"{w}{i}", i), ("both", 10 * i + w)], "k string, v int")
+    tables.write_master(rows(0, 0), place)
+    with ThreadPoolExecutor(3) as pool:
+        jobs_done = [pool.submit(tables.publish_table, rows(w, i), place, "upsert", "k", "v") for i in range(1, 4) for w in (1, 2, 3)]
+        [j.result() for j in jobs_done]
+    got = {r["k"]: r["v"] for r in tables.read_master(spark, place).collect()}
+    assert got == {"00": 0, "both": 33, **{f"{w}{i}": i for w in (1, 2, 3) for i in range(1, 4)}}
+    assert snapshots.entry(spark, place)["version"] == 10
+    with pytest.raises(snapshots.Conflict):
+        tables.write_master(rows(0, 0), place, based_on=4)
+    assert tables.write_master(rows(0, 0), place, based_on=10) == 11
+
+
+def test_upserts_in_parts_equal_one_table(spark, tmp_path):
+    place, draw, want = str(tmp_path / "m"), random.Random(4), {}
+    rewritten = 0
+    for i in range(24):
+        rows = {f"k{draw.randrange(60)}" if draw.random() < 0.9 else None: (datetime(2021, 1, 1 + draw.randrange(9)) if draw.random() < 0.9 else None, i) for _ in range(draw.choice([1, 3, 40]))}
+        for k, (ts, v) in rows.items():
+            if k not in want or (ts or datetime(1970, 1, 1)) >= (want[k][0] or datetime(1970, 1, 1)):
+                want[k] = (ts, v)
+        snapshots.upsert(spark.createDataFrame([(k, ts, v) for k, (ts, v) in rows.items()], "k string, ts timestamp, v int").coalesce(1), place, "k", "ts", csv=False)
+        parts = snapshots.entry(spark, place)["parts"]
+        rewritten += parts[-1]["rows"]
+        assert all(a["rows"] > 2 * b["rows"] for a, b in zip(parts, parts[1:]))
+    assert sorted(((r.k, r.ts, r.v) for r in tables.read_master(spark, place).collect()), key=str) == sorted(((k, *v) for k, v in want.items()), key=str)
+    snapshots.compact(spark, place)
+    assert len(snapshots.entry(spark, place)["parts"]) == 1 and tables.read_master(spark, place).count() == len(want)
+    tables.publish_table(spark.createDataFrame([("k0", None, 99)], "k string, ts timestamp, v int"), place, "append")
+    assert tables.read_master(spark, place).count() == len(want) + 1
+
 
+def test_plain_folders_are_masters_too(spark, tmp_path):
+    spark.createDataFrame([("a", 1)], "k string, v int").write.parquet(str(tmp_path / "m" / "parquet"))
+    assert tables.read_master(spark, str(tmp_path / "m")).count() == 1
+    appended = spark.createDataFrame([("b", "2021-01-01")], "k string, published string")
+    tables.write_master(appended, str(tmp_path / "n"))
+    tables.publish_table(appended, str(tmp_path / "n"), "append")
+    for folder, _ in snapshots.listed(spark, f"{tmp_path}/n/data"):
+        tables.remove(spark, f"{tmp_path}/n/data/{folder}/parquet")
+    assert tables.read_master(spark, str(tmp_path / "n")).count() == 2  # the CSV form holds what was appended
 
-def test_a_streamed_master_outlives_a_stop_while_it_is_put_in_place(spark, tmp_path, monkeypatch):
+
+def test_a_stream_outlives_a_stop_before_and_after_its_commit(spark, tmp_path, monkeypatch):
     schema = "k string, ts timestamp, v int"
     batch = lambda i: spark.createDataFrame([(f"k{j}", datetime(2021, 1, 1 + i), 10 * i + j) for j in range(i, i + 4)], schema)
     src, master, mark = (str(tmp_path / n) for n in ("in", "master", "mark"))
-    run = lambda: jobs.stream_upsert(jobs.feed_stream(spark, src, batch(0).schema), master, "k", "ts", mark, parts=5).awaitTermination(120)
+    run = lambda: jobs.stream_upsert(jobs.feed_stream(spark, src, batch(0).schema), master, "k", "ts", mark).awaitTermination(120)
+    got = lambda: sorted((r.k, r.v) for r in tables.read_master(spark, master).collect())
     batch(0).write.mode("append").parquet(src)
     run()
-    before = {p.name for p in (tmp_path / "master" / "parquet").iterdir()}
+    before, real = got(), snapshots.commit
     batch(1).write.mode("append").parquet(src)
-    plain, calls = jobs.put, []
+    for after in (False, True):
 
-    def stop(session, place):
-        calls.append(place)
-        if len(calls) == 2:  # staged, not yet in place
+        def stop(*args):
+            if after:
+                real(*args)
             raise OSError("stopped")
-        plain(session, place)
 
-    monkeypatch.setattr(jobs, "put", stop)
-    with pytest.raises(Exception, match="stopped"):
-        run()
-    assert tables.exists(spark, f"{master}.staged/_SUCCESS")
-    monkeypatch.setattr(jobs, "put", plain)
+        monkeypatch.setattr(snapshots, "commit", stop)
+        with pytest.raises(Exception, match="stopped"):
+            run()
+        monkeypatch.setattr(snapshots, "commit", real)
+        assert got() == ([("k0", 0), ("k1", 11), ("k2", 12), ("k3", 13), ("k4", 14)] if after else before)
+    version = snapshots.entry(spark, master)["version"]
     run()
-    got = sorted((r.k, r.v) for r in spark.read.parquet(f"{master}/parquet").collect())
-    assert got == [("k0", 0), ("k1", 11), ("k2", 12), ("k3", 13), ("k4", 14)] and before and not tables.exists(spark, f"{master}.staged")
+    assert got() == [("k0", 0), ("k1", 11), ("k2", 12), ("k3", 13), ("k4", 14)] and snapshots.entry(spark, master)["version"] == version
 
 
 def test_publish_over_jdbc(spark):
@@ -163,5 +242,24 @@ def test_publish_over_jdbc(spark):
     assert read() == [("a", 1), ("b", 2)]
     tables.publish_table(rows(("c", 3)), "t", "replace", url=url, **more)
     assert read() == [("c", 3)]
-    with pytest.raises(ValueError):
-        tables.publish_table(rows(("c", 3)), "t", "upsert", key="k", url=url, **more)
+
+
+def test_upsert_over_jdbc(spark):
+    url, more = "jdbc:derby:memory:upserted;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = lambda *r: spark.createDataFrame(r, "k string, `day of` timestamp, v int, l array<int>")
+    load = lambda table: spark.read.format("jdbc").options(url=url, dbtable=table, **more).load()
+    read = lambda: sorted((r.k, r.v) for r in load("t").collect())
+    one, two = datetime(2021, 1, 1), datetime(2021, 1, 2)
+    send = lambda batch, *r: tables.publish_table(rows(*r), "t", "upsert", key="k", changed="day of", url=url, batch=batch, **more)
+    send("1", ("a", one, 1, [1]), ("b", one, 2, None), ("b", two, 3, None), ("b", one, 4, None))
+    assert read() == [("a", 1), ("b", 3)]
+    send("2", ("b", one, 5, [2, 3]), ("c", None, 6, []))
+    assert read() == [("a", 1), ("b", 5), ("c", 6)]
+    send("2", ("b", one, 77, None), ("d", None, 77, None))  # a batch that comes again
+    assert read() == [("a", 1), ("b", 5), ("c", 6)]
+    with pytest.raises(Exception):
+        send("3", ("a", one, 8, None), (None, one, 9, None))  # the server refuses a null key, and with it the whole batch
+    assert read() == [("a", 1), ("b", 5), ("c", 6)]
+    send("3", ("a", one, 8, None), ("e", one, 9, None))  # mended and sent again
+    assert read() == [("a", 8), ("b", 5), ("c", 6), ("e", 9)]
+    assert sorted(r[0] for r in load("t_batches").collect()) == ["1", "2", "3"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,44 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from vulnlake.operators.upsert import upsert_latest
-from vulnlake.sources.tables import exists, remove
-
-#: Column of a streamed master that holds the partition of a key.
-PART = "part_"
+from vulnlake.operators.upsert import newest
+from vulnlake.sources import snapshots
 
 
 def feed_stream(spark: SparkSession, place: str, schema: StructType, kind: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(place)
 
 
-def put(spark: SparkSession, master: str) -> None:
-    """Puts staged partitions in the place of those they replace; done again after a stop, it ends in the same table."""
-    staged = f"{master}.staged"
-    if exists(spark, f"{staged}/_SUCCESS"):
-        parts = spark.read.parquet(staged)
-        parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{master}/parquet")
-    remove(spark, staged)
-
-
-def stream_upsert(feed: DataFrame, master: str, key: str, changed: str, checkpoint: str, ordinal: str | None = None, parts: int = 64) -> StreamingQuery:
-    """Upserts each micro-batch into the master at a path; a batch that comes again changes nothing.
+def stream_upsert(feed: DataFrame, master: str, key: str, changed: str, checkpoint: str, ordinal: str | None = None) -> StreamingQuery:
+    """Upserts each micro-batch into the master at a path, one version a batch.
 
-    The master is in partitions by a hash of the key (column `part_`), and only those that a batch touches are written:
-    first beside it, as a whole, then in their place. A stop in between is made good by the next batch. The checkpoint
-    moves on only after the master is written. A master keeps the number of `parts` it began with.
+    A batch writes its own newest rows and is put together with small parts of the master only (`snapshots.upsert`); the
+    version that takes it notes the stream (by its checkpoint's id) and the batch, so one that comes again after a stop
+    changes nothing. Readers see whole versions; other writers may write between batches.
     """
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        put(spark, master)
-        new = batch.withColumn(PART, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")).persist()
-        touched = [r[PART] for r in new.select(PART).distinct().collect()]  # at most `parts`
-        if touched:
-            old = spark.read.parquet(f"{master}/parquet").filter(F.col(PART).isin(touched)) if exists(spark, f"{master}/parquet") else spark.createDataFrame([], new.schema)
-            upsert_latest(old, new, key, changed, ordinal).repartition(PART).write.partitionBy(PART).parquet(f"{master}.staged")
-            put(spark, master)
-        new.unpersist()
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        order = [snapshots.moment(changed), F.col(ordinal).cast("long") if ordinal else F.lit(0)]
+        snapshots.upsert(newest(batch, key, order), master, key, changed, csv=False, batch=(stream, number))
 
     return feed.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
