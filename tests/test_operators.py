@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vulnlake.operators import concordance, density, learners, merge, ordering, pu, ranking, reports, splits, survival, text, upsert
+from vulnlake.operators import concordance, density, learners, merge, ordering, products, pu, ranking, reports, splits, survival, text, upsert
 
 D = [datetime(2021, 1, k + 1) for k in range(9)]
 DRAW = random.Random(3)
@@ -135,6 +135,45 @@ def test_bags_and_density(spark):
     assert np.allclose(density.log_density(x, c, 0.5), direct)
 
 
+@pytest.mark.parametrize("components", [None, 2])
+def test_density_equals_all_kernels(spark, monkeypatch, components):
+    draw = np.random.default_rng(6)
+    monkeypatch.setattr(density, "SLICE", 13)
+    monkeypatch.setattr(density, "PILOT", 9)
+    middles = draw.normal(scale=4, size=(5, 3))
+    rows = [(i, int(draw.random() < 0.3), *map(float, middles[i % 5] + draw.normal(size=3))) for i in range(230)]
+    rows += [(300 + i, 0, 1.0, 1.0, 1.0) for i in range(70)] + [(400, 1, None, 1.0, 2.0), (401, None, 2.0, None, None)]
+    tried = [(i, int(i % 2), *map(float, 3 * draw.normal(size=3))) for i in range(60)] + [(60, 0, 1.0, 1.0, 1.0), (61, 1, 900.0, -900.0, 0.0), (61, 1, None, None, None)]
+    schema, names = "id int, y int, a double, b double, c double", ["a", "b", "c"]
+    train, test = spark.createDataFrame(rows, schema), spark.createDataFrame(tried, schema)
+    got = density.density_risk(train, test, names, "id", "y", components=components, noise_ratio=0.7, cell=10).collect()
+    x = density.vectors(train, names)
+    p, n = (np.array([[v or 0.0 for v in r[2:]] for r in rows if (r[1] == 1) == k]) for k in (True, False))
+    size = int(len(n) * 0.7)
+    noise = np.array([r["x"] for r in density.scrambled(train.select(F.xxhash64(F.col("id").cast("string"), x).alias("id"), x.alias("x")), size, 5, 20).collect()])
+    assert len(noise) == size
+    t = np.array([[v or 0.0 for v in r[2:]] for r in tried])
+    if components:
+        every = np.vstack([p, n])
+        axes = np.linalg.svd(every - every.mean(axis=0), full_matrices=False)[2][:components].T
+        p, n, noise, t = ((m - every.mean(axis=0)) @ axes for m in (p, n, noise, t))
+    logs = [density.log_density(t, m, 0.5) for m in (p, n, noise)]
+    want = np.exp(logs[0] - np.logaddexp.reduce(logs))
+    assert sorted((r["id"], r["y"]) for r in got) == sorted(r[:2] for r in tried)
+    assert np.allclose(sorted(r["risk_score"] for r in got), sorted(want), atol=1e-6)
+    by = dict(zip([r[0] for r in tried[:60]], want))
+    assert all(abs(by[r["id"]] - r["risk_score"]) < 1e-6 for r in got if r["id"] < 60)
+
+
+def test_scrambled_columns_are_permutations(spark):
+    rows = [(i, [float(i), float(i) ** 2, float(i % 7)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    made = np.array([r["x"] for r in density.scrambled(df, 150, 3, cell_rows=20).collect()])
+    assert all(sorted(made[:, j]) == sorted(r[1][j] for r in rows) for j in range(3))
+    assert abs(np.corrcoef(made[:, 0], made[:, 1])[0, 1]) < 0.3
+    assert density.scrambled(df, 40, 3).count() == 40
+
+
 def test_trees(spark):
     draw = np.random.default_rng(4)
     rows = [(i, 2000 + i % 3, y, float(draw.normal(2.5 * y)), float(draw.normal()) if i % 5 else None) for i, y in enumerate(map(int, draw.integers(0, 2, 240)))]
@@ -239,11 +278,35 @@ def test_cox(spark):
     # the same by the full matrix
     steps = survival.baseline_steps(df, model, "stratum").toPandas()
     curves = {s: x.sort_values("t") for s, x in steps.groupby("g")}
-    pool = np.concatenate([np.exp(-curves[s]["hazard"].to_numpy() * round(r, 4)) for s, r in zip(days["g"], days["risk_score"])])
-    threshold = np.quantile(pool, 0.5)
-    for s, r, day in zip(days["g"], days["risk_score"], days["predicted_day"]):
-        crossed = curves[s][np.exp(-curves[s]["hazard"] * r) <= threshold * (1 + 1e-9)]
-        assert (np.isnan(day) and crossed.empty) or abs(day - crossed["t"].min()) < 1e-9 or abs(np.exp(-curves[s]["hazard"] * r) - threshold).min() < 1e-3
+    pool = np.concatenate([np.exp(-curves[s]["hazard"].to_numpy() * r) for s, r in zip(days["g"], days["risk_score"])])
+    for q in (0.05, 0.5, 1.0):
+        days, threshold = survival.predicted_day(df, model, "stratum", "id", q=q).toPandas(), np.quantile(pool, q)
+        close = 0
+        for s, r, day in zip(days["g"], days["risk_score"], days["predicted_day"]):
+            survives = np.exp(-curves[s]["hazard"] * r)
+            crossed = curves[s][survives <= threshold]
+            # Python's and the JVM's exp may differ in the last place, where a value is the threshold itself
+            close += int(abs(survives / threshold - 1).min() < 1e-14)
+            assert (np.isnan(day) and crossed.empty) or day == crossed["t"].min() or abs(survives / threshold - 1).min() < 1e-14
+        assert close <= 2
+
+
+def test_quantiles_of_products(spark):
+    g = np.random.default_rng(9)
+    risks = {"x": [*g.exponential(size=40), 2.5, 2.5, 0.0, 1e-200, 1e200], "y": [1.0] * 30, "z": list(g.exponential(5, size=7)), "only risks": [1.0]}
+    hazards = {"x": np.cumsum(g.exponential(size=31)), "y": np.arange(1.0, 20.0), "z": np.array([1e-9, 3.0]), "only steps": np.array([1.0, 2.0])}
+    rows = [(s, float(r)) for s, v in risks.items() for r in v]
+    groups = spark.createDataFrame(rows, "g string, risk double").groupBy("g", "risk").agg(F.count("*").alias("n")).cache()
+    steps = products.indexed(spark.createDataFrame([(s, float(i), float(h)) for s, v in hazards.items() for i, h in enumerate(v)], "g string, t double, hazard double")).cache()
+    pool = np.concatenate([np.exp(-np.outer(risks[s], hazards[s])).ravel() for s in risks if s in hazards])
+    for q, made in ((0.05, 10**6), (0.5, 3), (1.0, 5)):
+        assert products.survival_quantile(groups, steps, q, made) == pytest.approx(np.quantile(pool, q), rel=1e-12, abs=1e-300)
+    assert products.survival_quantile(groups.filter("g = 'only risks'"), steps, 0.5) is None
+    again = products.first_below(groups.select("g", "risk"), steps, 0.25).collect()
+    assert len(again) == groups.count()
+    for r in again:
+        first = [i for i, h in enumerate(hazards.get(r["g"], [])) if np.exp(-h * r["risk"]) <= 0.25]
+        assert r["t"] == (first[0] if first else None)
 
 
 def test_concordance(spark):

@@ -16,14 +16,15 @@ CELL_ROWS, MOST_CELLS = 250_000, 2000
 def cells_of(df: DataFrame, order: str, name: str, rows: int | None = None, most: int = MOST_CELLS) -> DataFrame:
     """Adds `name`: a number that grows with `order`, the same for equal values, for about `rows` rows each (null: -1).
 
-    Borders are approximate quantiles of one pass, which only decide how even the cells are; a row finds its cell by
-    binary search.
+    Where the rows, which are counted first, fill more than one cell, as many borders as are wanted come from approximate
+    quantiles of one more pass; they only decide how even the cells are. A row finds its cell by binary search.
     """
-    probs = ", ".join(f"{i / most}D" for i in range(1, most))
-    edges_of = F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({probs}), {4 * most})")
-    seen = df.agg(F.count(order).alias("n"), edges_of.alias("edges")).first()
-    wanted = min(most, -(-seen["n"] // (rows or CELL_ROWS)))
-    edges = sorted({seen["edges"][i * most // wanted - 1] for i in range(1, wanted)}) if wanted > 1 else []
+    wanted = min(most, -(-df.agg(F.count(order)).first()[0] // (rows or CELL_ROWS)))
+    edges: list[float] = []
+    if wanted > 1:
+        probs = ", ".join(f"{i / wanted}D" for i in range(1, wanted))
+        edges_of = F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({probs}), {max(1000, 4 * wanted)})")
+        edges = sorted(set(df.agg(edges_of.alias("edges")).first()["edges"]))
     if not edges:
         return df.withColumn(name, F.when(F.col(order).isNull(), -1).otherwise(0))
     value = df.withColumn("value_", F.coalesce(F.col(order).cast("double"), F.lit(float("nan"))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.features import day_lag
-from vulnlake.operators.ordering import cells_of, quantiles, running, running_sums
+from vulnlake.operators import products
+from vulnlake.operators.ordering import cells_of, running_sums
 from vulnlake.sources.tables import checkpointed
 
 
@@ -99,23 +99,16 @@ def baseline_steps(df: DataFrame, model: CoxModel, strata: str, time: str = "tim
 def predicted_day(df: DataFrame, model: CoxModel, strata: str, key: str, q: float = 0.05, horizon: float = 1691.0, time: str = "time_to_event", event: str = "event") -> DataFrame:
     """`predicted_day`: first event time of the stratum at which a row's survival is at or below the pooled q-quantile.
 
-    Survival is exp(-H0(t) * risk), so the matrix of rows and times is not built: a row crosses the threshold where H0
-    reaches -ln(threshold) / risk, which one running minimum per stratum tells. The threshold is a weighted quantile over
-    rounded (stratum, risk) groups and times. Rows that never cross have null, and `predicted_display` Never.
+    Survival is exp(-H0(t) * risk). The matrix of rows and times is not built: `products` finds its quantile by counting,
+    exactly, and then each row's first time below it by a merge in order of hazard. Rows that never cross have null (those
+    with a missing covariate, too), and `predicted_display` Never.
     """
-    steps = checkpointed(baseline_steps(df, model, strata, time, event).filter(F.col("t") <= horizon))
-    scored = cox_partial_hazard(df, model, event).withColumn("g", F.col(strata).cast("string"))
-    groups = scored.groupBy("g", F.round("risk_score", 4).alias("risk")).agg(F.count("*").alias("n"))
-    pairs = checkpointed(groups.join(steps, "g").groupBy(F.exp(-F.col("hazard") * F.col("risk")).alias("s")).agg(F.sum("n").alias("n")))
-    found = quantiles(pairs, "s", [q], weight="n").first()  # one row
-    needed = F.lit(-math.log(found["q"][0]) if found and found["q"][0] else None).cast("double")
-    crossing = scored.withColumn("needed", needed / F.col("risk_score"))
-    # steps and rows in one order by hazard: the least time of the steps from a row's need on
-    rows = crossing.select(F.col(key).alias("key_"), "g", "risk_score", F.col("needed").alias("level"), F.lit(None).cast("double").alias("t"), F.lit(True).alias("row_"))
-    marks = steps.select("g", F.col("hazard").alias("level"), F.col("t").cast("double").alias("t"), F.lit(False).alias("row_"))
-    found = running(rows.unionByName(marks, allowMissingColumns=True), "level", ["t"], within="g", descending=True, how="min").filter("row_")
-    day = F.col("run_t").alias("predicted_day")
-    return found.select(F.col("key_").alias(key), "g", "risk_score", day, F.coalesce(F.col("run_t").cast("string"), F.lit("Never")).alias("predicted_display"))
+    steps = checkpointed(products.indexed(baseline_steps(df, model, strata, time, event).filter(F.col("t") <= horizon).withColumn("t", F.col("t").cast("double"))))
+    scored = cox_partial_hazard(df, model, event).select(F.col(key).alias("key_"), F.col(strata).cast("string").alias("g"), F.col("risk_score").alias("risk"))
+    groups = checkpointed(scored.filter("risk IS NOT NULL").groupBy("g", "risk").agg(F.count("*").alias("n")))
+    threshold = products.survival_quantile(groups, steps, q)
+    found = scored.withColumn("t", F.lit(None).cast("double")) if threshold is None else products.first_below(scored, steps, threshold)
+    return found.select(F.col("key_").alias(key), "g", F.col("risk").alias("risk_score"), F.col("t").alias("predicted_day"), F.coalesce(F.col("t").cast("string"), F.lit("Never")).alias("predicted_display"))
 
 
 def hazard_scope(df: DataFrame, count_bin: str, risk_bin: str, scope: str = "focus", focus: Sequence[str] = ("2/critical", "3/critical", "2/high", "3/high")) -> DataFrame:
