@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -171,3 +172,13 @@ def test_all_ids_null(spark):
     for _, f in corpus_pipeline.STAGES[:-1]:
         docs = f(spark, docs, "")
         assert docs.count() == 6
+
+
+def test_parities_bound_differences():
+    draw = np.random.default_rng(2)
+    for n, extra in ((0, 0), (1, 1), (50, 10), (3000, 400), (9000, 9000)):
+        both, a, b = (draw.integers(0, 2**63, k).astype(np.uint64) for k in (n, extra, extra // 2))
+        x, y = (near.parity(np.unique(np.concatenate([both, own]))) for own in (a, b))
+        assert len(x) == near.PARITY_BITS // 64
+        differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert differ <= extra + extra // 2 and (extra != 400 or differ > 400)

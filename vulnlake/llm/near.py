@@ -19,6 +19,8 @@ from vulnlake.llm.graph import components
 from vulnlake.llm.simhash import LONGEST, fingerprint, links
 
 BANDS, PER_BAND = 16, 5
+#: Bits of a text's parities, which tell most unlike pairs apart before their runs are compared.
+PARITY_BITS = 4096
 #: Members of a crowded list that one task compares with the others.
 PART = 256
 _DRAW = np.random.default_rng(42)
@@ -33,6 +35,13 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), np.uint64, len(runs)))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """`PARITY_BITS` bits, each the parity of the runs that fall on it: two texts' bits differ in at most as many places as
+    their runs do."""
+    bits = np.bincount((hashes >> np.uint64(17)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def bands(hashes: np.ndarray) -> list[int]:
     """A signed key for each band of min-hashes."""
     if not len(hashes):
@@ -105,8 +114,9 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "packed"):
-                found = [shingles(unpacked(t).decode(), size).view(np.int64) for t in part["packed"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["text_hash"], pa.array(found, pa.list_(pa.int64()))], names=["text_hash", "runs"])
+                found = [shingles(unpacked(t).decode(), size) for t in part["packed"].to_pylist()]
+                columns = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), parity)]
+                yield pa.RecordBatch.from_arrays([part["text_hash"], *columns], names=["text_hash", "runs", "parity"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -127,9 +137,14 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
     pairs = checkpointed(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def runs_of(asked: DataFrame) -> DataFrame:
-        return checkpointed(packed_texts(rows.select("text_hash", "text")).join(asked, "text_hash", "left_semi").mapInArrow(sets, "text_hash long, runs array<long>").groupBy("text_hash").agg(F.first("runs").alias("runs")))
+        return checkpointed(packed_texts(rows.select("text_hash", "text")).join(asked, "text_hash", "left_semi").mapInArrow(sets, "text_hash long, runs array<long>, parity array<long>").groupBy("text_hash").agg(F.first("runs").alias("runs"), F.first("parity").alias("parity")))
 
     def alike(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+        """Pairs of the similarity; those whose parities differ in too many places for it go before runs are moved."""
+        few = lambda c: runs.select(F.col("text_hash").alias(c), F.size("runs").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"))
+        differ = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+        near = pairs.join(few("a"), "a").join(few("b"), "b").filter((1 + similarity) * differ <= (1 - similarity) * (F.col("a_n") + F.col("b_n")) + 1e-9)
+        pairs = checkpointed(near.select("a", "b"))
         own = lambda c: runs.select(F.col("text_hash").alias(c), F.col("runs").alias(f"{c}_runs"))
         both = F.size(F.array_intersect("a_runs", "b_runs"))
         return pairs.join(own("a"), "a").join(own("b"), "b").filter(both >= similarity * (F.size("a_runs") + F.size("b_runs") - both)).select("a", "b")
