@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vulnlake.operators import concordance, density, learners, merge, ordering, products, pu, ranking, reports, splits, survival, text, upsert
+from vulnlake.operators import boosting, concordance, density, forest, learners, merge, ordering, products, pu, ranking, reports, splits, survival, text, upsert
 
 D = [datetime(2021, 1, k + 1) for k in range(9)]
 DRAW = random.Random(3)
@@ -180,16 +180,139 @@ def test_trees(spark):
     df = spark.createDataFrame(rows, "id int, year int, y int, a double, b double").cache()
     train, test = df.filter("id < 160"), df.filter("id >= 160")
     area = lambda got: ordering.auroc_auprc(got, "y", "risk_score").first().auroc
-    got, weights = learners.train_forest(train, test, ["a", "b"], "id", "y", trees=30, depth=4)
+    got, weights = learners.train_forest(train, test, ["a", "b"], "id", "y", trees=30)
     assert got.count() == 80 and area(got) > 0.9 and weights[0][0] == "a"
-    grid = [{"depth": 1, "step": 0.1, "rounds": 1}, {"depth": 3, "step": 0.1, "rounds": 5}]
-    a, b, _ = learners.prepared(train.filter("year < 2002"), train.filter("year = 2002"), ["a", "b"], "y")
-    judged = [ordering.auroc_auprc(learners.scores(learners.boosted(g, 9, 7).fit(learners.weighed(a)), b, "id", "y"), "y", "risk_score").first().auprc for g in grid]
-    assert learners.tuned(train, ["a", "b"], "id", "y", "year", grid, 9, 7) == grid[max(range(2), key=lambda i: judged[i])]
-    assert learners.tuned(train.filter("y = 1 or year < 2002"), ["a", "b"], "id", "y", "year", grid, 9, 7) == grid[0]  # one class in the last year
+    grid = [{"depth": 1, "step": 0.1, "rounds": 1}, {"depth": 3, "step": 0.1, "rounds": 5}, {"depth": 3, "step": 0.1, "rounds": 9}]
+    judged = []
+    for g in grid:
+        scores, _ = learners.train_boosted(train.filter("year < 2002"), train.filter("year = 2002"), ["a", "b"], "id", "y", grid=[g])
+        judged.append(ordering.auroc_auprc(scores, "y", "risk_score").first().auprc)
+    assert learners.tuned(train, ["a", "b"], "id", "y", "year", grid, 7) == grid[max(range(3), key=lambda i: (judged[i], -i))]
+    assert learners.tuned(train.filter("y = 1 or year < 2002"), ["a", "b"], "id", "y", "year", grid, 7) == grid[0]  # one class in the last year
     got, weights = learners.train_boosted(train, test, ["a", "b"], "id", "y", "year", grid)
     assert got.count() == 80 and area(got) > 0.85 and weights[0][0] == "a"
-    assert len(learners.GRID) == 8 and len({tuple(g.items()) for g in learners.GRID}) == 8
+    assert len(learners.GRID) == 8 and {g["rounds"] for g in learners.GRID} == {300, 600}
+
+
+def tree_table(spark, n, width, seed):
+    draw = np.random.default_rng(seed)
+    x = np.round(draw.normal(size=(n, width)), 1)  # ties
+    y = (x[:, 0] * x[:, 1] + x[:, 2] + draw.normal(scale=0.7, size=n) > 0).astype(int)
+    ids = draw.integers(-(2**62), 2**62, n)
+    frame = [(int(i), int(v), [float(c) for c in r]) for i, v, r in zip(ids, y, x)]
+    return spark.createDataFrame(frame, "id long, y int, x array<double>").repartition(3), x, y, ids.view(np.uint64)
+
+
+def grow_plainly(x, y, w, tree, node, tried, seed):
+    """A tree by recursion and plain loops: (column, threshold, left, right) or the share of positives."""
+    p, q = w[y == 1].sum(), w[y == 0].sum()
+    if not p or not q:
+        return p / (p + q)
+    gini = lambda m: 2 * w[m & (y == 1)].sum() * w[m & (y == 0)].sum() / w[m].sum()
+    best, looked, every = None, 0, np.ones(len(x), bool)
+    for c in forest.order_of_columns(seed, tree, node, x.shape[1]):
+        values = sorted(set(x[:, c]))
+        if len(values) < 2:
+            continue
+        for low, high in zip(values, values[1:]):
+            m = x[:, c] <= low
+            gain = gini(every) - gini(m) - gini(~m)
+            if best is None or gain > best[0] + 1e-9 * gini(every):
+                best = (gain, c, (low + high) / 2)
+        looked += 1
+        if looked == tried:
+            break
+    if best is None:
+        return p / (p + q)
+    m = x[:, best[1]] > best[2]
+    return (best[1], best[2], grow_plainly(x[~m], y[~m], w[~m], tree, 2 * node, tried, seed), grow_plainly(x[m], y[m], w[m], tree, 2 * node + 1, tried, seed))
+
+
+def test_forest_equals_plain_trees_on_the_same_bootstraps(spark):
+    train, x, y, ids = tree_table(spark, 90, 5, 1)
+    test, tx, _, _ = tree_table(spark, 25, 5, 2)
+    asked = test.select(F.monotonically_increasing_id().alias("row"), "x").cache()
+    got, shares = forest.forest(train, asked, 5, trees=8, seed=3)
+    want = np.zeros(25)
+    for tree in range(8):
+        n = forest.counts(ids, tree, 3).astype(float)
+        own = n > 0
+        w = n[own] * np.where(y[own] == 1, 0.5 / n[y == 1].sum(), 0.5 / n[y == 0].sum())
+        root = grow_plainly(x[own], y[own], w, tree, 1, 2, 3)
+        for i, row in enumerate(tx):
+            node = root
+            while isinstance(node, tuple):
+                node = node[3] if row[node[0]] > node[1] else node[2]
+            want[i] += node / 8
+    by = {tuple(r["x"]): r["p"] for r in asked.join(got, "row").collect()}
+    assert all(abs(by[tuple(row)] - p) < 1e-9 for row, p in zip(tx, want))
+    assert abs(sum(shares) - 1) < 1e-9 and 0.5 < np.mean([forest.counts(ids, t, 3).mean() for t in range(8)]) < 1.5
+
+
+def test_upper_nodes_are_split_together_and_their_rows_meet_below(spark):
+    train, x, y, _ = tree_table(spark, 1500, 4, 5)
+    test, tx, ty, _ = tree_table(spark, 400, 4, 6)
+    asked = test.select(F.monotonically_increasing_id().alias("row"), "x", "y").cache()
+    area = lambda p: ordering.auroc_auprc(asked.join(p, "row"), "y", "p").first().auroc
+    whole, _ = forest.forest(train, asked, 4, trees=12, seed=3)
+    split, shares = forest.forest(train, asked, 4, trees=12, seed=3, node_rows=150)
+    assert split.count() == 400 and abs(area(whole) - area(split)) < 0.04 and area(split) > 0.8 and abs(sum(shares) - 1) < 1e-9
+    upper, classes, _ = forest.upper_splits(train, 4, 12, 2, 150, 3)
+    assert len(upper) > 12 * 5 and set(classes) == set(range(12))
+    w = forest.counts(np.array([r["id"] for r in train.collect()]).view(np.uint64), 0, 3)
+    xs = np.array([r["x"] for r in train.collect()])
+    sizes = pd.Series(w).groupby(forest.nodes_of(xs, 0, upper)).sum()
+    assert sizes.max() <= 150 and len(sizes) > 5
+
+
+def test_boosting_equals_plain_rounds_whatever_the_tasks(spark):
+    train, x, y, ids = tree_table(spark, 400, 4, 8)
+    settings = [{"depth": 2, "step": 0.3}, {"depth": 3, "step": 0.1}]
+    one, three = (boosting.fit(train, 4, settings, 7, seed=5, tasks=t) for t in (1, 3))
+    edges = boosting.columns_edges(train, 4)
+    w = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    for i, s in enumerate(settings):
+        margin = np.zeros(400)
+        for number, tree in enumerate(one[i]):
+            assert np.allclose(tree, three[i][number], atol=1e-7)
+            p = 1 / (1 + np.exp(-margin))
+            seen, columns = boosting.seen_rows(ids, number, 5), boosting.seen_columns(4, number, 5)
+            g, h = np.where(seen, w * (p - y), 0), np.where(seen, w * p * (1 - p), 0)
+            score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)  # noqa: E731, B023
+            todo = [(1, np.ones(400, bool), 0)]
+            while todo:
+                node, m, depth = todo.pop()
+                assert np.isclose(tree[node, 3], -g[m].sum() / (h[m].sum() + 1), atol=1e-9)
+                cuts = [(score(m & (x[:, c] <= e)) + score(m & (x[:, c] > e)) - score(m), c, e) for c in columns for e in edges[c] if min(h[m & (x[:, c] <= e)].sum(), h[m & (x[:, c] > e)].sum()) >= 1]
+                best = max(cuts, default=(0, -1, 0))
+                if depth == s["depth"] or best[0] <= 1e-9:
+                    assert tree[node, 0] == -1
+                    continue
+                c, e = int(tree[node, 0]), tree[node, 2]
+                assert np.isclose(tree[node, 4], best[0]) and any(np.isclose(k[0], best[0]) and k[1] == c and k[2] == e for k in cuts)
+                todo += [(2 * node, m & (x[:, c] <= e), depth + 1), (2 * node + 1, m & (x[:, c] > e), depth + 1)]
+            margin += s["step"] * tree[boosting.places(x, tree, 2), 3]
+        asked = train.withColumn("row", F.col("id"))
+        got = {r["row"]: r["p"][i] for r in boosting.scored(asked, 4, [(s["step"], one[i]) for i, s in enumerate(settings)]).collect()}
+        assert np.allclose([got[int(v)] for v in ids.view(np.int64)], 1 / (1 + np.exp(-margin)))
+
+
+def test_boosting_is_no_worse_than_sparks_learner_and_goes_on_after_a_stage(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    train, _, _, _ = tree_table(spark, 900, 4, 11)
+    test, _, _, _ = tree_table(spark, 600, 4, 12)
+    asked = test.withColumn("row", F.col("id")).cache()
+    long = boosting.fit(train, 4, [{"depth": 3, "step": 0.1}], 60)[0]
+    monkeypatch.setattr(boosting, "ROUNDS_A_JOB", 17)
+    stages = boosting.fit(train, 4, [{"depth": 3, "step": 0.1}], 60)[0]
+    assert len(stages) == 60 and all(np.allclose(a, b, atol=1e-7) for a, b in zip(long, stages))
+    own = asked.join(boosting.scored(asked, 4, [(0.1, long)]), "row").withColumn("s", F.col("p")[0])
+    as_vectors = lambda df: df.withColumn("v", array_to_vector("x"))
+    theirs = GBTClassifier(featuresCol="v", labelCol="y", maxIter=60, maxDepth=3, stepSize=0.1, seed=1).fit(as_vectors(train)).transform(as_vectors(asked)).withColumn("s", vector_to_array("probability")[1])
+    a, b = (ordering.auroc_auprc(d, "y", "s").first().auroc for d in (own, theirs))
+    assert a > b - 0.01 and a > 0.8
 
 
 def test_weibull_is_at_its_optimum(spark):
@@ -207,15 +330,21 @@ def test_weibull_is_at_its_optimum(spark):
     found = np.linalg.lstsq(lines, z, rcond=None)[0]
     assert np.abs(lines @ found - z).max() < 1e-9 and np.allclose(got.log_density, z + np.log(found[0]) - np.log(t / 100) - np.exp(z))
 
-    def likelihood(p):
-        z = lines @ p
-        return (e * (z + np.log(p[0])) - np.exp(z)).sum()
-
-    steps = [np.eye(4)[i] * h for i in range(4) for h in (1e-2, -1e-2)]
-    assert all(likelihood(found) > likelihood(found + s) for s in steps) and abs(found[0] - 1.5) < 0.3
+    def objective(p):
+        """Shape, intercept and coefficients: the mean likelihood less the penalty on coefficients of scaled covariates."""
+        z = p[0] * (np.log(t / 100) - p[1] - x @ p[2:])
+        return (e * (z + np.log(p[0]) - np.log(t / 100)) - np.exp(z)).mean() - 0.05 / 2 * ((p[2:] * x.std(axis=0, ddof=1)) ** 2).sum()
+
+    at = np.array([found[0], *(-found[1:] / found[0])])
+    steps = [np.eye(4)[i] * h for i in range(4) for h in (1e-3, -1e-3)]
+    assert all(objective(at) > objective(at + s) for s in steps) and abs(at[0] - 1.5) < 0.3
+    assert all(abs(objective(at + s) - objective(at - s)) / 2e-3 < 1e-5 for s in steps)
+    free = learners.weibull_aft(df, ["a", "b"], "t", "e", "id", penalizer=0.0).toPandas().sort_values("id")
+    z = np.log(-free.log_survival.to_numpy())
+    loose = np.linalg.lstsq(lines, z, rcond=None)[0]
+    assert abs(loose[2] / loose[0]) > abs(at[2]) and not np.allclose(loose, found, atol=1e-3)
     reduced, few = learners.components(df, names, 2)
-    c = noise - noise.mean(axis=0)
-    directions = np.linalg.svd(c)[2][:2]
+    directions = np.linalg.svd(noise)[2][:2]
     own = reduced.orderBy("id").select(*few).toPandas().to_numpy()
     assert np.allclose(np.abs(own), np.abs(noise @ directions.T)) and not set(names) & set(reduced.columns)
     assert learners.weibull_aft(df, ["a"], "t", "e", "id", names, most=3, n=2).filter("log_survival <= 0").count() == 300
@@ -309,11 +438,18 @@ def test_quantiles_of_products(spark):
         assert r["t"] == (first[0] if first else None)
 
 
-def test_concordance(spark):
-    rows = [(float(DRAW.randint(1, 15)), float(DRAW.randint(1, 6)), DRAW.randint(0, 1)) for _ in range(120)]
-    got = concordance.concordance_index(spark.createDataFrame(rows, "t double, s double, e int"), "t", "s", "e", rows=40).first()
-    pairs = [(a, b) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and a[2] and (a[0] < b[0] or (a[0] == b[0] and not b[2]))]
+@pytest.mark.parametrize("rows, cells", [(100_000, 64), (12, 3), (30, 2)])
+def test_concordance(spark, monkeypatch, rows, cells):
+    monkeypatch.setattr(concordance, "CELLS", cells)
+    levels, real = [], concordance.cell
+    monkeypatch.setattr(concordance, "cell", lambda *args: levels.append(1) or real(*args))
+    data = [(float(DRAW.randint(1, 15)), float(DRAW.randint(1, 6)), DRAW.randint(0, 1)) for _ in range(120)] + [(7.0, DRAW.random(), DRAW.randint(0, 1)) for _ in range(60)] + [(DRAW.random(), 3.0, 1) for _ in range(30)]
+    got = concordance.concordance_index(spark.createDataFrame([*data, (None, 1.0, 1), (1.0, None, 0)], "t double, s double, e int"), "t", "s", "e", rows=rows).first()
+    pairs = [(a, b) for i, a in enumerate(data) for j, b in enumerate(data) if i != j and a[2] and (a[0] < b[0] or (a[0] == b[0] and not b[2]))]
     assert got.pairs == len(pairs) and got.concordance == pytest.approx(np.mean([(a[1] > b[1]) + (a[1] == b[1]) / 2 for a, b in pairs]))
+    assert (len(levels) >= 6) == (rows < 1000)  # three levels at least, two calls each
+    none = concordance.concordance_index(spark.createDataFrame([(1.0, 1.0, 0)], "t double, s double, e int"), "t", "s", "e").first()
+    assert none.concordance is None and none.pairs is None
 
 
 def test_likelihood_ratio(spark):
@@ -347,6 +483,41 @@ def test_suites_and_scores(spark):
     assert len(scores) == 200 and {r.split for r in scores} == {"train", "test"} and all(r.risk_score_nb is not None for r in scores)
 
 
+def test_logistic_side_by_side_equals_single_fits(spark):
+    draw = np.random.default_rng(3)
+    rows = [(i, int(draw.random() < 1 / (1 + math.exp(-float(v[0]) + 1))), *[None if draw.random() < 0.1 else float(c) for c in v]) for i, v in enumerate(draw.normal(size=(240, 4)))]
+    df = spark.createDataFrame(rows, "id int, y int, a double, b double, c double, d double")
+    train, test = df.filter("id < 160"), df.filter("id >= 160")
+    configs = {"all": ["a", "b", "c", "d"], "few": ["b", "d"], "one": ["a"], "none": []}
+    got = learners.logistic_side_by_side(train, test, configs, "y", "id").collect()
+    assert len(got) == 80 * 4
+    for name in ("all", "few", "one"):
+        alone = {r["id"]: r["risk_score"] for r in learners.train_logistic(train, test, configs[name], "id", "y")[0].collect()}
+        assert all(abs(r["risk_score"] - alone[r["id"]]) < 1e-4 for r in got if r["ablation"] == name)
+    assert all(abs(r["risk_score"] - 0.5) < 1e-6 for r in got if r["ablation"] == "none")
+    suite = ranking.ablation_suite(train, test, "abcd", {"full": (), "few": ("a", "c")}, {}, "y", "id", (10,), {"logreg": learners.logistic_side_by_side}).collect()
+    few = [r for r in got if r["ablation"] == "few"]
+    one = ordering.auroc_auprc(spark.createDataFrame(few), "y", "risk_score").first()
+    assert {(r.ablation, r.split) for r in suite} == {(n, s) for n in ("full", "few") for s in ("train", "test")}
+    assert [r.auroc for r in suite if (r.ablation, r.split) == ("few", "test")] == [pytest.approx(one.auroc)]
+
+
+def test_a_logistic_fit_is_at_its_optimum(spark):
+    draw = np.random.default_rng(13)
+    x = draw.normal(size=(150, 2))
+    y = (draw.random(150) < 1 / (1 + np.exp(-x[:, 0] + 0.5))).astype(int)
+    df = spark.createDataFrame([(i, int(v), *map(float, r)) for i, (v, r) in enumerate(zip(y, x))], "id int, y int, a double, b double")
+    got, coefficients = learners.train_logistic(df, df, ["a", "b"], "id", "y")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    beta = np.array([dict(coefficients)[c] for c in "ab"])
+    p = np.array([r["risk_score"] for r in got.orderBy("id").collect()])
+    intercept = np.log(p / (1 - p)) - z @ beta
+    w = np.where(y == 1, 150 / (2 * y.sum()), 150 / (2 * (150 - y.sum())))
+    loss = lambda q: (w * np.log1p(np.exp(-np.where(y == 1, 1, -1) * (q[0] + z @ q[1:])))).sum() + q[1:] @ q[1:] / 2
+    at = np.array([intercept.mean(), *beta])
+    assert np.ptp(intercept) < 1e-6 and all(abs(loss(at + s) - loss(at - s)) / 2e-4 < 1e-2 for s in np.eye(3) * 1e-4)
+
+
 def test_tfidf_weights(spark):
     import math
     from collections import Counter

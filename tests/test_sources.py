@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vulnlake.operators.upsert import high_water, upsert_latest
-from vulnlake.sources import feeds, snapshots, tables
+from vulnlake.sources import feeds, json_ranges, snapshots, tables
 from vulnlake.streaming import jobs
 
 
@@ -57,6 +58,38 @@ def test_xml_feed(spark, tmp_path):
     assert not got["JVNDB-2"].cve_ids and got["JVNDB-2"].cvss_score is None
 
 
+@pytest.mark.parametrize("range_bytes", ["37b", "200b", "1500b", "128m"])
+def test_pages_are_read_by_ranges(spark, tmp_path, range_bytes):
+    draw = random.Random(6)
+    odd = ['}', '{"id": "CVE-9"}', 'say \\"}] {', "\\\\", '"', "é😀\n}", "[[[", ""]
+    record = lambda i: {"cve": {"id": f"CVE-{i}", "descriptions": [{"lang": "en", "value": draw.choice(odd) + "x" * draw.choice([0, 3, 700])}], "weaknesses": [{"description": [{"lang": "en", "value": "CWE-1"}]}] * (i % 3)}}
+    pages = [[record(10 * p + i) for i in range(draw.choice([0, 1, 9]))] for p in range(6)]
+    for p, rows in enumerate(pages):
+        page = {"total": 3, "more": {"a": [1, {"b": "}"}]}, "vulnerabilities": rows, "note": ["x", "}"]}
+        text = json.dumps([page, page], indent=1) if p == 3 else json.dumps(page, indent=draw.choice([None, 2]), ensure_ascii=p % 2 == 0)
+        (tmp_path / f"page-{p}.json").write_text(text)
+    (tmp_path / "empty.json").write_text("{}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert range_bytes == "128m" or json_ranges.fragments(spark, str(tmp_path)).select("file", "block").distinct().count() > 12
+        got = sorted(feeds.read_nvd_feed(spark, str(tmp_path)).collect(), key=str)
+        order = [tuple(r) for r in json_ranges.records(spark, str(tmp_path)).filter("record LIKE '%cve%'").orderBy(json_ranges.page_number(F.col("file")), "block", "place").select(F.get_json_object("record", "$.cve.id")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    plain = spark.read.option("multiLine", True).schema(feeds.NVD).json(str(tmp_path)).select(F.explode("vulnerabilities").alias("v")).select("v.cve").filter("cve.id is not null")
+    assert got == sorted(plain.collect(), key=str) and len(got) == sum(map(len, pages)) + len(pages[3])
+    assert [i for (i,) in order] == [r["cve"]["id"] for p, rows in enumerate(pages) for _ in range(1 + (p == 3)) for r in rows]
+
+
+def test_later_pages_win_by_number(spark, tmp_path):
+    for p in (2, 9, 10):
+        (tmp_path / f"{p}.json").write_text(json.dumps({"items": [{"id": "E1", "baseScore": float(p)}]}))
+    assert [r.baseScore for r in feeds.read_euvd_feed(spark, str(tmp_path)).collect()] == [10.0]
+
+
 def test_paged_feed(spark, tmp_path):
     (tmp_path / "1.json").write_text(json.dumps({"items": [{"id": "E1", "baseScore": 1.0, "datePublished": "Dec 12, 2025, 1:02:03 PM"}, {"id": "E2"}]}))
     (tmp_path / "2.json").write_text(json.dumps({"content": [{"id": "E1", "baseScore": 2.0, "aliases": "CVE-2025-1\n"}]}))
@@ -263,3 +296,44 @@ def test_upsert_over_jdbc(spark):
     send("3", ("a", one, 8, None), ("e", one, 9, None))  # mended and sent again
     assert read() == [("a", 8), ("b", 5), ("c", 6), ("e", 9)]
     assert sorted(r[0] for r in load("t_batches").collect()) == ["1", "2", "3"]
+
+
+def test_marks_of_idle_feeds_move_on(spark, tmp_path):
+    src, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    schema = "name string, ts timestamp"
+    land = lambda *rows: spark.createDataFrame(list(rows), schema).write.mode("append").parquet(src)
+    day = lambda y, d: datetime(y, 1, d, 7)
+    seen = []
+
+    def watch(batch, _):
+        seen.extend(batch.collect())
+
+    def started(idle):
+        feed = jobs.feed_stream(spark, src, spark.createDataFrame([], schema).schema)
+        return jobs.stream_marks(feed, "name", ["ts"], idle=idle).writeStream.outputMode("update").foreachBatch(watch).option("checkpointLocation", mark).trigger(processingTime="500 milliseconds").start()
+
+    def wait(query, test):
+        until = time.time() + 60
+        while not any(map(test, seen)) and time.time() < until:
+            assert query.exception() is None
+            time.sleep(0.2)
+        assert any(map(test, seen))
+
+    land(("a", day(2021, 5)), ("a", day(2021, 2)), ("b", day(2021, 3)), ("b", None), (None, day(2021, 9)))
+    query = started("1 hour")
+    wait(query, lambda r: r.feed == "b")
+    land(("a", day(2020, 1)), ("a", day(2020, 2)), ("a", day(2021, 4)))  # two rows come late and don't move the mark
+    wait(query, lambda r: r.feed == "a" and r.late_rows == 2)
+    query.stop()
+    query.awaitTermination(60)
+    assert {r.feed: r.high_water for r in seen} == {"a": day(2021, 5), "b": day(2021, 3)} and not any(r.idle for r in seen)
+    seen.clear()
+    land(("b", day(2021, 8)))
+    query = started("2 seconds")  # goes on from its checkpoint: only what is new moves a mark
+    wait(query, lambda r: r.feed == "b" and not r.idle)
+    assert [r.high_water for r in seen if r.feed == "b" and not r.idle] == [day(2021, 8)]
+    wait(query, lambda r: r.feed == "b" and r.idle)
+    query.stop()
+    query.awaitTermination(60)
+    moved = [r for r in seen if r.feed == "b" and r.idle]
+    assert all(abs((datetime.now() - r.high_water).total_seconds()) < 3600 * 24 for r in moved)

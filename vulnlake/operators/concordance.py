@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.operators.ordering import cells_of
+from vulnlake.sources.tables import checkpointed
 
-#: Cells of times, and of scores, at most; so much of their grid, at most its square in rows, comes to the driver.
-MOST_CELLS = 1000
+#: Rows of a group that a task counts one by one; borders of its cells; groups that are told by a broadcast.
+GROUP_ROWS, CELLS, FEW_GROUPS = 100_000, 64, 20_000
 
 
 def summed_after(cell: np.ndarray, value: np.ndarray, weight: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -47,38 +47,69 @@ def later(t: np.ndarray, group: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return summed_after(group, top - t, weight, np.stack([group, top - t]))
 
 
-def judged(frame: pd.DataFrame, whole: bool) -> pd.DataFrame:
-    """Sums over the events of a frame (t, s, events, weight): better scored, tied, and with `whole` all later rows."""
-    t, s = (np.unique(frame[c].to_numpy(), return_inverse=True)[1].astype(np.int64) for c in ("t", "s"))
+def judged(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sums over the events of a group (t, late, s, events, weight): better scored, tied, and, if it is `whole`, all later rows."""
+    t = np.unique(frame["t"], return_inverse=True)[1].astype(np.int64) * 2 + frame["late"].to_numpy(np.int64)
+    s = np.unique(frame["s"], return_inverse=True)[1].astype(np.int64)
     d, w = frame["events"].to_numpy(float), frame["weight"].to_numpy(float)
-    good, ties = d @ below_and_later(t, s, w), d @ later(t, s, w)
-    return pd.DataFrame({"good": [good], "ties": [ties], "pairs": [d @ later(t, np.zeros_like(t), w) if whole else 0.0]})
+    pairs = d @ later(t, np.zeros_like(t), w) if frame["whole"].iloc[0] else 0.0
+    return pd.DataFrame({"good": [d @ below_and_later(t, s, w)], "ties": [d @ later(t, s, w)], "pairs": [pairs]})
 
 
-def concordance_index(df: DataFrame, time: str, score: str, event: str, rows: int | None = None) -> DataFrame:
+def of_cells(frame: pd.DataFrame) -> pd.DataFrame:
+    """The same of a group's cells (tc, sc, events, weight): pairs whose times and scores are both in different cells."""
+    t, s = (np.unique(frame[c], return_inverse=True)[1] for c in ("tc", "sc"))
+    d, w = (np.zeros((t.max() + 1, s.max() + 1)) for _ in range(2))
+    d[t, s], w[t, s] = frame["events"], frame["weight"]
+    after = np.cumsum(w[::-1], axis=0)[::-1] - w  # of later time cells, by score cell
+    less = np.cumsum(after, axis=1) - after
+    pairs = (d * after.sum(axis=1, keepdims=True)).sum() if frame["whole"].iloc[0] else 0.0
+    return pd.DataFrame({"good": [float((d * less).sum())], "ties": [0.0], "pairs": [float(pairs)]})
+
+
+def cell(value: Column, borders: str) -> Column:
+    """Cells between borders, and one for each border, so that a value of very many rows has a cell of its own."""
+    return (2 * F.size(F.filter(borders, lambda b: b < value)) + F.exists(borders, lambda b: b == value).cast("int")).cast("double")
+
+
+def concordance_index(df: DataFrame, time: str, score: str, event: str, rows: int = GROUP_ROWS) -> DataFrame:
     """One row: share of comparable pairs in which the earlier event has the higher score; score ties count half.
 
     A pair is comparable when the earlier of two different times is an event, or when times tie and one is an event. Rows
-    are reduced to counts and dealt into cells by time and by score, as many as the table asks for. Pairs of one time cell
-    are counted there, pairs of one score cell with times of different cells there, and all others from the counts of
-    the cells alone.
+    are reduced to counts. A group of more than `rows` rows is cut into cells by time and by score: pairs that differ in
+    both cells are counted from the cells alone; those of one time cell, and those of one score cell with times told by
+    their cell, are groups of the next level. Smaller groups are counted row by row, so no task holds more than that.
     """
-    # an event comes before a censored row of its time, so that only what is later by (time, kind) is compared with it
+    spark = df.sparkSession
     base = df.select(F.col(time).cast("double").alias("t"), F.col(score).cast("double").alias("s"), F.col(event).cast("int").alias("e")).dropna()
-    kinds = base.groupBy("t", "s", "e").agg(F.count("*").alias("n")).persist()  # read for both choices of cells, the grid and the cells
-    cells = cells_of(cells_of(kinds, "t", "tc", rows, MOST_CELLS), "s", "sc", rows, MOST_CELLS)
-    counted = cells.select("tc", "sc", F.struct("t", (1 - F.col("e")).alias("late")).alias("t"), "s", (F.col("n") * F.col("e")).cast("double").alias("events"), F.col("n").cast("double").alias("weight"))
-    sums = "good double, ties double, pairs double"
-    # the order of (t, late) as a number: twice the rank of the time, and one for censored rows
-    ranked = lambda f: pd.DataFrame({"t": np.unique(f["time"], return_inverse=True)[1] * 2 + f["late"].to_numpy(), "s": f["s"], "events": f["events"], "weight": f["weight"]})
-    own_time = counted.select("tc", F.col("t.t").alias("time"), F.col("t.late").alias("late"), "s", "events", "weight").groupBy("tc").applyInPandas(lambda f: judged(ranked(f), True), sums)
-    own_score = counted.groupBy("sc", F.col("tc").alias("t"), "s").agg(F.sum("events").alias("events"), F.sum("weight").alias("weight")).groupBy("sc").applyInPandas(lambda f: judged(f, False), sums)
-    inside = own_time.union(own_score).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("good", "ties", "pairs")])
-    grid = counted.groupBy("tc", "sc").agg(F.sum("events").alias("events"), F.sum("weight").alias("weight")).toPandas()  # at most MOST_CELLS^2 rows
-    d, w = (np.zeros((int(grid["tc"].max()) + 2, int(grid["sc"].max()) + 2)) if len(grid) else np.zeros((2, 2)) for _ in range(2))
-    d[grid["tc"], grid["sc"]], w[grid["tc"], grid["sc"]] = grid["events"], grid["weight"]
-    after = np.cumsum(w[::-1], axis=0)[::-1][1:]  # of later time cells, by score cell
-    less = np.cumsum(after, axis=1) - after
-    good, pairs = float((d[:-1] * less).sum()), float((d[:-1] * after.sum(axis=1, keepdims=True)).sum())
-    all_good, all_pairs = F.col("good") + good + F.col("ties") / 2, F.col("pairs") + pairs
-    return inside.select(F.when(all_pairs > 0, all_good / all_pairs).alias("concordance"), F.when(all_pairs > 0, all_pairs).alias("pairs"))
+    # an event comes before a censored row of its time, so that only what is later by (time, kind) is compared with it
+    kinds = base.groupBy("t", "s", "e").agg(F.count("*").cast("double").alias("weight"))
+    groups = checkpointed(kinds.select(F.lit("").alias("g"), "t", (1 - F.col("e")).alias("late"), "s", (F.col("weight") * F.col("e")).alias("events"), "weight", F.lit(True).alias("whole")))
+    found = {"good": 0.0, "ties": 0.0, "pairs": 0.0}
+    sums, probs = "good double, ties double, pairs double", F.expr(f"array({', '.join(f'{i / CELLS}D' for i in range(1, CELLS))})")
+
+    def add(parts: DataFrame) -> None:
+        for name, value in parts.agg(*[F.sum(c).alias(c) for c in found]).first().asDict().items():
+            found[name] += value or 0.0
+
+    while True:
+        # a group of one time and kind has no pairs
+        sizes = groups.groupBy("g").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("late").alias("l0"), F.max("late").alias("l1"), F.max("whole").alias("whole_"))
+        sizes = checkpointed(sizes.filter("t0 < t1 OR l0 < l1"))
+        large, few = sizes.filter(F.col("n") > rows), sizes.count() <= FEW_GROUPS
+        told = lambda names: F.broadcast(names) if few else names  # noqa: B023, E731
+        add(groups.join(told(sizes.filter(F.col("n") <= rows).select("g")), "g").groupBy("g").applyInPandas(judged, sums))
+        if large.isEmpty():
+            break
+        here = groups.join(told(large.select("g", (F.col("t0") == F.col("t1")).alias("one"))), "g").withColumn("by", F.when(F.col("one"), F.col("late")).otherwise(F.col("t")))
+        borders = here.groupBy("g").agg(*[F.array_distinct(F.percentile_approx(c, probs, F.lit(20 * CELLS))).alias(f"{c}_borders") for c in ("by", "s")])
+        cut = checkpointed(here.join(told(borders), "g").withColumns({"tc": cell(F.col("by"), "by_borders"), "sc": cell(F.col("s"), "s_borders")}).drop("by_borders", "s_borders", "by", "one"))
+        both = [F.sum(c).alias(c) for c in ("events", "weight")]
+        add(cut.groupBy("g", "whole", "tc", "sc").agg(*both).groupBy("g").applyInPandas(of_cells, sums))
+        name = lambda kind, c: F.concat("g", F.lit(kind), F.col(c).cast("int").cast("string"))
+        own_time = cut.select(name("t", "tc").alias("g"), "t", "late", "s", "events", "weight", "whole")
+        own_score = cut.groupBy(name("s", "sc").alias("g"), F.col("tc").alias("t"), "s").agg(*both).select("g", "t", F.lit(0).alias("late"), "s", "events", "weight", F.lit(False).alias("whole"))
+        groups = checkpointed(own_time.unionByName(own_score))
+    pairs = found["pairs"]
+    share = (found["good"] + found["ties"] / 2) / pairs if pairs else None
+    return spark.createDataFrame([(share, pairs or None)], "concordance double, pairs double")

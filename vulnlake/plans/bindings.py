@@ -714,15 +714,8 @@ def precision_top100(spark, sf):
     return ranking.precision_top(judged(spark, sf), "quality", "score", "doc_id")
 
 
-#: The configurations of the ablation suite and the features each leaves out.
-EPSS, POC = ("epss_score", "epss_percentile", "epss_present"), ("github_poc_count", "exploitdb_present", "metasploit_present", "poc_url_count", "poc_any_present", "first_poc_lag_days", "poc_within_30d")
-ORDS = tuple(f"cvss_{m.lower()}_ord" for m in fx.ORDINALS) + ("cvss_v3_present",)
-CONTEXT = ("repo_publication_lag", "cross_listing_count", "cross_listing_std_days", "cross_listing_variance", "weakness_frequency", "vendor_frequency", "desc_len")
-CONFIGS = {
-    "full": (), "no_epss": EPSS, "no_poc": POC, "no_epss_no_poc": EPSS + POC, "no_cvss_ords": ORDS, "no_base_score": ("base_score",),
-    "severity_only": CONTEXT + POC + EPSS, "exploit_only": ("base_score",) + ORDS + CONTEXT,
-}
-RANKED = ("base_score", *ORDS, "cross_listing_count", "vendor_frequency", "desc_len", *EPSS, *POC)
+RANKED = ("base_score", "cve_year", *ranking.ORDINALS, *ranking.CONTEXT, *ranking.EPSS, *ranking.POC)
+REFERENCE_DAY = "2018-12-31"
 
 
 def ranker_rows(spark, sf):
@@ -731,8 +724,15 @@ def ranker_rows(spark, sf):
     refs = F.concat(F.repeat(F.lit("https://github.com/a/b | "), (k % 3).cast("int")), F.repeat(F.lit("https://www.exploit-db.com/1 "), (k % 2).cast("int")))
     start = F.lit("2020-01-01").cast("timestamp")
     made = fx.epss_features(F.when(k % 4 != 0, F.col("p_retailprice") / 10000), F.when(k % 5 != 0, (k % 50) / 50.0)) | fx.poc_features(refs, start, F.timestamp_add("DAY", (k % 60).cast("int"), start))
-    made |= {"cvss_v3_present": fx.parse_cvss_vector(F.col("cvss_vector"))["cvss_v3_present"], "desc_len": F.length("nvd_text")}
-    rows = feature_rows(spark, sf).withColumns(made).select("cve_id", "cve_year", "is_kev", *[F.col(c).cast("double").alias(c) for c in RANKED])
+    weaknesses = F.repeat(F.concat(F.lit("CWE-"), k % 50, F.lit(" ")), (k % 3).cast("int"))
+    stats, spread = fx.text_stats(F.col("nvd_text")), fx.spread_days(views.dates(), 1)
+    made |= {
+        "cvss_v3_present": fx.parse_cvss_vector(F.col("cvss_vector"))["cvss_v3_present"], "desc_len": stats["desc_len"], "word_count": stats["word_count"], "update_frequency": fx.reference_count(refs),
+        "time_since_first_reference": fx.day_lag(F.lit(REFERENCE_DAY), F.least(*views.dates())), "cross_listing_variance": spread, "cross_listing_std_days": F.sqrt(spread),
+        "related_cwe_count": fx.cwe_count(weaknesses), "cwe_category": fx.cwe_category(weaknesses),
+    }
+    rows = merge.group_stat_join(feature_rows(spark, sf).withColumns(made), "cwe_category", {"weakness_frequency": F.count("*")})
+    rows = rows.withColumn("weakness_frequency", F.coalesce("weakness_frequency", F.lit(0))).select("cve_id", "is_kev", *[F.col(c).cast("double").alias(c) for c in RANKED])
     s = tables.checkpointed(splits.temporal_split(tables.checkpointed(rows), "cve_year", "cve_id", 2002, 2018))
     return s.filter("split = 'train'"), s.filter("split = 'test'")
 
@@ -747,15 +747,20 @@ def by_base_score(train, rows, columns):
 
 _SCORED = f""", f AS (SELECT cve_id, kev_present::INT AS y, cve_year <= 2018 AS train, CAST(base_score AS DOUBLE) AS base_score, {_ORDINALS}, 1 AS cvss_v3_present,
   coalesce(nvd_present::INT + jvn_present::INT + eu_present::INT, 0) AS cross_listing_count, count(*) OVER (PARTITION BY vendor) AS vendor_frequency, length(nvd_text) AS desc_len,
+  cve_year, len(regexp_extract_all(nvd_text, '[^ \\t\\n\\x0B\\f\\r]+')) AS word_count, p_partkey % 3 + p_partkey % 2 AS update_frequency, p_partkey % 3 AS related_cwe_count,
+  CASE WHEN p_partkey % 3 <> 0 THEN count(*) OVER (PARTITION BY p_partkey % 3 <> 0, p_partkey % 50) ELSE 0 END AS weakness_frequency,
+  (epoch_us(greatest(nvd_published, jvn_published, eu_published)) - epoch_us(least(nvd_published, jvn_published, eu_published))) / 86400000000.0 AS repo_publication_lag,
+  (epoch_us(TIMESTAMP '{REFERENCE_DAY}') - epoch_us(least(nvd_published, jvn_published, eu_published))) / 86400000000.0 AS time_since_first_reference,
+  list_aggregate(days, 'var_samp') AS cross_listing_variance, list_aggregate(days, 'stddev_samp') AS cross_listing_std_days,
   CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice / 10000 END AS epss_score, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 50) / 50.0 END AS epss_percentile, (p_partkey % 4 <> 0)::INT AS epss_present,
   p_partkey % 3 AS github_poc_count, p_partkey % 2 AS exploitdb_present, 0 AS metasploit_present, p_partkey % 3 + p_partkey % 2 AS poc_url_count, (p_partkey % 6 <> 0)::INT AS poc_any_present,
-  p_partkey % 60 AS first_poc_lag_days, (p_partkey % 60 <= 30)::INT AS poc_within_30d FROM described),
+  p_partkey % 60 AS first_poc_lag_days, (p_partkey % 60 <= 30)::INT AS poc_within_30d FROM (SELECT *, list_filter([epoch_us(nvd_published) / 86400000000.0, epoch_us(jvn_published) / 86400000000.0, epoch_us(eu_published) / 86400000000.0], lambda x: x IS NOT NULL) AS days FROM described)),
 d AS (SELECT cve_id, y, train, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in RANKED)} FROM f),
 l AS (UNPIVOT d ON {", ".join(RANKED)} INTO NAME feature VALUE v),
 st AS (SELECT feature, y, avg(v) AS a, greatest(var_pop(v), 1e-9) AS w FROM l WHERE train GROUP BY feature, y),
 parts AS (SELECT l.*, coalesce(-((v - p.a) ^ 2) / (2 * p.w) - 0.5 * ln(2 * pi() * p.w), 0) - coalesce(-((v - n.a) ^ 2) / (2 * n.w) - 0.5 * ln(2 * pi() * n.w), 0) AS part
   FROM l LEFT JOIN st p ON p.feature = l.feature AND p.y = 1 LEFT JOIN st n ON n.feature = l.feature AND n.y = 0),
-configs AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {[c for c in RANKED if c not in drop]})" for name, drop in CONFIGS.items())}) AS t(ablation, used)),
+configs AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {[c for c in RANKED if c not in drop]})" for name, drop in ranking.ABLATIONS.items())}) AS t(ablation, used)),
 nb AS (SELECT ablation, d.cve_id, d.y, d.train, round(coalesce(sum(part) FILTER (list_contains(used, feature)), 0), 6) AS s FROM d CROSS JOIN configs LEFT JOIN parts USING (cve_id) GROUP BY ablation, d.cve_id, d.y, d.train),
 base AS (SELECT cve_id, y, train, coalesce(base_score, (SELECT median(base_score) FROM d WHERE train)) AS s FROM d)"""
 
@@ -766,10 +771,10 @@ areas AS (SELECT ablation, model, train, CASE WHEN sum(tp) > 0 AND sum(fp) > 0 T
 t AS (SELECT *, row_number() OVER (PARTITION BY ablation, model, train ORDER BY s DESC, cve_id) AS k, count(*) OVER (PARTITION BY ablation, model, train) AS n, sum(y) OVER (PARTITION BY ablation, model, train) AS p FROM scored),
 top AS (SELECT ablation, model, train, """ + ", ".join(
     f"sum(y) FILTER (k <= {c}) / any_value(least({c}, n)) AS p_at_{c}, sum(y) FILTER (k <= {c}) / any_value(nullif(p, 0)) AS r_at_{c}, "
-    f"sum(y / log2(k + 1)) FILTER (k <= {c}) / sum(1 / log2(k + 1)) FILTER (k <= least({c}, p)) AS ndcg_at_{c}" for c in (50, 100)
+    f"sum(y / log2(k + 1)) FILTER (k <= {c}) / sum(1 / log2(k + 1)) FILTER (k <= least({c}, p)) AS ndcg_at_{c}" for c in ranking.CUTS
 ) + """ FROM t GROUP BY ALL)
 SELECT ablation, model, CASE WHEN train THEN 'train' ELSE 'test' END AS split, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, """ + ", ".join(
-    f"round({c}, 6) AS {c}" for c in ("auroc", "auprc", *[f"{m}_at_{k}" for k in (50, 100) for m in ("p", "r", "ndcg")])
+    f"round({c}, 6) AS {c}" for c in ("auroc", "auprc", *[f"{m}_at_{k}" for k in ranking.CUTS for m in ("p", "r", "ndcg")])
 ) + ", round(positives / (positives + negatives), 6) AS prevalence FROM areas JOIN top USING (ablation, model, train)"
 
 
@@ -782,7 +787,7 @@ def metrics_table(spark, sf):
     train, test = ranker_rows(spark, sf)
     each = {"nb": by_likelihood, "base_only": by_base_score}
     scored = {("single", name, split): fit(train, rows, list(RANKED)) for name, fit in each.items() for split, rows in (("train", train), ("test", test))}
-    return rounded(ranking.metrics_table(scored, "is_kev", "risk_score", "cve_id", (50, 100)))
+    return rounded(ranking.metrics_table(scored, "is_kev", "risk_score", "cve_id"))
 
 
 @query(_SCORED + """ SELECT cve_id, CASE WHEN base.train THEN 'train' ELSE 'test' END AS split, nb.s AS risk_score_nb, base.s AS risk_score_base_only FROM base JOIN nb USING (cve_id) WHERE ablation = 'full'""")
@@ -792,7 +797,21 @@ def model_scores(spark, sf):
 
 @query(_SCORED + """, scored AS (SELECT ablation, 'nb' AS model, cve_id, y, train, s FROM nb)""" + _METRICS)
 def ablation_suite(spark, sf):
-    return rounded(ranking.ablation_suite(*ranker_rows(spark, sf), RANKED, CONFIGS, {"nb": by_likelihood}, "is_kev", "cve_id", (50, 100)))
+    return rounded(ranking.ablation_suite(*ranker_rows(spark, sf), RANKED, ranking.ABLATIONS, {"nb": by_likelihood}, "is_kev", "cve_id"))
+
+
+@query()
+def ablation_logistic(spark, sf):
+    """All configurations of the logistic ranker, fitted side by side."""
+    train, test = ranker_rows(spark, sf)
+    return ranking.ablation_suite(train, test, RANKED, ranking.ABLATIONS, {}, "is_kev", "cve_id", together={"logreg": learners.logistic_side_by_side})
+
+
+@query()
+def ranker_metrics(spark, sf):
+    """The six rankers on all columns."""
+    train, test = ranker_rows(spark, sf)
+    return ranking.ablation_suite(train, test, RANKED, {"full": ()}, learners.rankers("cve_id", "is_kev"), "is_kev", "cve_id")
 
 
 @query("""WITH e AS (SELECT base_score AS s, event, t FROM (SELECT base_score, kev_present::INT AS event, (epoch_us(CASE WHEN kev_present THEN kev_published ELSE TIMESTAMP '2000-01-01' END) - epoch_us(published)) / 86400000000.0 AS t FROM described_1) WHERE t > 0 AND base_score IS NOT NULL)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions.coerce import moment, number
 from vulnlake.operators.upsert import newest
+from vulnlake.sources import json_ranges
 
 METRIC = "array<struct<cvssData:struct<baseScore:double,baseSeverity:string,vectorString:string,attackVector:string>,exploitabilityScore:double,impactScore:double>>"
 TEXTS = "array<struct<lang:string,value:string>>"
@@ -18,6 +19,7 @@ NVD = (
     f"metrics:struct<cvssMetricV31:{METRIC},cvssMetricV30:{METRIC},cvssMetricV2:{METRIC}>,weaknesses:array<struct<description:{TEXTS}>>,configurations:array<struct<nodes:array<{NODE}>>>,"
     "references:array<struct<url:string>>,cisaExploitAdd:string,cisaActionDue:string,cisaRequiredAction:string,cisaVulnerabilityName:string>>>"
 )
+NVD_RECORD = NVD.removeprefix("vulnerabilities array<").removesuffix(">")
 KEV = "cveID string, vendorProject string, product string, vulnerabilityName string, dateAdded string, shortDescription string, requiredAction string, dueDate string, knownRansomwareCampaignUse string"
 JVN = (
     "title string, link string, description string, `dc:date` string, `sec:identifier` string, `sec:cvss` array<struct<_score:string,_severity:string>>, "
@@ -29,9 +31,9 @@ EUVD_FORM = "MMM d, yyyy, h:mm:ss a"
 
 
 def read_nvd_feed(spark: SparkSession, path: str) -> DataFrame:
-    """One nested record `cve` per vulnerability of multi-line JSON files; empty ones are skipped."""
-    pages = spark.read.option("multiLine", True).schema(NVD).json(path)
-    return pages.select(F.explode("vulnerabilities").alias("v")).select("v.cve").filter("cve.id is not null")
+    """One nested record `cve` per vulnerability of JSON pages, each read by as many tasks as it has byte ranges."""
+    found = json_ranges.records(spark, path).select(F.from_json("record", NVD_RECORD).alias("v"))
+    return found.select("v.cve").filter("cve.id is not null")
 
 
 def read_kev_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +62,12 @@ def read_jvn_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_euvd_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Records of page envelopes (`items` or `content`), three dates parsed; the last of an id stays, by file and place."""
-    pages = spark.read.option("multiLine", True).schema(f"items array<{EUVD_ITEM}>, content array<{EUVD_ITEM}>").json(path)
-    found = pages.select(F.input_file_name().alias("file_"), F.posexplode(F.coalesce("items", "content")).alias("place_", "r")).select("file_", "place_", "r.*")
+    """Records of page envelopes (`items` or `content`), three dates parsed; the last of an id stays, by page number, file and
+    place. Pages are read by as many tasks as they have byte ranges."""
+    found = json_ranges.records(spark, path).select("file", "block", "place", F.from_json("record", EUVD_ITEM).alias("r")).select("file", "block", "place", "r.*")
     dates = {c: F.coalesce(F.try_to_timestamp(F.col(c), F.lit(EUVD_FORM)), moment(F.col(c))) for c in ("datePublished", "dateUpdated", "exploitedSince")}
-    return newest(found.withColumns(dates).filter("id is not null"), "id", [F.col("file_"), F.col("place_")]).drop("file_", "place_")
+    order = [json_ranges.page_number(F.col("file")), F.col("file"), F.col("block"), F.col("place")]
+    return newest(found.withColumns(dates).filter("id is not null"), "id", order).drop("file", "block", "place")
 
 
 def sorted_text(values: Column) -> Column:
