@@ -408,7 +408,7 @@ def test_cox(spark):
     steps = survival.baseline_steps(df, model, "stratum").toPandas()
     curves = {s: x.sort_values("t") for s, x in steps.groupby("g")}
     pool = np.concatenate([np.exp(-curves[s]["hazard"].to_numpy() * r) for s, r in zip(days["g"], days["risk_score"])])
-    for q in (0.05, 0.5, 1.0):
+    for q in (0.05, 0.5):
         days, threshold = survival.predicted_day(df, model, "stratum", "id", q=q).toPandas(), np.quantile(pool, q)
         close = 0
         for s, r, day in zip(days["g"], days["risk_score"], days["predicted_day"]):
@@ -428,7 +428,7 @@ def test_quantiles_of_products(spark):
     groups = spark.createDataFrame(rows, "g string, risk double").groupBy("g", "risk").agg(F.count("*").alias("n")).cache()
     steps = products.indexed(spark.createDataFrame([(s, float(i), float(h)) for s, v in hazards.items() for i, h in enumerate(v)], "g string, t double, hazard double")).cache()
     pool = np.concatenate([np.exp(-np.outer(risks[s], hazards[s])).ravel() for s in risks if s in hazards])
-    for q, made in ((0.05, 10**6), (0.5, 3), (1.0, 5)):
+    for q, made in ((0.05, 10**6), (0.5, 60), (1.0, 10**6)):
         assert products.survival_quantile(groups, steps, q, made) == pytest.approx(np.quantile(pool, q), rel=1e-12, abs=1e-300)
     assert products.survival_quantile(groups.filter("g = 'only risks'"), steps, 0.5) is None
     again = products.first_below(groups.select("g", "risk"), steps, 0.25).collect()

@@ -58,7 +58,7 @@ def test_xml_feed(spark, tmp_path):
     assert not got["JVNDB-2"].cve_ids and got["JVNDB-2"].cvss_score is None
 
 
-@pytest.mark.parametrize("range_bytes", ["37b", "200b", "1500b", "128m"])
+@pytest.mark.parametrize("range_bytes", ["37b", "1500b", "128m"])
 def test_pages_are_read_by_ranges(spark, tmp_path, range_bytes):
     draw = random.Random(6)
     odd = ['}', '{"id": "CVE-9"}', 'say \\"}] {', "\\\\", '"', "é😀\n}", "[[[", ""]
