@@ -232,7 +232,8 @@ def trie_rows(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa
 def encode_words(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """`doc_id, n_tokens, ids, decoded`: ids of every whole text (decimal, joined by blanks), and their decoded text.
 
-    A null or empty text has no tokens and two empty strings. Repeated rows stay repeated; other columns are left out.
+    A null or empty text has no tokens and two empty strings. Repeated rows stay repeated, an empty table gives an empty one,
+    a very long text is encoded whole in its task; other columns are left out.
     """
     schema = "doc_id long, n_tokens long, ids string, decoded string"
     return id_and_text(docs).mapInArrow(lambda batches: trie_rows(batches, vocabulary), schema)
@@ -327,7 +328,11 @@ def count_rows(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[p
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """`doc_id, n_bytes, n_tokens` of every whole text; null and empty texts count 0. Repeated rows stay repeated."""
+    """`doc_id, n_bytes, n_tokens` of every whole text; null and empty texts count 0.
+
+    Repeated rows stay repeated, an empty table gives an empty one, a very long text is counted whole in its task; other
+    columns are left out.
+    """
     return id_and_text(docs).mapInArrow(lambda batches: count_rows(batches, vocabulary), "doc_id long, n_bytes long, n_tokens long")
 
 

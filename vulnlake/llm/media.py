@@ -234,7 +234,11 @@ def mux_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_to_streams(docs: DataFrame) -> DataFrame:
-    """`doc_id, n_bytes, media`: each text (null: empty) padded with zeros to a positive multiple of 64, as a stream."""
+    """`doc_id, n_bytes, media`: each text (null: empty) padded with zeros to a positive multiple of 64, as a stream.
+
+    Repeated rows stay repeated, an empty table gives an empty one, a very long text is one stream, held whole in its task;
+    other columns are left out.
+    """
     return id_and_text(docs).mapInArrow(mux_rows, "doc_id long, n_bytes long, media binary")
 
 
@@ -259,7 +263,8 @@ def parse_rows(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[p
 def parse_streams(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), media: str = "media") -> DataFrame:
     """The columns `keep` and `media`, with what the stream in `media` holds: tables, checks, timed units and their bytes.
 
-    A null or empty stream has no packets, empty tables and an empty payload.
+    A null or empty stream has no packets, empty tables and an empty payload. Repeated rows stay repeated, an empty table
+    gives an empty one. A kept column may not be named like one of the results (`programs`, `payload` and so on).
     """
     chosen = df.select(*keep, F.col(media).alias("media"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema)

@@ -99,7 +99,7 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
     this leaves several components, the members meet once more in lists of their rarest runs (`prefixes`, `apart`), so that
     no pair is lost. Null texts are empty, all
     texts without a word are alike, and repeated rows stay repeated. An empty table gives empty ones. A very long text's
-    shingles are held at once, as hashes.
+    shingles are held at once in its task, about five times the text.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

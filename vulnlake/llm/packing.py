@@ -104,7 +104,8 @@ def best_fit_pack(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte
     """`doc_id, piece, start, length, ids_crc32, sequence_id, offset`: each document's ids and an end id, packed.
 
     A document of over `capacity` ids is cut into full pieces, of which the first may be shorter. A null or empty text
-    is its end id alone. Repeated rows are packed as often as they occur; an empty table gives no rows.
+    is its end id alone. Repeated rows are packed as often as they occur; an empty table gives no rows;
+    other columns are left out.
     """
     spark: SparkSession = docs.sparkSession
     pieces = checkpointed(id_and_text(docs).mapInArrow(lambda batches: piece_rows(batches, vocabulary, capacity, end_id), PIECES))

@@ -114,7 +114,8 @@ def judged(docs: DataFrame) -> DataFrame:
     """Base columns, `base_failed` and `kept` of each row, by adaptive limits joined on language and source.
 
     kept is false for a base failure, else true unless a measure is above its high limit (word length: outside both).
-    A null or empty text has no words and fails. Repeated rows are judged alike; an empty table gives no rows.
+    A null or empty text has no words and fails. Repeated rows are judged alike; an empty table gives no rows; a
+    very long text is judged whole; columns of other names than those used are left out.
     """
     measures = checkpointed(measured(docs))
     wide = thresholds(measures).groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in SLACK for side in ("low", "high")])
