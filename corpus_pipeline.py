@@ -55,7 +55,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that with the smallest id
-    and then hash of its text, null ids last; of equal rows, one. Rows are matched on id and text, nulls included."""
+    and then hash of its text, null ids last; of equal rows, one. Rows are matched on id and text, nulls included.
+
+    Null texts are empty ones, and all texts without a word are one group. An empty table gives an empty one. A very long
+    text is compared whole.
+    """
     rows, named = near.groups(docs)
     counted = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
@@ -72,7 +76,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of over 50 words that occur elsewhere; a torn character is replaced.
 
-    Null texts become empty ones. Repeated rows are each other's copies, and an empty table gives an empty one.
+    Null texts become empty ones. Repeated rows are each other's copies, an empty table gives an empty one, and very
+    long texts are searched whole.
     """
     others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     coded = docs.select("doc_id", "text", *[F.col(quoted(c)).alias(o) for c, o in others.items()])
@@ -86,7 +91,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens. Null and empty texts are their end id alone; repeated rows are packed as often as they occur."""
+    """Sequences of 1024 tokens. Null and empty texts are their end id alone; repeated rows are packed as often as they occur.
+    An empty table gives no sequences, a very long text is cut into full ones."""
     return packing.best_fit_pack(docs)
 
 
