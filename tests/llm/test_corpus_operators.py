@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -372,6 +373,29 @@ def test_long_expressions():
         assert licenses.expression_at(" ".join(tokens).encode()) == (orders[0] if orders else None)
 
 
+def test_long_lines_of_tags_take_linear_time():
+    def seconds(n):
+        text = "SPDX-License-Identifier: MIT and " * n
+        began = time.perf_counter()
+        hits = licenses.scan(text)["hits"]
+        assert len(hits) == n and hits[-1]["first_word"] == 5 * (n - 1)
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(120_000) < 12 * seconds(20_000) + 1  # 36 times as long if it grew with the square
+    one = "SPDX-License-Identifier: " + " or ".join(["MIT", "GPL-2.0"] * 50_000)
+    assert {h["label"] for h in licenses.scan(one)["hits"]} == {"mit", "gpl"}
+    assert licenses.scan("SPDX-License-Identifier: MIT or SPDX-License-Identifier: ISC")["hits"][0]["expression"] == "mit"
+
+
+@pytest.mark.parametrize("name,label", [
+    ("mit", "mit"), ("mit-0", "mit"), ("mitre", "other"), ("mitnothing", "other"), ("iscsi", "other"), ("isc", "isc"), ("gpl-2.0+", "gpl"), ("gplv3", "gpl"), ("gplvx", "other"), ("apache2", "apache"),
+    ("cc-by-4.0", "cc"), ("cc0-1.0", "cc0"), ("ccx", "other"), ("cc-pddc", "public-domain"), ("bsd-3-clause", "bsd"), ("zlib,", "zlib"), ("x" * 100_000, "other"),
+])
+def test_families_have_borders(name, label):
+    assert licenses.family(name) == label
+
+
 def test_packing(spark, docs):
     own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     rows = packing.best_fit_pack(docs, per_task=3).collect()
