@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -303,6 +304,15 @@ def test_language_model_counts_more_words_than_any_fixed_table(spark, monkeypatc
     assert all((got[i].target_loss, got[i].background_loss) == pytest.approx(want[i], rel=1e-9) for i in want)
 
 
+def test_no_message_between_blocks_and_buckets_is_empty():
+    text = " ".join(WORDS)
+    part = pa.table({"block": [3], "doc_id": [1], "text": [pa.compress(text.encode(), "zstd", asbytes=True)], "n_bytes": [len(text.encode())], "target": [True]})
+    sent = lm.asked(part, 100_000)
+    distinct = len(set(WORDS)) + len(set(zip(WORDS, WORDS[1:])))
+    assert sent.num_rows <= distinct == sum(sent["n_keys"].to_pylist()) and min(sent["n_keys"].to_pylist()) > 0
+    assert lm.asked(part.set_column(2, "text", [[b""]]).set_column(3, "n_bytes", [[0]]), 5).num_rows == 0
+
+
 def test_licenses(spark, docs):
     cases = {
         "The MIT\nlicense, mit-license; Apache (License)": (3, 1, 5, {"mit", "apache"}),

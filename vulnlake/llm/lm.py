@@ -3,10 +3,11 @@
 Every word and every pair of neighbours of every text is counted, for the target (chosen documents) and for the
 background (all documents). Each has a key of `KEY_BITS` bits of its own (a hash, and one bit that tells pairs from
 words), so nothing is shared but by a collision of hashes; of 10^11 different keys about one in 100,000 has one. Documents
-are dealt into blocks of about `BLOCK_BYTES` of text, as many as the corpus asks for. A block gives a row for each of its
-distinct keys, with its own counts, so that a common word is one row a block; the rows are shuffled once by key, summed
-there, and go back to their blocks. Their number grows with the text, no Python task holds more than a block, no model is
-broadcast and nothing but a size comes to the driver.
+are dealt into blocks of about `BLOCK_BYTES` of text and keys into as many buckets, both as many as the corpus asks for. A
+block sends its distinct keys with its own counts to their buckets, once a key, so that a common word is one entry per
+block; a bucket adds them up and answers each block with the sums of just those keys, in their order. What is sent grows
+with the distinct keys of the blocks, and so does the number of messages, as none is empty. No model is broadcast, and
+nothing but a size comes to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from vulnlake.llm.common import slices
 
@@ -58,11 +58,28 @@ def pair_keys(words: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))) >> np.uint64(64 - KEY_BITS) | np.uint64(1)
 
 
-def block_keys(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; distinct keys in order; place among them of all words, then of all pairs."""
+def block_keys(texts: Sequence[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; distinct keys in order; place among them of all words, then of all pairs; the buckets' borders."""
     words = [word_keys(t) for t in texts]
     keys, place = np.unique(np.concatenate([*words, *[pair_keys(w) for w in words if len(w)]]), return_inverse=True)
-    return np.array([len(w) for w in words], np.int64), keys, place
+    bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.array([len(w) for w in words], np.int64), keys, place, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte by byte: the high ones are alike."""
+    planes = np.ascontiguousarray(numbers.ravel().astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+
+
+def pair_of_counts(data: bytes, n: int) -> np.ndarray:
+    """Two rows of n counts, target and all."""
+    return unpacked(data, 2 * n).astype(np.int64).reshape(2, n)
 
 
 def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,35 +94,51 @@ def texts(part: pa.Table) -> list[str]:
     return [pa.decompress(t, n, "zstd", asbytes=True).decode() if n else "" for t, n in zip(part["text"].to_pylist(), part["n_bytes"].to_pylist())]
 
 
-COUNTED = "block long, key long, n_target long, n_all long"
+def sums(place: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(place, c, n) for c in counts]).astype(np.int64)
+
+
+ASKED = "block long, bucket long, n_keys long, keys binary, counts binary"
+ANSWERED = "block long, bucket long, counts binary"
+TOTALS = "vocabulary long, n_target long, n_all long"
+#: The bucket of the row that tells a block the totals.
+TOLD = -1
 SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-#: Keys of the rows that tell each block the numbers of words (target and all) and of distinct words.
-WORDS, VOCABULARY = -1, -2
 
 
-def counted(part: pa.Table) -> pa.Table:
-    """A row for each distinct key of a block, with the block's own counts."""
-    n, keys, place = block_keys(texts(part))
+def asked(part: pa.Table, buckets: int) -> pa.Table:
+    """A row for each bucket that has one of a block's distinct keys: these keys and the block's counts of them."""
+    n, keys, place, cuts = block_keys(texts(part), buckets)
     chosen = np.array(part["target"].to_pylist(), bool)
     weights = np.concatenate([np.repeat(chosen, n), np.repeat(chosen, np.maximum(n - 1, 0))])
-    counts = [np.bincount(p, minlength=len(keys)) for p in (place[weights], place)]
-    block = np.full(len(keys), part["block"][0].as_py(), np.int64)
-    return pa.table({"block": block, "key": keys.astype(np.int64), "n_target": counts[0], "n_all": counts[1]})
-
-
-def summed(counts: DataFrame, blocks: int) -> DataFrame:
-    """For each block the sums over all blocks of just its keys, and a row each with the corpus's numbers of words and of distinct words."""
-    # used twice and shuffled once, as neither use filters rows or leaves out a column below the shuffle
-    keyed = counts.repartition("key")
-    by = W.partitionBy("key")
-    back = keyed.select("block", "key", *[F.sum(c).over(by).alias(c) for c in ("n_target", "n_all")])
-    of_words = lambda c: F.coalesce(F.sum(F.when(F.col("key") % 2 == 0, c)), F.lit(0))
-    each = keyed.groupBy("key").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"), F.max("block").alias("last"))
-    whole = each.agg(of_words(F.lit(1)).alias("distinct"), of_words(F.col("n_target")).alias("n_target"), of_words(F.col("n_all")).alias("n_all"), F.max("last").alias("last"))
-    row = lambda key, target, of_all: F.struct(F.lit(key).cast("long").alias("key"), target.alias("n_target"), of_all.alias("n_all"))
-    told = whole.select("last", F.inline(F.array(row(WORDS, F.col("n_target"), F.col("n_all")), row(VOCABULARY, F.col("distinct"), F.col("distinct")))))
-    every = counts.sparkSession.range(blocks).select(F.col("id").alias("block"))
-    return back.unionByName(every.join(F.broadcast(told), F.col("block") <= F.col("last")).drop("last"))  # two rows
+    counts = np.stack([np.bincount(place[weights], minlength=len(keys)), np.bincount(place, minlength=len(keys))])
+    full = np.flatnonzero(np.diff(cuts))
+    spans = [(cuts[k], cuts[k + 1]) for k in full]
+    return pa.table({
+        "block": pa.array([part["block"][0].as_py()] * len(full), pa.int64()), "bucket": pa.array(full, pa.int64()), "n_keys": pa.array(np.diff(cuts)[full], pa.int64()),
+        "keys": pa.array([packed(np.diff(keys[i:j], prepend=np.uint64(0))) for i, j in spans], pa.binary()), "counts": pa.array([packed(counts[:, i:j]) for i, j in spans], pa.binary()),
+    })
+
+
+def added(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """A bucket's distinct keys, their sums, the place among them of each key sent, and how many each block sent."""
+    parts = [np.cumsum(unpacked(k, n), dtype=np.uint64) for k, n in zip(part["keys"].to_pylist(), part["n_keys"].to_pylist())]
+    keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+    counts = np.concatenate([pair_of_counts(c, len(k)) for c, k in zip(part["counts"].to_pylist(), parts)], axis=1)
+    return keys, sums(place, counts, len(keys)), place, [len(k) for k in parts]
+
+
+def answered(part: pa.Table) -> pa.Table:
+    """The sums of a bucket's keys for each block that has them."""
+    _, counts, place, sent = added(part)
+    return pa.table({"block": part["block"], "bucket": part["bucket"], "counts": pa.array([packed(counts[:, place[e - n : e]]) for e, n in zip(np.cumsum(sent), sent)], pa.binary())})
+
+
+def totals(part: pa.Table) -> pa.Table:
+    """A bucket's number of distinct words, and of words in the target and in all."""
+    keys, counts, _, _ = added(part)
+    words = (keys & np.uint64(1)) == 0
+    return pa.table({name: pa.array([int(n)], pa.int64()) for name, n in zip(("vocabulary", "n_target", "n_all"), (words.sum(), *counts[:, words].sum(1)))})
 
 
 def own_counts(n: np.ndarray, place: np.ndarray, keys: int) -> np.ndarray:
@@ -130,23 +163,22 @@ def losses(n: np.ndarray, counts: np.ndarray, total: np.ndarray, vocabulary: int
     return -np.log(p)
 
 
-def scored(part: pa.Table, sums: pa.Table) -> pa.Table:
+def scored(part: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not part.num_rows:
         return SCORED.empty_table()
-    n, keys, place = block_keys(texts(part))
-    known = sums["key"].to_numpy()
-    order = np.argsort(known)
-    counts = np.stack([sums[c].to_numpy()[order] for c in ("n_target", "n_all")])
-    extra = len(known) - len(keys)  # none where no block has a word
-    told = {WORDS: [0, 0], VOCABULARY: [0, 0], **dict(zip(known[order][:extra].tolist(), counts[:, :extra].T.tolist()))}
-    counts, vocabulary = counts[:, extra:], max(1 << WORD_BITS, told[VOCABULARY][0])
+    n, keys, place, cuts = block_keys(texts(part), buckets)
+    answers = answers.sort_by("bucket")  # the totals first
+    told, answers = {name: answers[name][0].as_py() or 0 for name in ("vocabulary", "n_target", "n_all")}, answers.slice(1)
+    full = np.diff(cuts)[np.diff(cuts) > 0]
+    counts = np.concatenate([np.zeros((2, 0), np.int64), *[pair_of_counts(c, n) for c, n in zip(answers["counts"].to_pylist(), full)]], axis=1)
+    vocabulary = max(1 << WORD_BITS, told["vocabulary"])
     means = np.zeros((2, len(n)))
     if n.any():
         own, chosen = own_counts(n, place, len(keys)), np.array(part["target"].to_pylist(), bool)
-        for k, held in enumerate((chosen, np.ones(len(n), bool))):
+        for k, (name, held) in enumerate((("n_target", chosen), ("n_all", np.ones(len(n), bool)))):
             # a text is scored by the counts of all others
             mine = own * np.concatenate([np.repeat(held, n), np.repeat(held, np.maximum(n - 1, 0))])
-            loss = losses(n, counts[k][place] - mine, told[WORDS][k] - n * held, vocabulary)
+            loss = losses(n, counts[k][place] - mine, told[name] - n * held, vocabulary)
             means[k, n > 0] = np.add.reduceat(loss, (np.cumsum(n) - n)[n > 0]) / n[n > 0]
     return pa.table([part["doc_id"], pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[1] - means[0])], schema=SCORED)
 
@@ -164,10 +196,15 @@ def cross_entropy_difference(docs: DataFrame, n_bytes: int | None = None) -> Dat
     rows count, and are scored, as often as they occur; an empty table gives no rows; other columns are left out. A very
     long text makes its block larger. `n_bytes` of text, if known, save a pass.
     """
-    blocks = -(-(text_bytes(docs) if n_bytes is None else n_bytes) // BLOCK_BYTES) or 1
+    buckets = -(-(text_bytes(docs) if n_bytes is None else n_bytes) // BLOCK_BYTES) or 1
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("target"), F.lit(False)).alias("target"))
     # both uses have the same plan, so that the texts are shuffled once
     small = chosen.mapInArrow(squeezed, "doc_id long, text binary, n_bytes long, target boolean")
-    dealt = small.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).groupBy("block")
-    sums = summed(dealt.applyInArrow(counted, COUNTED), blocks)
-    return dealt.cogroup(sums.groupBy("block")).applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    dealt = small.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets))).groupBy("block")
+    asks = dealt.applyInArrow(lambda part: asked(part, buckets), ASKED)
+    # asked and totalled from one shuffle
+    answers = asks.groupBy("bucket").applyInArrow(answered, ANSWERED)
+    told = asks.groupBy("bucket").applyInArrow(totals, TOTALS).agg(*[F.sum(c).alias(c) for c in ("vocabulary", "n_target", "n_all")])
+    every = docs.sparkSession.range(buckets).select(F.col("id").alias("block"), F.lit(TOLD).cast("long").alias("bucket"))
+    answers = answers.unionByName(every.crossJoin(F.broadcast(told)), allowMissingColumns=True)  # one row
+    return dealt.cogroup(answers.groupBy("block")).applyInArrow(lambda part, got: scored(part, got, buckets), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
