@@ -176,6 +176,15 @@ def test_simhash(docs):
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_rows_of_a_frequent_fingerprint_are_dealt(spark, monkeypatch):
+    rows = [(i if i % 3 else None, "a b c d" if i < 300 else f"t{i} u{i} v{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect())
+    plain = got()
+    monkeypatch.setattr(simhash, "HOT", 20, raising=True)
+    assert got() == plain and len(plain) == 400
+
+
 @pytest.mark.parametrize("longest", [2, 32])
 def test_links_of_crowded_lists(spark, monkeypatch, longest):
     monkeypatch.setattr(simhash, "LONGEST", longest)

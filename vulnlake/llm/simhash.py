@@ -49,6 +49,10 @@ def fingerprint_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[p
             found = np.array([fingerprint(t or "", size) for t in part["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(found.view(np.int64))], names=["doc_id", "bits"])
 
+#: Rows of one fingerprint that a task takes at most, as far as `HOT_KEYS` allows, and how many fingerprints may have more.
+HOT = 10_000
+HOT_KEYS = 10_000
+
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """`doc_id, bits` (a signed 64-bit fingerprint) of every whole text; 0 for null and for texts without a word."""
@@ -109,9 +113,23 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     their names. Of a very long text `HASHED` shingles are hashed at a time.
     """
     marked = checkpointed(fingerprints(docs, size))
-    distinct = checkpointed(marked.groupBy("bits").agg(F.min("doc_id").alias("first")))
+    distinct = checkpointed(marked.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(distinct.select("bits")))
-    joined = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
+    joined = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "first", "n", F.coalesce("root", "bits").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(smallest, "root").select("bits", "component_id")
-    return marked.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    named = joined.join(smallest, "root").select("bits", "n", "component_id")
+    return told(marked, named, distinct).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def told(marked: DataFrame, named: DataFrame, distinct: DataFrame) -> DataFrame:
+    """`marked` with the component of each row's fingerprint. The rows of a frequent one are dealt into parts of about
+    `HOT` rows (a 10,000th of the table if that is more, so that at most 10,000 fingerprints are broadcast as frequent)."""
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    size = max(HOT, -(-total // HOT_KEYS))
+    parts = F.ceil(F.col("n") / size)
+    hot = distinct.filter(F.col("n") > size).select("bits", parts.alias("parts"))
+    # places of rows in a checkpointed table stay as they are
+    dealt = marked.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(hot), "bits", "left")
+    dealt = dealt.select("doc_id", "bits", F.pmod("place", F.coalesce("parts", F.lit(1))).alias("part"))
+    copies = named.select("bits", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return dealt.join(copies, ["bits", "part"])
