@@ -150,6 +150,32 @@ def test_lists_that_are_cut_to_stars_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+def test_a_family_just_short_of_the_similarity_is_not_paired_up(spark):
+    draw, n_base, s = random.Random(5), 146, 0.8
+    sets = [set(range(n_base)), set(range(n_base))]
+    for i in range(240):  # edits of five runs each; the runs that come in are new or, in some, shared
+        runs, own = set(range(n_base)), draw.random() < 0.2
+        for e in range(draw.randint(0, 6)):
+            place = draw.randrange(n_base - 5)
+            runs -= set(range(place, place + 5))
+            runs |= {1000 + place * 10 + k if own else 10_000 + 100 * i + 10 * e + k for k in range(draw.choice((0, 5, 5, 8)))}
+        sets.append(runs)
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "text_hash long, runs array<long>").cache()
+    alone = spark.createDataFrame([], "node long, root long")
+    whole = near.prefixes(near.whole(frame, s)).cache()
+    differing, cores = near.differences(frame, near.families(whole), s)
+    linked = {(r.a, r.b) for r in cores.collect()}
+    roots = near.components(cores).cache()
+    left = {(r.a, r.b) for r in near.apart(near.prefixes(differing), roots).collect()}
+    similar = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if len(x & y) >= s * len(x | y)}
+    assert linked and all((min(p), max(p)) in similar for p in linked)
+    root = {r.node: r.root for r in roots.collect()}
+    assert all(p in left or root.get(p[0], p[0]) == root.get(p[1], p[1]) for p in similar)
+    every = near.apart(whole, alone)
+    assert similar <= {(r.a, r.b) for r in every.collect()}
+    assert len(left) < 2 * len(sets) < every.count() / 10
+
+
 def test_rows_without_an_id_or_with_a_shared_one(spark):
     a, b, c, d = (prose("aa", 80) for _ in range(4))
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (1, d), (None, None)]

@@ -54,40 +54,91 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Lists (`key, text_hash` and more) whose members are in several components (`node, root`), with each member's `root`,
-    the largest one `main`, and `parts`: how many parts of about `PART` the members outside it make."""
+    the largest one `main`, the number of `members`, and `parts`: how many parts of about `PART` those outside it make."""
     member = lists.join(roots, F.col("text_hash") == F.col("node"), "left")
     member = checkpointed(member.select(*lists.columns, F.coalesce("root", "text_hash").alias("root")))
     sizes = member.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"))
     several = sizes.filter(F.col("n") > F.col("main.m"))
-    return member.join(several.select("key", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / PART).cast("long").alias("parts")), "key")
+    parts = F.ceil((F.col("n") - F.col("main.m")) / PART).cast("long")
+    return member.join(several.select("key", F.col("main.root").alias("main"), F.col("n").alias("members"), parts.alias("parts")), "key")
 
 
-def prefixes(runs: DataFrame, similarity: float) -> DataFrame:
-    """Lists (`key, text_hash, n_runs, later`) of the rarest runs of each text: texts of the similarity share one of these.
+def prefixes(sets: DataFrame) -> DataFrame:
+    """Lists (`key, text_hash, excess, later`) of the rarest elements of each text's set, within its family.
 
-    Of n runs, all but the `similarity` of n and one more, in one order for all texts; `later` runs follow the one listed.
+    Sets are rows `text_hash, family, elements, excess, least`; a text that is to be found shares `least` elements or more,
+    so all but `least` and one more are listed, in one order for all texts of the family; `later` elements follow the one listed.
     """
-    each = runs.select("text_hash", F.explode("runs").alias("key"))
-    ranked = each.join(each.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("order"))
+    each = sets.select("text_hash", "family", F.explode("elements").alias("key"))
+    counts = each.groupBy("family", "key").agg(F.count("*").alias("n"))
+    order = each.join(counts, ["family", "key"]).groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("order"))
     n = F.size("order")
-    first = F.slice("order", F.lit(1), n - F.ceil(similarity * n - 1e-9).cast("int") + 1)
-    placed = ranked.select("text_hash", n.cast("long").alias("n_runs"), F.posexplode(first).alias("place", "r")).filter("r.n > 1")
-    return placed.select("r.key", "text_hash", "n_runs", (F.col("n_runs") - F.col("place") - 1).alias("later"))
+    first = F.slice("order", F.lit(1), F.greatest(F.lit(0), n - F.col("least") + 1).cast("int"))
+    ranked = sets.select("text_hash", "family", "excess", "least").join(order, "text_hash")
+    placed = ranked.select("text_hash", "family", "excess", n.alias("all"), F.posexplode(first).alias("place", "r")).filter("r.n > 1")
+    return placed.select(F.xxhash64("family", "r.key").alias("key"), "text_hash", "excess", (F.col("all") - F.col("place") - 1).alias("later"))
 
 
-def apart(lists: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of lists (`key, text_hash, n_runs, later`) that may still join two components (`node, root`).
+def whole(runs: DataFrame, similarity: float) -> DataFrame:
+    """Sets, for `prefixes`, of all runs of each text: of n runs a similar text shares `similarity` times n at least."""
+    n = F.size("runs")
+    excess = 2 * similarity / (1 + similarity) * n
+    return runs.select("text_hash", F.lit(0).cast("long").alias("family"), F.col("runs").alias("elements"), excess.alias("excess"), F.ceil(similarity * n - 1e-9).alias("least"))
+
+
+def families(lists: DataFrame) -> DataFrame:
+    """`text_hash, family`: texts that meet in a list (`key, text_hash`), directly or through others, are a family."""
+    roots = components(lists.select("key", "text_hash"), "key", "text_hash")
+    return lists.select("text_hash").distinct().join(roots, F.col("text_hash") == F.col("node")).select("text_hash", F.col("root").alias("family"))
+
+
+def differences(runs: DataFrame, named: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Sets, for `prefixes`, of the runs in which texts differ from what most of their family (`text_hash, family`) has, and
+    links (a, b) between each family's core.
+
+    Texts of n and m runs are similar if they differ in c * (n + m) runs or fewer, c being (1 - s) / (1 + s). What two
+    texts differ in is the symmetric difference of their sets here, whatever these are taken from. So with a text's
+    `excess`, the size of its set less c * n, they are similar if they share half the sum of their excesses. Where that sum
+    is 0 or less they need share nothing, and both are linked to the family's text of the least excess, which forms the
+    core. All others share elements, and these are rare: what most of a family has is no element of any set. A text of the
+    core looks for those outside it, whose excess is larger than the least one's negative.
+    """
+    own = checkpointed(runs.select("text_hash", "runs").join(named, "text_hash"))
+    sizes = checkpointed(own.groupBy("family").agg(F.count("*").alias("size")))
+    parts = F.ceil(F.col("size") / PART).cast("long")
+    some = own.select("family", F.explode("runs").alias("key")).groupBy("family", "key").agg(F.count("*").alias("n"))
+    most = some.join(sizes, "family").filter(2 * F.col("n") > F.col("size")).groupBy("family").agg(F.collect_list("key").alias("common"))
+    common = F.coalesce("common", F.array().cast("array<long>"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    told = sizes.select("family", parts.alias("parts")).join(most, "family", "left").select("family", "parts", common.alias("common"), every)
+    large = F.broadcast(sizes.filter(F.col("size") > PART).select("family", parts.alias("parts")))
+    dealt = own.join(large, "family", "left").select("text_hash", "family", "runs", F.pmod(F.xxhash64("text_hash"), F.coalesce("parts", F.lit(1))).alias("part"))
+    n = F.size("runs")
+    apart = F.concat(F.array_except("runs", "common"), F.array_except("common", "runs"))
+    sets = dealt.join(told, ["family", "part"]).select("text_hash", "family", "part", "parts", n.alias("n"), apart.alias("elements"))
+    sets = checkpointed(sets.withColumn("excess", F.size("elements") - (1 - similarity) / (1 + similarity) * F.col("n")))
+    least = sets.groupBy("family").agg(F.min(F.struct("excess", "text_hash")).alias("core"), F.max("parts").alias("parts")).select("family", "core", every)
+    both = sets.join(least, ["family", "part"]).withColumn("inside", F.col("excess") + F.col("core.excess") <= 1e-9)
+    other = F.when(F.col("inside"), -F.col("core.excess")).otherwise(F.col("core.excess"))
+    # a similar text differs in (1 - s) / s * n runs or fewer, so it shares all but these
+    shared = F.greatest(F.lit(1).cast("long"), F.size("elements") - F.floor((1 - similarity) / similarity * F.col("n") + 1e-9), F.ceil((F.col("excess") + other) / 2 - 1e-9))
+    links = both.filter(F.col("inside") & (F.col("text_hash") != F.col("core.text_hash"))).select(F.col("core.text_hash").alias("a"), F.col("text_hash").alias("b"))
+    return both.select("text_hash", "family", "elements", "excess", shared.alias("least")), links
+
+
+def apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lists (`key, text_hash, excess, later`) that may still join two components (`node, root`).
 
     Two texts of different components are not both in the list's largest one, so the members outside it meet all members
-    of other components. A pair stays if the runs from the shared one on are enough for the similarity, as they are at
+    of other components. A pair stays if the elements from the shared one on are enough for the similarity, as they are at
     the first that a similar pair shares. A list that is one component has no pairs. The members outside are dealt into parts, so
     no list is one task.
     """
     of = mixed(lists, roots)
-    few = of.filter("root <> main").select("key", F.pmod(F.xxhash64("text_hash"), "parts").alias("part"), F.col("text_hash").alias("a"), F.col("n_runs").alias("a_runs"), F.col("later").alias("a_later"), F.col("root").alias("a_root"))
-    every = of.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("text_hash").alias("b"), F.col("n_runs").alias("b_runs"), F.col("later").alias("b_later"), F.col("root").alias("b_root"), "main")
+    few = of.filter("root <> main").select("key", F.pmod(F.xxhash64("text_hash"), "parts").alias("part"), F.col("text_hash").alias("a"), F.col("excess").alias("a_excess"), F.col("later").alias("a_later"), F.col("root").alias("a_root"))
+    every = of.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("text_hash").alias("b"), F.col("excess").alias("b_excess"), F.col("later").alias("b_later"), F.col("root").alias("b_root"), "main")
     met = few.join(every, ["key", "part"]).filter((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a") < F.col("b"))))
-    met = met.filter((1 + F.least("a_later", "b_later")) * (1 + similarity) >= similarity * (F.col("a_runs") + F.col("b_runs")) - 1e-9)
+    met = met.filter(2 * (1 + F.least("a_later", "b_later")) >= F.col("a_excess") + F.col("b_excess") - 1e-9)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -154,8 +205,15 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> tuple[Dat
     roots = components(linked)
     crowded = checkpointed(mixed(lists.filter(F.col("n") > LONGEST), roots).select("text_hash").distinct())
     if not crowded.isEmpty():
-        left = apart(prefixes(runs.join(crowded, "text_hash", "left_semi"), similarity), roots, similarity)
-        left = checkpointed(left.join(pairs, ["a", "b"], "left_anti"))
+        rare = checkpointed(mixed(prefixes(whole(runs.join(crowded, "text_hash", "left_semi"), similarity)), roots))
+        listed = lambda of: of.select("key", "text_hash", "excess", "later")
+        met, long = listed(rare.filter(F.col("members") <= LONGEST)), rare.filter(F.col("members") > LONGEST)
+        if not long.isEmpty():
+            differing, cores = differences(runs, families(long), similarity)
+            linked = checkpointed(linked.union(cores))
+            roots = components(linked)
+            met = met.union(listed(prefixes(differing)))
+        left = checkpointed(apart(met, roots).join(pairs, ["a", "b"], "left_anti"))
         if not left.isEmpty():
             roots = components(linked.union(alike(left, runs)))
     named = distinct.join(roots, distinct["text_hash"] == roots["node"], "left").select("text_hash", F.coalesce("root", "text_hash").alias("component"))
