@@ -297,6 +297,25 @@ def test_boosting_equals_plain_rounds_whatever_the_tasks(spark):
         assert np.allclose([got[int(v)] for v in ids.view(np.int64)], 1 / (1 + np.exp(-margin)))
 
 
+def test_boosting_sends_no_messages_where_rows_fit_a_task(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    stages, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema, barrier=False, **more: stages.append(barrier) or plain(self, f, schema, barrier, **more))
+    value = lambda c: F.pmod(F.xxhash64("id", F.lit(c)), F.lit(100)).cast("double")
+    df = spark.range(60_000).select(F.xxhash64("id").alias("id"), F.array(*[value(c) for c in range(4)]).alias("x")).withColumn("y", (F.col("x")[0] + F.col("x")[1] > 120).cast("int"))
+    settings = [{"depth": 3, "step": 0.3}, {"depth": 5, "step": 0.1}]
+    trees = boosting.fit(df, 4, settings, 12)
+    assert [len(t) for t in trees] == [12, 12] and [len(t[0]) for t in trees] == [16, 64] and not any(stages)
+    asked = df.limit(2000).withColumn("row", F.col("id")).cache()
+    fits = [(0.3, trees[0][:5]), (0.1, trees[1]), (0.3, trees[0]), (0.3, [])]
+    both = boosting.scored(asked, 4, fits).select("row", F.posexplode("p").alias("k", "p")).join(asked, "row")
+    area = {r["k"]: r["auroc"] for r in ordering.auroc_auprc(both, "y", "p", "k").collect()}
+    assert area[2] >= area[0] > 0.9 and area[1] > 0.95 and area[3] == 0.5
+    alone = {r["row"]: r["p"][0] for r in boosting.scored(asked, 4, fits[2:3]).collect()}
+    assert all(alone[r["row"]] == r["p"][2] for r in boosting.scored(asked, 4, fits).collect())
+
+
 def test_boosting_is_no_worse_than_sparks_learner_and_goes_on_after_a_stage(spark, monkeypatch):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
