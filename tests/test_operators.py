@@ -265,6 +265,19 @@ def test_upper_nodes_are_split_together_and_their_rows_meet_below(spark):
     assert sizes.max() <= 150 and len(sizes) > 5
 
 
+def test_trees_of_thousands_of_rows_are_grown_whole_and_exactly(spark, monkeypatch):
+    monkeypatch.setattr(forest, "upper_splits", None)  # not called
+    train, x, y, ids = tree_table(spark, 7000, 5, 14)
+    asked = train.withColumn("row", F.col("id")).cache()
+    got, shares = forest.forest(train, asked, 5, trees=3, seed=3)
+    by = {r["row"]: r["p"] for r in got.collect()}
+    w = np.array([forest.counts(ids, t, 3) for t in range(3)])
+    same = pd.DataFrame(x).duplicated(keep=False).to_numpy()
+    sure = (w > 0).all(axis=0) & ~same  # rows that all trees have seen, and no other row like them: leaves are pure
+    assert sure.sum() > 1000 and all(by[int(i)] == v for i, v in zip(ids.view(np.int64)[sure], y[sure]))
+    assert len(by) == len(set(ids)) and abs(sum(shares) - 1) < 1e-9
+
+
 def test_boosting_equals_plain_rounds_whatever_the_tasks(spark):
     train, x, y, ids = tree_table(spark, 400, 4, 8)
     settings = [{"depth": 2, "step": 0.3}, {"depth": 3, "step": 0.1}]
