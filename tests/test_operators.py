@@ -165,6 +165,31 @@ def test_density_equals_all_kernels(spark, monkeypatch, components):
     assert all(abs(by[r["id"]] - r["risk_score"]) < 1e-6 for r in got if r["id"] < 60)
 
 
+def test_density_shares_kernels_and_leaves_out_far_leaves_only(monkeypatch):
+    draw = np.random.default_rng(9)
+    centres = np.column_stack([np.round(draw.normal(scale=9, size=(3000, 2)), 1), draw.integers(0, 3, (3000, 2))])
+    own = np.repeat(draw.normal(scale=9, size=(40, 2)), 9, axis=0)
+    points = np.vstack([np.column_stack([own, np.tile([[a, b] for a in range(3) for b in range(3)], (40, 1))]), [[60.0, 0, 0, 0], [900.0, -900.0, 0, 0]]])
+    weights = (draw.integers(0, 3, (3000, 3)) + 1) / 9000
+    m, s = density.kernel_sums(points, centres, weights, 0.5)
+    want = m + np.log(s)
+    whole = np.logaddexp.reduce(want, axis=1)
+    summed, before = [], len(points) * 3000
+    monkeypatch.setattr(density.np, "exp", lambda x, *a, f=np.exp, **k: summed.append(np.size(x)) or f(x, *a, **k))
+    for few, leaf in (([], 9), ([2, 3], 1)):
+        summed.clear()
+        monkeypatch.setattr(density, "LEAF", leaf)
+        m, s = density.near_sums(points, whole - 3, centres, weights, 0.5, 1e-8, 32, few)
+        assert 0 < sum(summed) < before / 2
+        before = sum(summed)
+        with np.errstate(divide="ignore"):
+            got = m + np.log(s)
+        assert np.allclose(np.exp(got - whole[:, None]), np.exp(want - whole[:, None]), atol=1e-8)
+    parts = density.leaves(centres, 32)
+    assert sorted(np.concatenate(parts)) == list(range(3000)) and max(map(len, parts)) <= 32
+    assert sorted(map(len, density.leaves(np.zeros((100, 2)), 30))) == [25] * 4
+
+
 def test_scrambled_columns_are_permutations(spark):
     rows = [(i, [float(i), float(i) ** 2, float(i % 7)]) for i in range(150)]
     df = spark.createDataFrame(rows, "id long, x array<double>")
