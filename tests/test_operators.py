@@ -418,6 +418,19 @@ def test_logistic_fits_are_at_their_optima(spark):
         assert np.abs(gradient).max() < 1e-6 and w[1] > 0.3
 
 
+def test_wide_bags_are_fitted_by_a_job_of_few_expressions(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.group import GroupedData
+
+    rows = spark.range(3000).select((F.col("id") % 2).cast("int").alias("bag"), *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 500 - 1).alias(f"x{c}") for c in range(32)])
+    rows = rows.withColumn("y", (F.col("x0") + F.col("x1") + F.col("x2") > 0).cast("double"))
+    asked = []
+    for kind in (DataFrame, GroupedData):  # an expression for each cell of a Hessian: 594 of them, too many to be compiled
+        monkeypatch.setattr(kind, "agg", lambda self, *c, f=kind.agg: asked.append(len(c)) or f(self, *c))
+    w = pu.logistic_fits(rows, [f"x{c}" for c in range(32)], 3)
+    assert max(asked, default=0) < 100 and (w[:2, 1:4] > 1).all() and np.abs(w[:2, 4:]).max() < 0.5 and not w[2].any()
+
+
 def test_quantiles(spark):
     rows = [(g, float(DRAW.randint(0, 40)) if DRAW.random() < 0.9 else None, DRAW.randint(1, 4)) for g in "abc" for _ in range(DRAW.randint(1, 90))]
     df = spark.createDataFrame(rows, "g string, v double, w int")
