@@ -354,6 +354,14 @@ def test_boosting_sends_no_messages_where_rows_fit_a_task(spark, monkeypatch):
     assert all(alone[r["row"]] == r["p"][2] for r in boosting.scored(asked, 4, fits).collect())
 
 
+def test_boosting_of_rows_that_cannot_be_split():
+    y, ids, edges = np.array([0.0, 1.0] * 20), np.arange(40, dtype=np.uint64), [np.array([1.0]), np.array([0.5])]
+    for x, leaves in ((np.zeros((40, 2), np.uint8), 1), (np.column_stack([y, y]).astype(np.uint8), 2)):
+        trees = [[], []]
+        boosting.grown(x, y, ids, 1.0, [{"depth": 4, "step": 0.5}, {"depth": 1, "step": 0.5}], trees, 3, 7, edges, lambda s: s)
+        assert [len(t) for t in trees] == [3, 3] and all(len(set(boosting.places(x, t, 1))) == leaves for own in trees for t in own)
+
+
 def test_boosting_is_no_worse_than_sparks_learner_and_goes_on_after_a_stage(spark, monkeypatch):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
